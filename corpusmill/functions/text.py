@@ -7,15 +7,18 @@ rows that can change under composition are sent to the Python worker.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space of Python's str type, inside one line and in full.
-LINE_SPACE = r" \t\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-ANY_SPACE = r"\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_SPACE = (
+    " \t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+ANY_SPACE = LINE_SPACE + "\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85"
 
 # Fixed value: a sentence ends at . ! or ? followed by space and one of these openers.
 SENTENCE_BREAK = rf"(?<=[.!?])[{ANY_SPACE}]+(?=[A-Z0-9\"'(\[])"
@@ -39,6 +42,15 @@ def compose(text: Column) -> Column:
     return F.coalesce(_compose(F.when(text.rlike(f"[^{COMPOSED_ONLY}]"), text)), text)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once per row and hand it to ``body`` as a bound variable.
+
+    A plain column would be inlined by the optimizer into every place that reads it, also into
+    lambdas, and then computed once per element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unify_newlines(text: Column) -> Column:
     """CRLF and CR to LF."""
     return F.regexp_replace(text, r"\r\n?", "\n")
@@ -46,11 +58,11 @@ def unify_newlines(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, as Python's ``str.strip`` does."""
-    return F.regexp_replace(text, rf"\A[{ANY_SPACE}]+|[{ANY_SPACE}]+\z", "")
+    return F.btrim(text, F.lit(ANY_SPACE))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{ANY_SPACE}]+\z", "")
+    return F.rtrim(text, F.lit(ANY_SPACE))
 
 
 def clean_text(text: Column) -> Column:
@@ -61,8 +73,8 @@ def clean_text(text: Column) -> Column:
     """
     visible = F.regexp_replace(unify_newlines(text), r"[\p{C}&&[^\n\t]]", "")
     single_spaced = F.regexp_replace(compose(visible), "[ \t]+", " ")
-    lines = F.regexp_replace(single_spaced, rf"(?md)^[{LINE_SPACE}]+|[{LINE_SPACE}]+$", "")
-    return strip(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
+    lines = F.transform(F.split(single_spaced, "\n"), lambda line: F.btrim(line, F.lit(LINE_SPACE)))
+    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
 def clean_ascii_controls(text: Column) -> Column:
@@ -71,18 +83,21 @@ def clean_ascii_controls(text: Column) -> Column:
     return strip(F.regexp_replace(unify_newlines(printable), r" {2,}", " "))
 
 
-def _non_blank(parts: Column) -> Column:
-    return F.filter(F.transform(parts, strip), lambda part: part != "")
-
-
 def paragraphs(text: Column) -> Column:
     """Blank-line separated paragraphs, trimmed, none of them empty."""
-    return _non_blank(F.split(text, PARAGRAPH_BREAK))
+    return F.filter(F.transform(F.split(text, PARAGRAPH_BREAK), strip), lambda part: part != "")
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of a text, trimmed, none of them empty."""
-    return _non_blank(F.split(strip(text), SENTENCE_BREAK))
+    """Sentences of a text, trimmed, none of them empty.
+
+    The break takes all white space between two sentences, so the parts of a trimmed text need no
+    trimming of their own.
+    """
+    return let(
+        strip(text),
+        lambda whole: F.when(whole == "", F.array().cast("array<string>")).otherwise(F.split(whole, SENTENCE_BREAK)),
+    )
 
 
 def segments(cleaned: Column) -> Column:
@@ -92,7 +107,7 @@ def segments(cleaned: Column) -> Column:
 
 def first_sentence(text: Column) -> Column:
     """The first sentence, or the trimmed text when there is none."""
-    return F.coalesce(F.get(sentences(text), F.lit(0)), strip(text))
+    return strip(F.get(F.split(strip(text), SENTENCE_BREAK, 2), F.lit(0)))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -102,9 +117,12 @@ def estimate_tokens(text: Column) -> Column:
 
 def keep_first_half(text: Column) -> Column:
     """Extractive edit: the first max(1, n/2) sentences; text without sentences is unchanged."""
-    parts = sentences(text)
-    kept = F.slice(parts, F.lit(1), F.greatest(F.lit(1), (F.size(parts) / 2).cast("int")))
-    return F.when(F.size(parts) > 0, F.array_join(kept, " ")).otherwise(text)
+
+    def half(parts: Column) -> Column:
+        kept = F.slice(parts, F.lit(1), F.greatest(F.lit(1), (F.size(parts) / 2).cast("int")))
+        return F.when(F.size(parts) > 0, F.array_join(kept, " ")).otherwise(text)
+
+    return let(sentences(text), half)
 
 
 # Accepted content types with their extractor tag, and what an extension stands for.

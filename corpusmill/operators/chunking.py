@@ -55,13 +55,8 @@ def pack(tokens: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVE
         overflow = (s["at"] > s["first"]) & (s["used"] + size > max_tokens)
 
         def reopened() -> Column:
-            # A one-element transform binds the tail once instead of repeating its expression.
-            return F.element_at(
-                F.transform(
-                    F.array(tail(s)),
-                    lambda t: state(s["at"] - t["n"], s["at"] + 1, t["sum"] + size, closed(s)),
-                ),
-                1,
+            return text.let(
+                tail(s), lambda t: state(s["at"] - t["n"], s["at"] + 1, t["sum"] + size, closed(s))
             )
 
         kept = state(s["first"], s["at"] + 1, s["used"] + size, s["done"])
@@ -77,6 +72,21 @@ def segment_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return parts.withColumn("tokens", F.transform("segments", text.estimate_tokens))
 
 
+def chunk_texts(raw: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> Column:
+    """The chunk contents of one text, in order."""
+
+    def cut(parts: Column) -> Column:
+        def join(bounds: Column) -> Column:
+            return F.transform(
+                bounds, lambda b: F.array_join(F.slice(parts, b["first"] + 1, b["end"] - b["first"]), " ")
+            )
+
+        sizes = F.transform(parts, text.estimate_tokens)
+        return join(text.let(sizes, lambda tokens: pack(tokens, max_tokens, overlap_tokens)))
+
+    return text.let(text.segments(text.clean_text(raw)), cut)
+
+
 def chunk_documents(
     docs: DataFrame,
     *,
@@ -92,14 +102,10 @@ def chunk_documents(
     """
     version = F.col("layer_version") if layer_version is None else F.lit(layer_version)
     stamped = F.current_timestamp() if ingested_at is None else ingested_at
-    bounded = segment_documents(docs).withColumn("bounds", pack(F.col("tokens"), max_tokens, overlap_tokens))
-    pieces = F.transform(
-        "bounds",
-        lambda b: F.array_join(F.slice(F.col("segments"), b["first"] + 1, b["end"] - b["first"]), " "),
-    )
-    exploded = bounded.select(
+    exploded = docs.select(
         "doc_id", "source_id", "filename", version.cast("int").alias("layer_version"),
-        stamped.alias("ingested_at"), F.posexplode(pieces).alias("ordinal", "content"),
+        stamped.alias("ingested_at"),
+        F.posexplode(chunk_texts(F.col("text"), max_tokens, overlap_tokens)).alias("ordinal", "content"),
     )
     return exploded.select(
         ids.chunk_id(F.col("doc_id"), F.col("ordinal"), F.col("content")).alias("chunk_id"),

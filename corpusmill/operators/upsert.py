@@ -68,7 +68,7 @@ class KeyedTable:
         return self.schema.fieldNames()
 
     def exists(self) -> bool:
-        return path_exists(self.spark, f"{self.path}/_SUCCESS")
+        return path_exists(self.spark, f"{self.path}/{BUCKET}=*")
 
     def _stored(self) -> DataFrame:
         full = StructType(list(self.schema.fields)).add(BUCKET, "integer")

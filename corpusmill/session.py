@@ -84,3 +84,12 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row heavy work as many partitions as there are cores.
+
+    Only small inputs (one file, one row group) have fewer; large scans pass through unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
