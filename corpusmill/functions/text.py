@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The white space of Python's str type, inside one line and in full.
 LINE_SPACE = (
@@ -31,7 +32,7 @@ COMPOSED_ONLY = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda value: unicodedata.normalize("NFC", value), na_action="ignore")

@@ -77,6 +77,22 @@ def drift_report(df: DataFrame, contract: Sequence[Field] = SPECIMEN) -> DataFra
     return df.sparkSession.createDataFrame(drift_rows(df.schema, contract), schema)
 
 
+def drift_impact(df: DataFrame, contract: Sequence[Field] = SPECIMEN) -> DataFrame:
+    """The report with how many rows each difference touches, from one pass over the table.
+
+    That is every row for a missing column, else the rows that hold a value in the column.
+    """
+    rows = drift_rows(df.schema, contract)
+    touched = F.array(*[
+        F.struct(
+            *[F.lit(value).cast("string").alias(name) for name, value in zip(("kind", "column", "expected", "actual", "action"), row)],
+            (F.count("*") if row[0] == "missing_field" else F.count(F.col(row[1]))).alias("rows"),
+        )
+        for row in rows
+    ])
+    return df.agg(touched.alias("drift")).select(F.inline("drift"))
+
+
 def validate(df: DataFrame, contract: Sequence[Field] = SPECIMEN) -> DataFrame:
     """Warn about additive drift, fail on a type that cannot be read as the contract says."""
     breaking = []

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 CONTEXT_LINES = 3
 
@@ -73,7 +74,12 @@ def unified_lines(old: list[str], new: list[str], from_label: str, to_label: str
     return "\n".join(shown), added, removed
 
 
-@F.pandas_udf("unified_diff string, added_lines int, removed_lines int")
+_DIFF = StructType([
+    StructField("unified_diff", StringType()), StructField("added_lines", IntegerType()), StructField("removed_lines", IntegerType()),
+])
+
+
+@F.pandas_udf(_DIFF)
 def _diff_arrays(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for old, new, from_label, to_label in batches:
         rows = [unified_lines(list(o), list(n), f, t) for o, n, f, t in zip(old, new, from_label, to_label)]

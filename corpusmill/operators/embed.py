@@ -75,6 +75,15 @@ def embed(df: DataFrame, factory: Factory = HashEmbedder, *, text: str = "conten
     return df.mapInPandas(run, f"{schema}, {embedding}: array<float>, embed_error: string")
 
 
+def embed_and_store(chunks: DataFrame, vectors: KeyedTable, factory: Factory, model_id: str, embed_dim: int, batch: int = BATCH) -> DataFrame:
+    """Embed once, upsert what worked, and return the input keys with an ``embedded`` flag."""
+    made = checkpointed(embed(chunks, factory, batch=batch))
+    worked = F.col("embed_error").isNull() & (F.size("embedding") == embed_dim)
+    named = made.withColumn("model_id", F.lit(model_id)).withColumn("embed_dim", F.lit(embed_dim))
+    vectors.upsert(named.filter(worked))
+    return made.withColumn("embedded", F.coalesce(worked, F.lit(False))).drop("embedding", "content")
+
+
 def embed_chunks(chunks: DataFrame, *, ledger: Ledger | None, vectors: KeyedTable, now: Column, factory: Factory = HashEmbedder,
                  model_id: str = MODEL_ID, embed_dim: int = DIMENSIONS, batch: int = BATCH) -> DataFrame:
     """Embed and store the chunks whose ``model:dim:chunk`` key is free; returns the counters.
@@ -91,15 +100,12 @@ def embed_chunks(chunks: DataFrame, *, ledger: Ledger | None, vectors: KeyedTabl
     else:
         outcomes = ledger.claim(keyed.select("key"), now)
         work = keyed.join(outcomes.filter(F.col("outcome") == "claimed").select("key"), "key", "left_semi")
-    unique = latest_per_key(work, ["key"])
-    done = checkpointed(embed(unique, factory, batch=batch))
-    wrong = F.col("embed_error").isNotNull() | (F.size("embedding") != embed_dim)
-    good = done.filter(~wrong)
-    vectors.upsert(good.withColumn("model_id", F.lit(model_id)).withColumn("embed_dim", F.lit(embed_dim)))
+    done = embed_and_store(latest_per_key(work, ["key"]), vectors, factory, model_id, embed_dim, batch)
+    good, wrong = done.filter("embedded"), done.filter("NOT embedded")
     if ledger is not None:
         ledger.commit(good.select("key", F.concat(F.lit("vector:"), "chunk_id").alias("ref")), now)
-        ledger.release(done.filter(wrong).select("key"))
-    failed = done.agg(F.count_if(wrong).alias("failed"))
+        ledger.release(wrong.select("key"))
+    failed = done.agg(F.count_if(~F.col("embedded")).alias("failed"))
     counters = claim_counters(outcomes)
     combined = counters.withColumn("one", F.lit(1)).join(failed.withColumn("one", F.lit(1)), "one")
     return combined.select(

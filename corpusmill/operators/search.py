@@ -17,7 +17,7 @@ def contains_pattern(query: str) -> str:
 
 def substring_search(table: DataFrame, name: str, query: str, limit: int, tie: str = "id") -> DataFrame:
     """First ``limit`` matches by name."""
-    matches = table.filter(F.col(name).ilike(F.lit(contains_pattern(query))))
+    matches = table.filter(F.col(name).ilike(contains_pattern(query)))
     return matches.orderBy(name, tie).limit(limit)
 
 
@@ -50,15 +50,19 @@ def write_postings(postings: DataFrame, path: str, row_id: str = "id") -> None:
     postings.repartitionByRange("gram", row_id).sortWithinPartitions("gram", row_id).write.mode("overwrite").parquet(path)
 
 
-def indexed_search(table: DataFrame, postings: DataFrame, name: str, query: str, limit: int, row_id: str = "id") -> DataFrame:
-    """The rows of :func:`substring_search`, with candidates taken from the postings.
+def candidate_rows(table: DataFrame, postings: DataFrame, name: str, query: str, row_id: str = "id") -> DataFrame:
+    """All matching rows: those that hold every gram of the query, checked against the pattern.
 
-    Rows must hold all grams of the query and are then checked against the pattern itself. A query
-    without a whole gram falls back to the scan.
+    A query without a whole gram reads the table itself.
     """
     wanted = query_grams(query)
+    matching = table.filter(F.col(name).ilike(contains_pattern(query)))
     if not wanted:
-        return substring_search(table, name, query, limit, row_id)
-    hits = postings.filter(F.col("gram").isin(wanted)).groupBy(row_id).agg(F.count("*").alias("held"))
-    candidates = hits.filter(F.col("held") == len(wanted)).select(row_id)
-    return substring_search(table.join(candidates, row_id, "left_semi"), name, query, limit, row_id)
+        return matching
+    held = postings.filter(F.col("gram").isin(wanted)).groupBy(row_id).agg(F.count("*").alias("held"))
+    return matching.join(held.filter(F.col("held") == len(wanted)).select(row_id), row_id, "left_semi")
+
+
+def indexed_search(table: DataFrame, postings: DataFrame, name: str, query: str, limit: int, row_id: str = "id") -> DataFrame:
+    """The rows of :func:`substring_search`, with candidates taken from the postings."""
+    return candidate_rows(table, postings, name, query, row_id).orderBy(name, row_id).limit(limit)

@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from corpusmill.plans import metrics, state, text  # noqa: F401
+from corpusmill.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -64,7 +64,9 @@ def extract_documents(raw: DataFrame, *, filename: Column, content_type: Column,
     Text and markdown are decoded. Other types, supported by name or not, are rejected with a
     ``reason``. Documents of no text are kept; see :func:`empty_documents`.
     """
+    missing = F.lit(None).cast("string")
     named = raw.withColumns({
+        "source_uri": missing if source_uri is None else source_uri,
         "filename": filename,
         "given_type": content_type,
         "resolved": text.resolve_content_type(filename, content_type),
@@ -73,8 +75,9 @@ def extract_documents(raw: DataFrame, *, filename: Column, content_type: Column,
     reason = F.when(F.col("resolved").isNull(), F.concat(F.lit("Unsupported content_type "), "given_type")).otherwise(
         F.concat(F.lit("no extractor for "), "resolved")
     )
-    rejected = named.filter(~readable).select("filename", F.col("given_type").alias("content_type"), reason.alias("reason"))
-    missing = F.lit(None).cast("string")
+    rejected = named.filter(~readable).select(
+        "filename", F.col("given_type").alias("content_type"), reason.alias("reason"), "source_uri"
+    )
     decoded = named.filter(readable).withColumn("text", text.decode_utf8(F.col("content")))
     silver = decoded.select(
         ids.doc_id(F.col("filename"), F.col("text")).alias("doc_id"),
@@ -84,7 +87,7 @@ def extract_documents(raw: DataFrame, *, filename: Column, content_type: Column,
         "text",
         F.length("text").alias("char_count"),
         (missing if user_id is None else user_id).alias("user_id"),
-        (missing if source_uri is None else source_uri).alias("source_uri"),
+        "source_uri",
         (F.current_timestamp() if uploaded_at is None else uploaded_at).alias("uploaded_at"),
         F.create_map(
             F.lit("extractor"), text.extractor_tag(F.col("resolved")),
