@@ -106,8 +106,8 @@ def embed_chunks(chunks: DataFrame, *, ledger: Ledger | None, vectors: KeyedTabl
         ledger.commit(good.select("key", F.concat(F.lit("vector:"), "chunk_id").alias("ref")), now)
         ledger.release(wrong.select("key"))
     failed = done.agg(F.count_if(~F.col("embedded")).alias("failed"))
-    counters = claim_counters(outcomes)
-    combined = counters.withColumn("one", F.lit(1)).join(failed.withColumn("one", F.lit(1)), "one")
-    return combined.select(
+    both = claim_counters(outcomes).unionByName(failed, allowMissingColumns=True)
+    names = ("total", "claimed", "skipped_processed", "skipped_locked", "failed")
+    return both.agg(*[F.max(name).alias(name) for name in names]).select(
         "total", (F.col("claimed") - F.col("failed")).alias("embedded"), "skipped_processed", "skipped_locked", "failed"
     )

@@ -4,63 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql import Window
-
 # Sketch accuracy behind exact percentiles: brackets hold about 8 / ACCURACY of a group's rows.
-ACCURACY = 100_000
+# Raise it for groups of more than about 10^10 distinct values.
+ACCURACY = 10_000
 
 
-def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, percents: Mapping[str, str]) -> DataFrame:
+def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, percents: Mapping[str, str], *,
+                      accuracy: int = ACCURACY) -> DataFrame:
     """Nearest-rank percentiles per group, exact for groups of any size.
 
     ``percents`` maps output names to percents written as text (``{"p99": "99"}``). A mergeable
     sketch brackets every percentile first; one more pass counts rows by value inside the brackets
     and lumps together all rows between them, combined on the map side. Only those counts are
     sorted. Should a percentile ever fall outside its bracket, the query fails instead of answering
-    wrongly.
+    wrongly. Without groups the brackets are one row, which is read at once and put in as literals.
     """
-    keys = list(groups) or ["everything"]
-    data = df if groups else df.withColumn("everything", F.lit(1))
-    data = data.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    keys = list(groups)
+    data = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
     shares = {name: Decimal(percent) / 100 for name, percent in percents.items()}
-    margin = 4 / ACCURACY
+    margin = 4 / accuracy
     edges = [
         edge for share in shares.values()
         for edge in (max(0.0, float(share) - margin), min(1.0, float(share) + margin))
     ]
-    sketched = data.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", edges, ACCURACY).alias("edges"))
-    brackets = sketched.select(
-        *keys, "n",
-        F.array(*[
-            F.struct(F.col("edges")[2 * at].alias("low"), F.col("edges")[2 * at + 1].alias("high"))
-            for at in range(len(shares))
-        ]).alias("brackets"),
-    )
-    placed = data.join(brackets.select(*keys, "brackets"), keys)
-    inside = F.exists("brackets", lambda b: (F.col("v") >= b["low"]) & (F.col("v") <= b["high"]))
-    passed = F.array_max(F.transform(F.filter("brackets", lambda b: b["high"] < F.col("v")), lambda b: b["high"]))
+    sketched = data.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", edges, accuracy).alias("edges"))
+    if keys:
+        placed = data.join(sketched, keys)
+    else:
+        total, found = sketched.first()
+        at = F.array(*[F.lit(edge) for edge in found]) if found else F.lit(None).cast("array<double>")
+        placed = data.withColumn("n", F.lit(total)).withColumn("edges", at)
+    pairs = [(F.col("edges")[2 * i], F.col("edges")[2 * i + 1]) for i in range(len(shares))]
+    v = F.col("v")
+    inside = reduce(lambda x, y: x | y, [(v >= low) & (v <= high) for low, high in pairs])
+    below = [F.when(high < v, high) for _, high in pairs]
+    passed = F.greatest(*below) if len(below) > 1 else below[0]
     counted = (
-        placed.select(*keys, F.when(inside, F.col("v")).otherwise(passed).alias("at"), (~inside).alias("lumped"))
-        .groupBy(*keys, "at", "lumped").agg(F.count("*").alias("c"))
+        placed.select(*keys, "n", F.when(inside, v).otherwise(passed).alias("at"), (~inside).alias("lumped"))
+        .groupBy(*keys, "n", "at", "lumped").agg(F.count("*").alias("c"))
     )
     order = Window.partitionBy(*keys).orderBy(F.col("at").asc_nulls_first(), "lumped")
     running = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = running.join(brackets.select(*keys, "n"), keys)
 
     def pick(share: Decimal) -> Column:
         target = F.greatest(F.lit(1), F.ceil(F.col("n").cast("decimal(20,0)") * F.lit(share).cast("decimal(10,6)")))
         found = F.min(F.when(F.col("upto") >= target, F.struct("upto", "at", "lumped")))
         outside = F.raise_error(F.lit("percentile outside its bracket")).cast("double")
-        return F.when(found["lumped"] | found.isNull(), outside).otherwise(found["at"])
+        return F.when(F.max("n").isNull(), None).when(found["lumped"] | found.isNull(), outside).otherwise(found["at"])
 
-    result = ranked.groupBy(*keys).agg(
+    return running.groupBy(*keys).agg(
         F.max("n").alias("samples"), *[pick(share).alias(name) for name, share in shares.items()]
     )
-    return result if groups else result.drop("everything")
 
 
 def latency_summary(df: DataFrame, value: str = "latency") -> DataFrame:
@@ -70,9 +69,9 @@ def latency_summary(df: DataFrame, value: str = "latency") -> DataFrame:
         F.count(value).cast("double").alias("count"), F.min(value).alias("min"),
         F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"),
     )
-    both = basics.withColumn("one", F.lit(1)).join(ranks.withColumn("one", F.lit(1)), "one", "left")
     names = ("count", "min", "mean", "p50", "p90", "p95", "p99", "max")
-    return both.select(*[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in names])
+    both = basics.unionByName(ranks, allowMissingColumns=True)
+    return both.agg(*[F.coalesce(F.max(name), F.lit(0.0)).alias(name) for name in names])
 
 
 def recent_failures(records: DataFrame, limit: int = 50) -> DataFrame:

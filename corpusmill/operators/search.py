@@ -22,11 +22,11 @@ def substring_search(table: DataFrame, name: str, query: str, limit: int, tie: s
 
 
 def grams(text: Column) -> Column:
-    """Distinct three-character substrings of the lower-cased text; none for shorter text."""
-    low = F.lower(text)
-    starts = F.sequence(F.lit(1), F.length(low) - (GRAM - 1))
-    pieces = F.transform(starts, lambda at: F.substr(low, at, F.lit(GRAM)))
-    return F.when(F.length(low) >= GRAM, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+    """Distinct three-character substrings of the lower-cased text; none for shorter text.
+
+    The pattern looks ahead without consuming, so one pass over the text gives every overlap.
+    """
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(.{%d}))" % GRAM), F.lit(1)))
 
 
 def query_grams(query: str) -> list[str]:

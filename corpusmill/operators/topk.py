@@ -196,7 +196,7 @@ def _grid_top_k(vectors, queries, k, vector_id, query_id, embedding, query_embed
         F.col(query_id).alias("qid"), F.col(query_embedding).alias("qvec"),
         (F.col(query_scope) if query_scope else F.lit(None).cast("string")).alias("qscope"),
         F.pmod(F.xxhash64(query_id), F.lit(query_blocks)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))).cast("long").alias("vb"),
+        F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1)).cast("array<bigint>")).alias("vb"),
     )
     scoped = scope is not None and query_scope is not None
     out = f"qid {queries.schema[query_id].dataType.simpleString()}, vid {vectors.schema[vector_id].dataType.simpleString()}, score double"
