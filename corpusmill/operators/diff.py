@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from corpusmill.session import checkpointed
+
 CONTEXT_LINES = 3
 
 
@@ -95,30 +97,34 @@ def unified_text_diff(original: Column, suggestion: Column, from_label: str = "o
 def anchored_pieces(lines: DataFrame) -> DataFrame:
     """Number the pieces of each source that can be diffed on their own.
 
-    Adds ``piece``. A piece starts at an anchor: a line found once in either layer such that every
-    other such line before it in one layer is before it in the other as well. Only counts and
-    positions are shuffled to find anchors, in windows over blocks of a source and never over a
-    whole source.
+    Adds ``piece``, ``cut`` (the line is its piece's anchor) and ``shared`` (it is in both layers).
+    An anchor is a line found once in either layer such that every other such line before it in one
+    layer is before it in the other as well. Only hashes and positions are shuffled to find them,
+    in windows over blocks of a source and never over a whole source. Steps that are read several
+    times are checkpointed, or the plan would repeat them.
     """
     hashed = lines.withColumn("line_hash", F.sha2("content", 256))
-    once = (
-        hashed.groupBy("source_id", "line_hash")
-        .agg(
-            F.count_if(~F.col("is_new")).alias("o"), F.count_if("is_new").alias("n"),
-            F.max(F.when(~F.col("is_new"), F.col("ordinal"))).alias("i"),
-            F.max(F.when(F.col("is_new"), F.col("ordinal"))).alias("j"),
-        )
-        .filter((F.col("o") == 1) & (F.col("n") == 1)).select("source_id", "line_hash", "i", "j")
+    per_line = hashed.groupBy("source_id", "line_hash").agg(
+        F.count_if(~F.col("is_new")).alias("o"), F.count_if("is_new").alias("n"),
+        F.max(F.when(~F.col("is_new"), F.col("ordinal"))).alias("i"),
+        F.max(F.when(F.col("is_new"), F.col("ordinal"))).alias("j"),
     )
-    highest = running(once, "i", "j", F.max)
+    per_line = checkpointed(per_line)
+    once = per_line.filter("o = 1 AND n = 1").select("source_id", "line_hash", "i", "j")
+    shared = per_line.filter("o > 0 AND n > 0").select(
+        "source_id", "line_hash", F.lit(True).alias("shared")
+    )
+    highest = checkpointed(running(once, "i", "j", F.max))
     lowest = running(highest, "i", "j", F.min, backwards=True)
     cuts = lowest.filter((F.col("max_j") == F.col("j")) & (F.col("min_j") == F.col("j"))).select(
         "source_id", "line_hash", F.lit(1).alias("cut")
     )
     flagged = hashed.join(cuts, ["source_id", "line_hash"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    flagged = flagged.join(shared, ["source_id", "line_hash"], "left").withColumn("shared", F.col("shared").isNotNull())
+    flagged = checkpointed(flagged)
     old = running(flagged.filter(~F.col("is_new")), "ordinal", "cut", F.sum)
     new = running(flagged.filter("is_new"), "ordinal", "cut", F.sum)
-    return old.unionByName(new).withColumnRenamed("sum_cut", "piece").drop("line_hash", "cut")
+    return checkpointed(old.unionByName(new).withColumnRenamed("sum_cut", "piece").drop("line_hash"))
 
 
 def running(df: DataFrame, order: str, value: str, fold, backwards: bool = False, block: int = 4096) -> DataFrame:
@@ -146,16 +152,28 @@ def running(df: DataFrame, order: str, value: str, fold, backwards: bool = False
     return joined.withColumn(name, combined).drop("block", "carried", "inner")
 
 
+# Added lines of a piece sort after its removed ones.
+_AFTER = 1 << 40
+
+
 def diff_lines(chunks: DataFrame, from_version: int, to_version: int) -> DataFrame:
     """Changed lines as rows ``source_id, piece, seq, op, content``, for sources of any length.
 
-    Pieces between anchors are diffed on their own, so what a task holds is one stretch of edits and
-    not one source. Applying the rows in order turns the old layer into the new one.
+    A piece whose lines, its anchor aside, have no counterpart in the other layer needs no alignment:
+    its old lines go and its new ones come. Only pieces with repeated or moved lines are aligned, one
+    piece at a time. Sorted by ``piece, seq`` the rows turn the old layer into the new one.
     """
-    counts = layer_diff_counts(chunks, from_version, to_version).filter("changed").select("source_id")
-    pieces = anchored_pieces(_two_layers(chunks, from_version, to_version).join(counts, "source_id", "left_semi"))
+    lines = _two_layers(chunks, from_version, to_version)
+    both = lines.groupBy("source_id").agg(F.bool_or("is_new").alias("n"), F.bool_or(~F.col("is_new")).alias("o")).filter("n AND o")
+    pieces = anchored_pieces(lines.join(both.select("source_id"), "source_id", "left_semi")).filter("cut = 0")
+    tangled = pieces.filter("shared").select("source_id", "piece").distinct()
+    keys = ["source_id", "piece"]
+    plain = pieces.join(tangled, keys, "left_anti").select(
+        *keys, (F.col("ordinal").cast("long") + F.when(F.col("is_new"), _AFTER).otherwise(0)).alias("seq"),
+        F.when(F.col("is_new"), "+").otherwise("-").alias("op"), "content",
+    )
 
-    def one_piece(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def align(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("ordinal")
         old = ordered.loc[~ordered["is_new"], "content"].tolist()
         new = ordered.loc[ordered["is_new"], "content"].tolist()
@@ -166,9 +184,10 @@ def diff_lines(chunks: DataFrame, from_version: int, to_version: int) -> DataFra
         frame = pd.DataFrame(out, columns=["op", "content"])
         return frame.assign(source_id=key[0], piece=key[1], seq=range(len(frame)))
 
-    return pieces.groupBy("source_id", "piece").applyInPandas(
-        one_piece, "source_id string, piece long, seq int, op string, content string"
+    aligned = pieces.join(tangled, keys, "left_semi").groupBy(*keys).applyInPandas(
+        align, "source_id string, piece long, seq long, op string, content string"
     )
+    return plain.unionByName(aligned)
 
 
 def layer_diffs(chunks: DataFrame, from_version: int, to_version: int, *, max_lines: int = 20000) -> DataFrame:
@@ -178,9 +197,18 @@ def layer_diffs(chunks: DataFrame, from_version: int, to_version: int, *, max_li
     layers together. Longer ones are counted from :func:`diff_lines`, which holds their whole diff
     as rows; their ``unified_diff`` is null, since one string could not hold it.
     """
-    counts = line_counts(_two_layers(chunks, from_version, to_version)).filter("old_lines > 0 AND new_lines > 0")
-    sized = counts.withColumn("short", F.col("old_lines") + F.col("new_lines") <= max_lines)
-    short = sized.filter("short AND changed").select("source_id")
+    lines = _two_layers(chunks, from_version, to_version).withColumn("line_hash", F.sha2("content", 256))
+    by_place = lines.groupBy("source_id", "ordinal").agg(
+        F.max(F.when(~F.col("is_new"), F.col("line_hash"))).alias("o"), F.max(F.when(F.col("is_new"), F.col("line_hash"))).alias("n")
+    )
+    sized = checkpointed(
+        by_place.groupBy("source_id").agg(
+            F.count("o").alias("old_lines"), F.count("n").alias("new_lines"), F.bool_and(F.col("o").eqNullSafe(F.col("n"))).alias("same")
+        )
+        .filter("old_lines > 0 AND new_lines > 0")
+        .withColumn("short", F.col("old_lines") + F.col("new_lines") <= max_lines)
+    )
+    short = sized.filter("short AND NOT same").select("source_id")
     ordered = F.sort_array(F.collect_list(F.struct("ordinal", "content")))
     texts = (
         _two_layers(chunks, from_version, to_version).join(short, "source_id", "left_semi")
@@ -193,10 +221,10 @@ def layer_diffs(chunks: DataFrame, from_version: int, to_version: int, *, max_li
     diffed = texts.select(
         "source_id", _diff_arrays("old", "new", F.lit(f"v{from_version}"), F.lit(f"v{to_version}")).alias("d")
     ).select("source_id", "d.*")
-    same = sized.filter("NOT changed").select(
+    same = sized.filter("same").select(
         "source_id", F.lit("").alias("unified_diff"), F.lit(0).alias("added_lines"), F.lit(0).alias("removed_lines")
     )
-    long_chunks = chunks.join(sized.filter("NOT short AND changed").select("source_id"), "source_id", "left_semi")
+    long_chunks = chunks.join(sized.filter("NOT short AND NOT same").select("source_id"), "source_id", "left_semi")
     long = diff_lines(long_chunks, from_version, to_version).groupBy("source_id").agg(
         F.lit(None).cast("string").alias("unified_diff"),
         F.count_if(F.col("op") == "+").cast("int").alias("added_lines"),
