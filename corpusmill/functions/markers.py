@@ -9,28 +9,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The marker patterns. ``(?U)`` gives \b \d \w \s their Unicode meaning.
-ISO_DATE = r"(?U)\b\d{4}-\d{2}-\d{2}\b"
-SLASH_DATE = r"(?U)\b\d{1,2}/\d{1,2}/\d{2,4}\b"
+# The marker patterns. They are written for ASCII text; other text gets the ``(?U)``
+# flag in front, under which \b \d \w \s have their Unicode meaning and matching is much slower.
+ISO_DATE = r"\b\d{4}-\d{2}-\d{2}\b"
+SLASH_DATE = r"\b\d{1,2}/\d{1,2}/\d{2,4}\b"
 UNIT_METRIC = (
-    r"(?Ui)(?<![\d/-])\b(\d[\d,]*(?:\.\d+)?)\s?"
-    r"(ms|s|secs?|mins?|hrs?|GB|MB|KB|TB|%|rps|req/s|bytes?|errors?|requests?)(?=\W|$)"
+    r"(?i)(?<![\d/-])\b\d[\d,]*(?:\.\d+)?\s?"
+    r"(?:ms|s|secs?|mins?|hrs?|GB|MB|KB|TB|%|rps|req/s|bytes?|errors?|requests?)(?=\W|$)"
 )
-KEY_METRIC = r"(?U)\b([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*(\d[\d,]*(?:\.\d+)?)\b"
-ERROR_CODE = r"(?U)\b(?:ERR(?:OR)?[-_]?\d{2,}|E\d{3,})\b"
-HTTP_STATUS = r"(?Ui)\b(?:HTTP|status)\s?([1-5]\d{2})\b"
-EXCEPTION = r"(?U)\b[A-Z][A-Za-z0-9]*(?:Error|Exception)\b"
+KEY_METRIC = r"\b[A-Za-z_][A-Za-z0-9_]*+\s*+[:=]\s*+\d[\d,]*(?:\.\d+)?\b"
+ERROR_CODE = r"\b(?:ERR(?:OR)?[-_]?\d{2,}|E\d{3,})\b"
+HTTP_STATUS = r"(?i)\b(?:HTTP|status)\s?[1-5]\d{2}\b"
+EXCEPTION = r"\b[A-Z][A-Za-z0-9]*(?:Error|Exception)\b"
 
 MARKER_TYPE = "struct<kind:string,text:string,value:string>"
 
 
-def _found(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _found(text: Column, pattern: str) -> Column:
+    """All matches of a pattern, in one pass over the text."""
+    ascii_only = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    any_text = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
+    return F.when(text.rlike(r"[^\x00-\x7f]"), any_text).otherwise(ascii_only)
 
 
 def _marker(kind: str, text: Column, value: Column | None = None) -> Column:
     shown = F.lit(None).cast("string") if value is None else value
-    return F.struct(F.lit(kind).alias("kind"), text.alias("text"), shown.alias("value")).cast(MARKER_TYPE)
+    return F.struct(F.lit(kind).alias("kind"), text.alias("text"), shown.alias("value"))
 
 
 def iso_dates(text: Column) -> Column:
@@ -42,16 +46,17 @@ def slash_dates(text: Column) -> Column:
 
 
 def unit_metrics(text: Column) -> Column:
-    return F.zip_with(
-        _found(text, UNIT_METRIC, 0), _found(text, UNIT_METRIC, 1), lambda m, n: _marker("metric", m, n)
+    return F.transform(
+        _found(text, UNIT_METRIC), lambda m: _marker("metric", m, F.regexp_extract(m, r"(?U)^\d[\d,]*(?:\.\d+)?", 0))
     )
 
 
 def key_metrics(text: Column) -> Column:
-    return F.zip_with(
-        _found(text, KEY_METRIC, 1), _found(text, KEY_METRIC, 2),
-        lambda name, number: _marker("metric", F.concat(name, F.lit("="), number), number),
-    )
+    def pair(m: Column) -> Column:
+        number = F.regexp_extract(m, r"(?U)[:=]\s*(.*)$", 1)
+        return _marker("metric", F.concat(F.regexp_extract(m, "^[A-Za-z0-9_]+", 0), F.lit("="), number), number)
+
+    return F.transform(_found(text, KEY_METRIC), pair)
 
 
 def error_codes(text: Column) -> Column:
@@ -59,9 +64,7 @@ def error_codes(text: Column) -> Column:
 
 
 def http_statuses(text: Column) -> Column:
-    return F.zip_with(
-        _found(text, HTTP_STATUS, 0), _found(text, HTTP_STATUS, 1), lambda m, code: _marker("error_code", m, code)
-    )
+    return F.transform(_found(text, HTTP_STATUS), lambda m: _marker("error_code", m, F.right(m, F.lit(3))))
 
 
 def exceptions(text: Column) -> Column:
