@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from corpusmill.plans import layers, metrics, retrieval, state, text  # noqa: F401
+from corpusmill.plans import layers, metrics, retrieval, state, streams, text  # noqa: F401
 from corpusmill.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
