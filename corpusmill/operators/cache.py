@@ -20,7 +20,7 @@ def lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
 def misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """One request per key that the cache does not hold.
 
-    ``max_by`` over the whole row makes the choice among equal keys reproducible.
+    Equal keys stand for equal prompts, so any of their requests will do.
     """
     from corpusmill.operators.upsert import latest_per_key
 

@@ -22,20 +22,17 @@ def require_columns(df: DataFrame, names: Sequence[str], what: str = "input") ->
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ()) -> DataFrame:
-    """One row per key, the greatest in ``order``; remaining ties go to the greatest row.
+    """One row per key, the greatest in ``order``; what still ties is settled by the rows' hash.
 
     An aggregate, not a window: copies of a hot key are reduced on the map side, so no task ever
-    holds them all.
+    holds them all. The hash keeps the choice reproducible without sending every column twice.
     """
-    others = [name for name in df.columns if name not in keys]
+    others = [field for field in df.schema.fields if field.name not in keys]
     if not others:
         return df.distinct()
-    orderable = [
-        F.col(f.name) if "map" not in f.dataType.simpleString() else F.to_json(F.col(f.name))
-        for f in df.schema.fields if f.name in others
-    ]
-    ranking = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order], *orderable)
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*others), ranking).alias("picked"))
+    hashed = [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in others]
+    ranking = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order], F.xxhash64(*hashed))
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*[f.name for f in others]), ranking).alias("picked"))
     return picked.select(*keys, "picked.*").select(*df.columns)
 
 

@@ -255,7 +255,7 @@ def _cache(requests):
     return upsert.latest_per_key(
         requests.filter("conv_id % 2 = 0").select(
             "key", F.concat(F.lit("known "), F.length("query").cast("string")).alias("value"),
-            day(F.col("turn") * 3).alias("put_at"), day(F.col("conv_id") % 5).alias("last_used")), ["key"])
+            day(F.col("turn") * 3).alias("put_at"), day(F.col("conv_id") % 5).alias("last_used")), ["key"], ["value", "put_at", "last_used"])
 
 
 _CACHE_SQL = (
