@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The marker patterns. They are written for ASCII text; other text gets the ``(?U)``
-# flag in front, under which \b \d \w \s have their Unicode meaning and matching is much slower.
+# The marker patterns. They run with the ``(?U)`` flag in front, under which \b \d \w \s
+# have their Unicode meaning.
 ISO_DATE = r"\b\d{4}-\d{2}-\d{2}\b"
 SLASH_DATE = r"\b\d{1,2}/\d{1,2}/\d{2,4}\b"
 UNIT_METRIC = (
@@ -27,9 +27,7 @@ MARKER_TYPE = "struct<kind:string,text:string,value:string>"
 
 def _found(text: Column, pattern: str) -> Column:
     """All matches of a pattern, in one pass over the text."""
-    ascii_only = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    any_text = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
-    return F.when(text.rlike(r"[^\x00-\x7f]"), any_text).otherwise(ascii_only)
+    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
 
 def _marker(kind: str, text: Column, value: Column | None = None) -> Column:
