@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusmill.llm import exact, mixing, packing, simhash, toxicity
+from corpusmill.llm import crossparse, exact, mixing, packing, secret_scan, simhash, substrings, surrogates, toxicity, vectors
 from corpusmill.llm.common import held_out
 from corpusmill.plans.base import table
 from corpusmill.session import ship_package
@@ -30,6 +30,8 @@ def query(name: str, sql: str | None = None):
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
+#: Key of the surrogates of the registered query; a deployment passes its own.
+KEY = "registered query"
 
 
 @query("op1_toxicity")
@@ -40,6 +42,22 @@ def toxicity_scores(spark, folder):
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def _shown(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _number(kind):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
+@query("op2_secret_scan")
+def secrets(spark, folder):
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    counts = [_number(rule.kind).alias(f"n_{rule.kind}") for rule in secret_scan.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(*[rule.kind for rule in secret_scan.BASE]))
+    return found.select("doc_id", *counts, F.sha2(_shown(base), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans"))
+
+
 @query("op3_simhash_near_duplicates")
 def near_duplicates(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
@@ -56,6 +74,29 @@ def exact_duplicates(spark, folder):
     return found.withColumnRenamed("full_hash", "text_sha256")
 
 
+@query("op5_repeated_passages")
+def repeated_passages(spark, folder):
+    return substrings.repeated_passages(table(spark, folder, "documents"))
+
+
+@query("op6_surrogates")
+def surrogate_texts(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, KEY)
+
+
+@query("op7_language")
+def languages(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = crossparse.identify(docs, crossparse.learn(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_near_vectors")
+def near_vectors(spark, folder):
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query("op9_curriculum_mix", """
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
