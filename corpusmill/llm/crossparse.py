@@ -39,7 +39,10 @@ def plain(text: str | None) -> str:
 
 
 def suffix_automaton(text: str, letters: dict[str, int], width: int) -> np.ndarray:
-    """Transitions (state, letter) of the automaton of all substrings; -1 where there is none, state 0 is the start."""
+    """Transitions (state, letter) of the automaton of all substrings; -1 where there is none.
+
+    State 0 is the start; the last state is of no substring and has no transitions.
+    """
     moves, link, length = [{}], [-1], [0]
     last = 0
     for letter in text:
@@ -65,7 +68,7 @@ def suffix_automaton(text: str, letters: dict[str, int], width: int) -> np.ndarr
                     at = link[at]
                 link[target] = link[state] = copy
         last = state
-    table = np.full((len(moves), width), -1, dtype=np.int32)
+    table = np.full((len(moves) + 1, width), -1, dtype=np.int32)
     for state, own in enumerate(moves):
         for code, target in own.items():
             table[state, code] = target
@@ -104,16 +107,18 @@ class Parser:
         counts = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
         owners = np.array(owner)[order]
         for language, table in enumerate(self.tables):
-            start = np.maximum(table[: self.width], 0)
+            # A letter that the sample lacks is a phrase of its own: its state, the last one, leads nowhere.
+            start = np.where(table[: self.width] < 0, len(table) // self.width - 1, table[: self.width])
             state = np.zeros(len(runs), dtype=np.int32)
             broken = np.zeros(len(runs), dtype=np.int32)
             for step, lanes in enumerate(active):
                 letter = grid[step, :lanes]
                 following = table[state[:lanes] * np.int32(self.width) + letter]
                 failed = following < 0
-                broken[:lanes] += failed
+                if step:  # the first letter ends no phrase
+                    broken[:lanes] += failed
                 state[:lanes] = np.where(failed, start[letter], following)
-            np.add.at(counts[:, language], owners, broken + (state > 0))
+            np.add.at(counts[:, language], owners, broken + 1)
         return counts
 
 
