@@ -103,8 +103,3 @@ def ledger_key(model_id: Column, dim: Column, chunk: Column) -> Column:
 
 def task_key(bucket: Column, key: Column) -> Column:
     return F.concat(F.lit("sqs:"), bucket, F.lit(":"), key)
-
-
-def seed_from_text(text: Column) -> Column:
-    """The last four of the first eight hash bytes, i.e. those eight bytes modulo 2^32."""
-    return F.conv(F.substring(F.sha2(text, 256), 9, 8), 16, 10).cast("long")

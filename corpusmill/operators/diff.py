@@ -3,37 +3,13 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from corpusmill.session import checkpointed
 
-CONTEXT_LINES = 3
-
-
-def line_counts(lines: DataFrame, key: str = "source_id", side: str = "is_new", line: str = "content") -> DataFrame:
-    """changed, added and removed per key, lines compared as multisets.
-
-    Counts per (key, line) are combined on the map side and spread by the line's hash, so neither a
-    key with very many lines nor a line with very many copies gathers in one task.
-    """
-    present = F.col(line).isNotNull()
-    old, new = F.count_if(present & ~F.col(side)), F.count_if(present & F.col(side))
-    per_line = lines.groupBy(key, F.sha2(F.col(line), 256).alias("line_hash")).agg(old.alias("o"), new.alias("n"))
-    return (
-        per_line.groupBy(key)
-        .agg(
-            F.sum("o").alias("old_lines"), F.sum("n").alias("new_lines"),
-            F.sum(F.greatest(F.col("n") - F.col("o"), F.lit(0))).alias("added_lines"),
-            F.sum(F.greatest(F.col("o") - F.col("n"), F.lit(0))).alias("removed_lines"),
-        )
-        .withColumn("changed", (F.col("added_lines") > 0) | (F.col("removed_lines") > 0))
-    )
-
 
 def _two_layers(chunks: DataFrame, from_version: int, to_version: int) -> DataFrame:
     """Both layers as lines; a layer compared with itself counts on both sides."""
@@ -45,10 +21,20 @@ def _two_layers(chunks: DataFrame, from_version: int, to_version: int) -> DataFr
     return one(from_version, False).unionByName(one(to_version, True))
 
 
+def _counted(lines: DataFrame) -> DataFrame:
+    """changed, added and removed lines per source that has a row in ``lines``, from the ordered diff."""
+    changes = diff_rows(lines.filter(F.col("content").isNotNull())).groupBy("source_id").agg(
+        F.count_if(F.col("op") == "+").alias("added"), F.count_if(F.col("op") == "-").alias("removed"))
+    counts = lines.select("source_id").distinct().join(changes, "source_id", "left")
+    added, removed = F.coalesce("added", F.lit(0)), F.coalesce("removed", F.lit(0))
+    return counts.select(
+        "source_id", (added + removed > 0).alias("changed"), added.alias("added_lines"), removed.alias("removed_lines"))
+
+
 def layer_diff_counts(chunks: DataFrame, from_version: int, to_version: int) -> DataFrame:
-    """Counts for every source that has both layers."""
-    counts = line_counts(_two_layers(chunks, from_version, to_version))
-    return counts.filter((F.col("old_lines") > 0) & (F.col("new_lines") > 0)).select(
+    """Counts of the ordered diff for every source that has both layers; a moved line is removed and added."""
+    counts = _counted(_in_both(_two_layers(chunks, from_version, to_version)))
+    return counts.select(
         "source_id", F.lit(from_version).alias("from_version"), F.lit(to_version).alias("to_version"),
         "changed", "added_lines", "removed_lines",
     )
@@ -61,37 +47,11 @@ def split_lines(body: Column) -> Column:
 
 
 def text_diff_counts(texts: DataFrame, key: str, original: str, suggestion: str) -> DataFrame:
-    """Line counts between two text columns of a row, one row per unique ``key``."""
+    """Counts of the ordered diff between two text columns of a row, one row per unique ``key``."""
     sides = F.array(split_lines(F.col(original)), split_lines(F.col(suggestion)))
-    both = texts.select(key, F.posexplode(sides).alias("at", "lines"))
-    lines = both.select(key, (F.col("at") == 1).alias("is_new"), F.explode_outer("lines").alias("content"))
-    return line_counts(lines, key).select(key, "changed", "added_lines", "removed_lines")
-
-
-def unified_lines(old: list[str], new: list[str], from_label: str, to_label: str) -> tuple[str, int, int]:
-    """Unified diff text with three lines of context, and its added and removed counts."""
-    shown = list(difflib.unified_diff(old, new, from_label, to_label, n=CONTEXT_LINES, lineterm=""))
-    added = sum(line[:1] == "+" and line[:3] != "+++" for line in shown)
-    removed = sum(line[:1] == "-" and line[:3] != "---" for line in shown)
-    return "\n".join(shown), added, removed
-
-
-_DIFF = StructType([
-    StructField("unified_diff", StringType()), StructField("added_lines", IntegerType()), StructField("removed_lines", IntegerType()),
-])
-
-
-@F.pandas_udf(_DIFF)
-def _diff_arrays(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for old, new, from_label, to_label in batches:
-        rows = [unified_lines(list(o), list(n), f, t) for o, n, f, t in zip(old, new, from_label, to_label)]
-        yield pd.DataFrame(rows, columns=["unified_diff", "added_lines", "removed_lines"])
-
-
-def unified_text_diff(original: Column, suggestion: Column, from_label: str = "original", to_label: str = "suggestion") -> Column:
-    """Struct of diff text and counts between two text columns, lines split as ``str.splitlines`` does."""
-
-    return _diff_arrays(split_lines(original), split_lines(suggestion), F.lit(from_label), F.lit(to_label))
+    both = texts.select(F.col(key).alias("source_id"), F.posexplode(sides).alias("at", "lines"))
+    lines = both.select("source_id", (F.col("at") == 1).alias("is_new"), F.posexplode_outer("lines").alias("ordinal", "content"))
+    return _counted(lines).withColumnRenamed("source_id", key).select(key, "changed", "added_lines", "removed_lines")
 
 
 def anchored_pieces(lines: DataFrame) -> DataFrame:
@@ -156,82 +116,65 @@ def running(df: DataFrame, order: str, value: str, fold, backwards: bool = False
 _AFTER = 1 << 40
 
 
-def diff_lines(chunks: DataFrame, from_version: int, to_version: int) -> DataFrame:
-    """Changed lines as rows ``source_id, piece, seq, op, content``, for sources of any length.
+def _in_both(lines: DataFrame) -> DataFrame:
+    """The lines of sources that have lines on both sides."""
+    both = lines.groupBy("source_id").agg(F.bool_or("is_new").alias("n"), F.bool_or(~F.col("is_new")).alias("o")).filter("n AND o")
+    return lines.join(both.select("source_id"), "source_id", "left_semi")
+
+
+def diff_rows(lines: DataFrame) -> DataFrame:
+    """Changed lines ``source_id, piece, seq, op, ordinal, content`` from (source_id, ordinal, content, is_new).
 
-    A piece whose lines, its anchor aside, have no counterpart in the other layer needs no alignment:
-    its old lines go and its new ones come. Only pieces with repeated or moved lines are aligned, one
-    piece at a time. Sorted by ``piece, seq`` the rows turn the old layer into the new one.
+    A piece whose lines, its anchor aside, have no counterpart on the other side needs no alignment: its old
+    lines go and its new ones come. Only pieces with repeated or moved lines are aligned, one piece at a time.
+    ``ordinal`` is the place of the line on its own side.
     """
-    lines = _two_layers(chunks, from_version, to_version)
-    both = lines.groupBy("source_id").agg(F.bool_or("is_new").alias("n"), F.bool_or(~F.col("is_new")).alias("o")).filter("n AND o")
-    pieces = anchored_pieces(lines.join(both.select("source_id"), "source_id", "left_semi")).filter("cut = 0")
-    tangled = pieces.filter("shared").select("source_id", "piece").distinct()
-    keys = ["source_id", "piece"]
+    keys, kind = ["source_id", "piece"], lines.schema["source_id"].dataType.simpleString()
+    pieces = anchored_pieces(lines.select("source_id", "ordinal", "content", "is_new")).filter("cut = 0")
+    tangled = pieces.filter("shared").select(*keys).distinct()
     plain = pieces.join(tangled, keys, "left_anti").select(
         *keys, (F.col("ordinal").cast("long") + F.when(F.col("is_new"), _AFTER).otherwise(0)).alias("seq"),
-        F.when(F.col("is_new"), "+").otherwise("-").alias("op"), "content",
+        F.when(F.col("is_new"), "+").otherwise("-").alias("op"), F.col("ordinal").cast("long").alias("ordinal"), "content",
     )
 
     def align(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("ordinal")
-        old = ordered.loc[~ordered["is_new"], "content"].tolist()
-        new = ordered.loc[ordered["is_new"], "content"].tolist()
-        out = []
-        for tag, i, i_end, j, j_end in difflib.SequenceMatcher(None, old, new).get_opcodes():
+        old, new = ordered[~ordered["is_new"]], ordered[ordered["is_new"]]
+        changes = []
+        for tag, i, i_end, j, j_end in difflib.SequenceMatcher(None, old["content"].tolist(), new["content"].tolist()).get_opcodes():
             if tag != "equal":
-                out += [("-", line) for line in old[i:i_end]] + [("+", line) for line in new[j:j_end]]
-        frame = pd.DataFrame(out, columns=["op", "content"])
+                changes += [old.iloc[i:i_end].assign(op="-"), new.iloc[j:j_end].assign(op="+")]
+        frame = pd.concat(changes) if changes else ordered.iloc[:0].assign(op="")
+        frame = frame[["op", "ordinal", "content"]]
         return frame.assign(source_id=key[0], piece=key[1], seq=range(len(frame)))
 
     aligned = pieces.join(tangled, keys, "left_semi").groupBy(*keys).applyInPandas(
-        align, "source_id string, piece long, seq long, op string, content string"
+        align, f"source_id {kind}, piece long, seq long, op string, ordinal long, content string"
     )
     return plain.unionByName(aligned)
 
 
-def layer_diffs(chunks: DataFrame, from_version: int, to_version: int, *, max_lines: int = 20000) -> DataFrame:
-    """Unified diff text and counts per source that has both layers.
+def diff_lines(chunks: DataFrame, from_version: int, to_version: int) -> DataFrame:
+    """The diff of every source that has both layers, as rows, for sources of any length.
 
-    Texts are only gathered for sources that changed and have at most ``max_lines`` lines in both
-    layers together. Longer ones are counted from :func:`diff_lines`, which holds their whole diff
-    as rows; their ``unified_diff`` is null, since one string could not hold it.
+    Sorted by ``piece, seq`` the rows turn the old layer into the new one; :func:`apply_diff` does so.
     """
-    lines = _two_layers(chunks, from_version, to_version).withColumn("line_hash", F.sha2("content", 256))
-    by_place = lines.groupBy("source_id", "ordinal").agg(
-        F.max(F.when(~F.col("is_new"), F.col("line_hash"))).alias("o"), F.max(F.when(F.col("is_new"), F.col("line_hash"))).alias("n")
-    )
-    sized = checkpointed(
-        by_place.groupBy("source_id").agg(
-            F.count("o").alias("old_lines"), F.count("n").alias("new_lines"), F.bool_and(F.col("o").eqNullSafe(F.col("n"))).alias("same")
-        )
-        .filter("old_lines > 0 AND new_lines > 0")
-        .withColumn("short", F.col("old_lines") + F.col("new_lines") <= max_lines)
-    )
-    short = sized.filter("short AND NOT same").select("source_id")
-    ordered = F.sort_array(F.collect_list(F.struct("ordinal", "content")))
-    texts = (
-        _two_layers(chunks, from_version, to_version).join(short, "source_id", "left_semi")
-        .groupBy("source_id", "is_new").agg(F.transform(ordered, lambda x: x["content"]).alias("lines"))
-        .groupBy("source_id").agg(
-            F.max(F.when(~F.col("is_new"), F.col("lines"))).alias("old"),
-            F.max(F.when(F.col("is_new"), F.col("lines"))).alias("new"),
-        )
-    )
-    diffed = texts.select(
-        "source_id", _diff_arrays("old", "new", F.lit(f"v{from_version}"), F.lit(f"v{to_version}")).alias("d")
-    ).select("source_id", "d.*")
-    same = sized.filter("same").select(
-        "source_id", F.lit("").alias("unified_diff"), F.lit(0).alias("added_lines"), F.lit(0).alias("removed_lines")
-    )
-    long_chunks = chunks.join(sized.filter("NOT short AND NOT same").select("source_id"), "source_id", "left_semi")
-    long = diff_lines(long_chunks, from_version, to_version).groupBy("source_id").agg(
-        F.lit(None).cast("string").alias("unified_diff"),
-        F.count_if(F.col("op") == "+").cast("int").alias("added_lines"),
-        F.count_if(F.col("op") == "-").cast("int").alias("removed_lines"),
-    )
-    return diffed.unionByName(same).unionByName(long).select(
-        "source_id", F.lit(from_version).alias("from_version"), F.lit(to_version).alias("to_version"),
-        ((F.col("added_lines") > 0) | (F.col("removed_lines") > 0)).alias("changed"),
-        "added_lines", "removed_lines", "unified_diff",
-    )
+    return diff_rows(_in_both(_two_layers(chunks, from_version, to_version)))
+
+
+def apply_diff(old: DataFrame, rows: DataFrame) -> DataFrame:
+    """(source_id, ordinal, content) of the new layer from the old one's and the rows of a diff.
+
+    Added lines have their places; the kept lines, in order, fill the places that are left. Both orders are
+    counted over blocks of a source.
+    """
+    removed = rows.filter("op = '-'").select("source_id", "ordinal")
+    added = rows.filter("op = '+'").select("source_id", "ordinal", "content")
+    kept = old.select("source_id", F.col("ordinal").cast("long").alias("ordinal"), "content").join(removed, ["source_id", "ordinal"], "left_anti")
+    sizes = kept.select("source_id").unionByName(added.select("source_id")).groupBy("source_id").agg(F.count("*").alias("n"))
+    places = sizes.select("source_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("ordinal"))
+    free = places.join(added, ["source_id", "ordinal"], "left_anti")
+    rank = lambda df: running(checkpointed(df.withColumn("one", F.lit(1))), "ordinal", "one", F.sum).withColumnRenamed("sum_one", "rank")
+    filled = rank(kept).select("source_id", "rank", "content").join(
+        rank(free).select("source_id", "rank", "ordinal"), ["source_id", "rank"])
+    return filled.select("source_id", "ordinal", "content").unionByName(added)

@@ -9,9 +9,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import rows_within
+
 # Sketch accuracy behind exact percentiles: brackets hold about 8 / ACCURACY of a group's rows.
 # Raise it for groups of more than about 10^10 distinct values.
 ACCURACY = 10_000
+# Groups whose sketches are broadcast; beyond that the join is salted.
+BROADCAST_GROUPS, SALTS = 1_000, 64
+# Ranges in which a group's bracketed values are counted before any are sorted.
+BINS = 1_024
 
 
 def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, percents: Mapping[str, str], *,
@@ -20,8 +26,8 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, percents
 
     ``percents`` maps output names to percents written as text (``{"p99": "99"}``). A mergeable
     sketch brackets every percentile first; one more pass counts rows by value inside the brackets
-    and lumps together all rows between them, combined on the map side. Only those counts are
-    sorted. Should a percentile ever fall outside its bracket, the query fails instead of answering
+    and lumps together all rows between them, combined on the map side. Those counts are folded by
+    range of value, and only the ranges that hold a percentile are sorted. Should a percentile ever fall outside its bracket, the query fails instead of answering
     wrongly. Without groups the brackets are one row, which is read at once and put in as literals.
     """
     keys = list(groups)
@@ -34,7 +40,7 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, percents
     ]
     sketched = data.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", edges, accuracy).alias("edges"))
     if keys:
-        placed = data.join(sketched, keys)
+        placed = _with_sketch(data, sketched, keys)
     else:
         total, found = sketched.first()
         at = F.array(*[F.lit(edge) for edge in found]) if found else F.lit(None).cast("array<double>")
@@ -48,12 +54,14 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, percents
         placed.select(*keys, "n", F.when(inside, v).otherwise(passed).alias("at"), (~inside).alias("lumped"))
         .groupBy(*keys, "n", "at", "lumped").agg(F.count("*").alias("c"))
     )
-    order = Window.partitionBy(*keys).orderBy(F.col("at").asc_nulls_first(), "lumped")
-    running = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def target(share: Decimal) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.col("n").cast("decimal(20,0)") * F.lit(share).cast("decimal(10,6)")))
+
+    running = _running_counts(counted, keys, [target(share) for share in shares.values()])
 
     def pick(share: Decimal) -> Column:
-        target = F.greatest(F.lit(1), F.ceil(F.col("n").cast("decimal(20,0)") * F.lit(share).cast("decimal(10,6)")))
-        found = F.min(F.when(F.col("upto") >= target, F.struct("upto", "at", "lumped")))
+        found = F.min(F.when(F.col("upto") >= target(share), F.struct("upto", "at", "lumped")))
         outside = F.raise_error(F.lit("percentile outside its bracket")).cast("double")
         return F.when(F.max("n").isNull(), None).when(found["lumped"] | found.isNull(), outside).otherwise(found["at"])
 
@@ -62,12 +70,50 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, percents
     )
 
 
+def _with_sketch(data: DataFrame, sketched: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their group's sketch: broadcast when the groups are counted to be few, else joined on salted keys.
+
+    Either way no group's rows meet in one task.
+    """
+    rows = rows_within(sketched, BROADCAST_GROUPS)
+    if rows is not None:
+        few = data.sparkSession.createDataFrame(rows, sketched.schema)
+        return data.join(F.broadcast(few), keys)
+    salted = data.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
+    return salted.join(sketched.select("*", copies), [*keys, "salt"]).drop("salt")
+
+
+def _running_counts(counted: DataFrame, keys: list[str], targets: list[Column]) -> DataFrame:
+    """``upto``, the rows up to each value of a group, where a percentile may lie.
+
+    The values are first counted by range: BINS ranges of equal width of what each group holds. Only ranges in
+    which the running count passes a target are opened, so the sorted windows hold BINS rows of a group and
+    then the values of a few ranges.
+    """
+    limits = counted.groupBy(*keys).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    width = F.col("high") - F.col("low")
+    place = F.least(F.lit(BINS - 1), F.floor(F.try_divide(F.col("at") - F.col("low"), width) * BINS))
+    place = F.when(F.col("at").isNull(), -1).when(~(width > 0), 0).when(width == float("inf"), 0).otherwise(place).cast("int")
+    limits = limits.hint("broadcast") if not keys else limits
+    ranged = (counted.join(limits, keys) if keys else counted.crossJoin(limits)).withColumn("bin", place).drop("low", "high")
+    binned = ranged.groupBy(*keys, "n", "bin").agg(F.sum("c").alias("c"))
+    order = Window.partitionBy(*keys).orderBy("bin")
+    binned = binned.withColumn("before", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    passes = reduce(lambda x, y: x | y, [(F.col("before") < t) & (F.col("before") + F.col("c") >= t) for t in targets])
+    opened = binned.filter(passes).select(*keys, "bin", "before")
+    inside = Window.partitionBy(*keys, "bin").orderBy(F.col("at").asc_nulls_first(), "lumped")
+    upto = F.col("before") + F.sum("c").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(opened, [*keys, "bin"]).withColumn("upto", upto)
+
+
 def latency_summary(df: DataFrame, value: str = "latency") -> DataFrame:
-    """count, min, mean, p50, p90, p95, p99, max; zeros when there are no rows."""
+    """count, min, mean, p50, p90, p95, p99, max over what is a number; zeros when there is none."""
     ranks = exact_percentiles(df, [], value, {"p50": "50", "p90": "90", "p95": "95", "p99": "99"}).drop("samples")
+    number = F.when(~F.isnan(value), F.col(value))
     basics = df.agg(
-        F.count(value).cast("double").alias("count"), F.min(value).alias("min"),
-        F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"),
+        F.count(number).cast("double").alias("count"), F.min(number).alias("min"),
+        F.round(F.avg(number), 6).alias("mean"), F.max(number).alias("max"),
     )
     names = ("count", "min", "mean", "p50", "p90", "p95", "p99", "max")
     both = basics.unionByName(ranks, allowMissingColumns=True)
@@ -146,10 +192,10 @@ def endpoint_latency(requests: DataFrame, routes: Sequence[str], percents: Mappi
 
 
 def run_gauges(records: DataFrame) -> DataFrame:
-    """Totals over the runs' summary records."""
+    """One row per run, from its summary records."""
     failed = F.col("event") == "pipeline_failed"
     runs = records.filter(F.col("event").isin("pipeline_done", "pipeline_failed"))
-    return runs.agg(
+    return runs.groupBy("request_id").agg(
         F.sum(F.when(~failed, F.col("rows_ingested"))).alias("rows_ingested"),
         F.sum(F.when(~failed, F.col("rows_dropped"))).alias("rows_dropped"),
         F.count("*").alias("invocations"), F.count_if(failed).alias("invocation_failures"),

@@ -6,18 +6,17 @@ best rows per query, so no (query, vector) pair is ever a row and the table itse
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.session import rows_within
-
-# Queries that travel to every task; larger sets take the grid path.
-MAX_BROADCAST_QUERIES = 2048
+# Queries that travel to every task at once, and scores held at once.
+ROUND = 4096
+SCORES = 4_000_000
 # Scores are ranked at this many decimals, so that equal vectors tie whatever block they were
 # multiplied in, and ties go to the smaller id.
 SCORE_DECIMALS = 9
@@ -41,18 +40,19 @@ class _Best:
         self.score = np.empty(0)
         self.ids: np.ndarray | None = None
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Scores are (queries, rows); -inf marks a pair that does not count."""
-        cut = self.floor
+    def add(self, scores: np.ndarray, ids: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Scores are (queries, rows), of the queries ``asked`` if not all; -inf marks a pair that does not count."""
+        cut = self.floor if asked is None else self.floor[asked]
         if scores.shape[1] > self.k:
             kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
             cut = np.maximum(cut, kth)
-        query, row = np.nonzero((scores >= cut[:, None]) & np.isfinite(scores))
-        if not len(query):
+        local, row = np.nonzero((scores >= cut[:, None]) & np.isfinite(scores))
+        if not len(local):
             return
+        query = local if asked is None else asked[local]
         known = ids[row] if self.ids is None else np.concatenate([self.ids, ids[row]])
         query = np.concatenate([self.query, query])
-        score = np.concatenate([self.score, scores[query[len(self.query):], row]])
+        score = np.concatenate([self.score, scores[local, row]])
         order = np.lexsort((known, -score, query))
         query, score, known = query[order], score[order], known[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
@@ -94,33 +94,53 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 def scan_top_k(
     vectors: DataFrame, matrix: np.ndarray, k: int, *, vector_id: str, embedding: str, metric: str = "cosine",
-    extra: tuple[str, ...] = (), mask: Callable[[pa.RecordBatch], np.ndarray] | None = None,
+    group: str | None = None, members: dict | None = None,
 ) -> DataFrame:
-    """Per-task k best as ``(query_no, <vector_id>, score)``. ``mask`` may rule out pairs."""
+    """Per-task k best as ``(query_no, <vector_id>, score)``.
+
+    With ``group``, rows are scored only against the queries that ``members`` lists for their value of that
+    column; queries under None are scored against every row.
+    """
     context = vectors.sparkSession.sparkContext
-    shared = context.broadcast(matrix)
+    shared = context.broadcast((matrix, members))
     out = f"query_no int, {vector_id} {vectors.schema[vector_id].dataType.simpleString()}, score double"
     id_type = pa.string() if vectors.schema[vector_id].dataType.simpleString() == "string" else None
 
+    def blocks(batch: pa.RecordBatch, known: dict | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query numbers, row numbers) to score together."""
+        rows = np.arange(batch.num_rows)
+        if known is None:
+            yield np.arange(len(shared.value[0])), rows
+            return
+        if None in known:
+            yield known[None], rows
+        coded = batch.column(group).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        for code, value in enumerate(coded.dictionary.to_pylist()):
+            if value is not None and value in known:
+                yield known[value], np.flatnonzero(codes == code)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
+        queries, known = shared.value
         best = _Best(len(queries), k)
         arrow_id = id_type
         for batch in batches:
             if not batch.num_rows:
                 continue
             arrow_id = arrow_id or batch.column(vector_id).type
-            scores = score_block(queries, _to_matrix(batch.column(embedding)), metric)
-            if mask is not None:
-                scores[~mask(batch)] = -np.inf
-            best.add(scores, _ids(batch.column(vector_id)))
+            held, ids = _to_matrix(batch.column(embedding)), _ids(batch.column(vector_id))
+            for asked, rows in blocks(batch, known):
+                step = max(1, SCORES // max(1, len(asked)))
+                for start in range(0, len(rows), step):
+                    part = rows[start : start + step]
+                    best.add(score_block(queries[asked], held[part], metric), ids[part], asked)
         if best.ids is not None:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(best.query, pa.int32()), pa.array(best.ids.tolist(), arrow_id), pa.array(best.score)],
                 ["query_no", vector_id, "score"],
             )
 
-    sized = vectors.filter(F.size(embedding) == matrix.shape[1]).select(vector_id, embedding, *extra)
+    sized = vectors.filter(F.size(embedding) == matrix.shape[1]).select(vector_id, embedding, *([group] if group else []))
     return sized.mapInArrow(scan, out)
 
 
@@ -130,99 +150,63 @@ def rank(candidates: DataFrame, k: int, query: str, vector_id: str) -> DataFrame
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def query_rounds(queries: DataFrame, columns: list[str], query_id: str, query_embedding: str, size: int = ROUND) -> Iterator[list]:
+    """The queries in rounds of about ``size`` rows, dealt by a hash of their id; only one round is held at a time.
+
+    Every query must have the same dimension.
+    """
+    lengths = queries.agg(F.count("*").alias("n"), F.min(F.size(query_embedding)).alias("low"), F.max(F.size(query_embedding)).alias("high")).first()
+    if lengths["n"] and lengths["low"] != lengths["high"]:
+        raise ValueError(f"queries have different dimensions: {lengths['low']} to {lengths['high']}")
+    rounds = -(-lengths["n"] // size)
+    for number in range(rounds):
+        mine = F.pmod(F.xxhash64(query_id), F.lit(rounds)) == number
+        rows = queries.filter(mine).select(*columns).collect()
+        if rows:
+            yield rows
+
+
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int, *, vector_id: str = "chunk_id", query_id: str = "query_id",
     embedding: str = "embedding", query_embedding: str = "query_embedding", metric: str = "cosine",
-    scope: str | None = None, query_scope: str | None = None, max_queries: int = MAX_BROADCAST_QUERIES,
+    scope: str | None = None, query_scope: str | None = None, round_size: int = ROUND,
 ) -> DataFrame:
     """Best ``k`` vectors for every query: ``query_id, vector_id, score, rank``.
 
-    With ``scope`` a query only sees rows whose scope equals its own; a null query scope sees all.
-    Vectors of another size than the queries' are left out.
+    With ``scope`` a query only meets rows whose scope equals its own; a null query scope meets all. Vectors of
+    another size than the queries' are left out. Queries travel to the scan in rounds, so any number of them
+    is answered without a copy or a shuffle of the vectors.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r} (use one of {METRICS})")
-    query_columns = [query_id, query_embedding] + ([query_scope] if query_scope else [])
-    rows = rows_within(queries.select(*query_columns), max_queries)
-    id_type = vectors.schema[vector_id].dataType.simpleString()
-    query_type = queries.schema[query_id].dataType.simpleString()
-    empty = f"{query_id} {query_type}, {vector_id} {id_type}, score double, rank int"
-    if k < 1 or rows == []:
-        return vectors.sparkSession.createDataFrame([], empty)
-    if rows is None:
-        return _grid_top_k(vectors, queries, k, vector_id, query_id, embedding, query_embedding, metric, scope, query_scope)
-    sizes = {len(row[query_embedding]) for row in rows}
-    if len(sizes) != 1:
-        raise ValueError(f"queries have different dimensions: {sorted(sizes)}")
-    mask, extra = None, ()
-    if scope and query_scope:
-        wanted = np.array([row[query_scope] for row in rows], dtype=object)
-        everything = np.array([value is None for value in wanted])
-        extra = (scope,)
-        if not everything.any():
-            vectors = vectors.filter(F.col(scope).isin(*dict.fromkeys(wanted)))
-
-        def mask(batch: pa.RecordBatch) -> np.ndarray:
-            held = np.array(batch.column(scope).to_pylist(), dtype=object)
-            return (wanted[:, None] == held[None, :]) | everything[:, None]
-
-    matrix = query_matrix([row[query_embedding] for row in rows], metric)
-    partial = scan_top_k(
-        vectors, matrix, k, vector_id=vector_id, embedding=embedding, metric=metric, extra=extra, mask=mask
-    )
-    names = vectors.sparkSession.createDataFrame(
-        [(number, row[query_id]) for number, row in enumerate(rows)], f"query_no int, {query_id} {query_type}"
-    )
-    ranked = rank(partial, k, "query_no", vector_id)
-    return ranked.join(F.broadcast(names), "query_no").select(query_id, vector_id, "score", "rank")
-
-
-# Rows per cell side on the grid path.
-GRID_QUERIES, GRID_VECTORS = 1024, 65536
-
-
-def _grid_top_k(vectors, queries, k, vector_id, query_id, embedding, query_embedding, metric, scope, query_scope):
-    """Any number of queries: both sides are dealt into blocks by a hash of their id and every pair
-    of blocks is scored in its own group, of bounded size, which returns k rows per query."""
-    query_blocks = max(1, -(-queries.count() // GRID_QUERIES))
-    vector_blocks = max(1, -(-vectors.count() // GRID_VECTORS))
-    right = vectors.select(
-        F.col(vector_id).alias("vid"), F.col(embedding).alias("vec"),
-        (F.col(scope) if scope else F.lit(None).cast("string")).alias("scope"),
-        F.pmod(F.xxhash64(vector_id), F.lit(vector_blocks)).alias("vb"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"),
-    )
-    left = queries.select(
-        F.col(query_id).alias("qid"), F.col(query_embedding).alias("qvec"),
-        (F.col(query_scope) if query_scope else F.lit(None).cast("string")).alias("qscope"),
-        F.pmod(F.xxhash64(query_id), F.lit(query_blocks)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1)).cast("array<bigint>")).alias("vb"),
-    )
-    scoped = scope is not None and query_scope is not None
-    out = f"qid {queries.schema[query_id].dataType.simpleString()}, vid {vectors.schema[vector_id].dataType.simpleString()}, score double"
-
-    def cell(some_queries: pd.DataFrame, some_vectors: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": some_queries["qid"][:0], "vid": some_vectors["vid"][:0], "score": []})
-        if some_queries.empty or some_vectors.empty:
-            return empty
-        dim = len(some_queries["qvec"].iloc[0])
-        some_vectors = some_vectors[some_vectors["vec"].map(len) == dim]
-        if some_vectors.empty:
-            return empty
-        scores = score_block(query_matrix(some_queries["qvec"].tolist(), metric), np.stack(some_vectors["vec"]), metric)
+    spark = vectors.sparkSession
+    id_type, query_type = (df.schema[name].dataType.simpleString() for df, name in ((vectors, vector_id), (queries, query_id)))
+    found = spark.createDataFrame([], f"{query_id} {query_type}, {vector_id} {id_type}, score double, rank int")
+    if k < 1:
+        return found
+    scoped = bool(scope and query_scope)
+    columns = [query_id, query_embedding] + ([query_scope] if scoped else [])
+    answers = []
+    for rows in query_rounds(queries, columns, query_id, query_embedding, round_size):
+        members, reached = None, vectors
         if scoped:
-            wanted, held = some_queries["qscope"].to_numpy(object), some_vectors["scope"].to_numpy(object)
-            free = some_queries["qscope"].isna().to_numpy()
-            scores[~((wanted[:, None] == held[None, :]) | free[:, None])] = -np.inf
-        best = _Best(len(some_queries), k)
-        best.add(scores, some_vectors["vid"].to_numpy())
-        if best.ids is None:
-            return empty
-        return pd.DataFrame({"qid": some_queries["qid"].to_numpy()[best.query], "vid": best.ids, "score": best.score})
-
-    grid = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(cell, out)
-    ranked = rank(grid, k, "qid", "vid")
-    return ranked.select(F.col("qid").alias(query_id), F.col("vid").alias(vector_id), "score", "rank")
+            members = {}
+            for number, row in enumerate(rows):
+                members.setdefault(row[query_scope], []).append(number)
+            members = {value: np.array(numbers) for value, numbers in members.items()}
+            if None not in members:
+                reached = vectors.filter(F.col(scope).isin(*members))
+        partial = scan_top_k(
+            reached, query_matrix([row[query_embedding] for row in rows], metric), k, vector_id=vector_id, embedding=embedding,
+            metric=metric, group=scope if scoped else None, members=members)
+        answers.append(named(rank(partial, k, "query_no", vector_id), [row[query_id] for row in rows], query_id, query_type, vector_id))
+    return reduce(DataFrame.unionByName, answers, found)
+
+
+def named(ranked: DataFrame, names: list, query_id: str, query_type: str, vector_id: str) -> DataFrame:
+    """The ids of one round's queries in place of their numbers."""
+    table = ranked.sparkSession.createDataFrame(list(enumerate(names)), f"query_no int, {query_id} {query_type}")
+    return ranked.join(F.broadcast(table), "query_no").select(query_id, vector_id, "score", "rank")
 
 
 def hits(ranked: DataFrame, chunks: DataFrame, query_id: str = "query_id", vector_id: str = "chunk_id") -> DataFrame:

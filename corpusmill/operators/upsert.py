@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.session import path_exists, scratch_path
+from corpusmill.session import list_names, path_exists, scratch_path, touch_file
 
 BUCKET = "key_bucket"
+_LAYOUT = "_buckets-"
 
 
 def require_columns(df: DataFrame, names: Sequence[str], what: str = "input") -> DataFrame:
@@ -48,24 +49,29 @@ class KeyedTable:
     Rows live in hash buckets of their key. An upsert reads and rewrites only the buckets its batch
     touches, through dynamic partition overwrite: new files are staged and put in place when the job
     commits, so a failed job leaves the table as it was and the rows being read stay readable.
+    The number of buckets is kept beside the rows; opening the table with another one is an error.
     One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], *,
-                 buckets: int = 64, partition_by: Sequence[str] = ()) -> None:
+                 buckets: int = 64) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = StructType.fromDDL(schema)
         self.keys = list(keys)
         self.buckets = buckets
-        self.partition_by = list(partition_by)
 
     @property
     def columns(self) -> list[str]:
         return self.schema.fieldNames()
 
     def exists(self) -> bool:
-        return path_exists(self.spark, f"{self.path}/{BUCKET}=*")
+        if not path_exists(self.spark, f"{self.path}/{BUCKET}=*"):
+            return False
+        kept = [name for name in list_names(self.spark, self.path) if name.startswith(_LAYOUT)]
+        if kept != [f"{_LAYOUT}{self.buckets}"]:
+            raise ValueError(f"{self.path} is laid out as {kept}, not in {self.buckets} buckets")
+        return True
 
     def _stored(self) -> DataFrame:
         full = StructType(list(self.schema.fields)).add(BUCKET, "integer")
@@ -92,19 +98,10 @@ class KeyedTable:
         touched = [row[0] for row in batch.select(BUCKET).distinct().collect()]
         if touched:
             stored = self._stored().filter(F.col(BUCKET).isin(touched))
-            partitions = [BUCKET, *self.partition_by]
+            touch_file(self.spark, f"{self.path}/{_LAYOUT}{self.buckets}")
             (
-                merge(stored, batch, self.keys).hint("rebalance", *partitions)
+                merge(stored, batch, self.keys).hint("rebalance", BUCKET)
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                .partitionBy(*partitions).parquet(self.path)
+                .partitionBy(BUCKET).parquet(self.path)
             )
         return batch.select(*self.columns)
-
-
-def merge_into(spark: SparkSession, target: str, source_view: str, keys: Sequence[str]) -> None:
-    """The same upsert as a MERGE statement, for catalogs whose table format supports it."""
-    condition = " AND ".join(f"t.{key} = s.{key}" for key in keys)
-    spark.sql(
-        f"MERGE INTO {target} t USING {source_view} s ON {condition} "
-        "WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *"
-    )

@@ -55,7 +55,7 @@ GROUP BY source_id HAVING sum(o) > 0 AND sum(n) > 0"""
 
 @query("LAY5_layer_diff_counts", _sql(_DIFF))
 def diff_counts(spark, folder):
-    return diff.layer_diff_counts(_chunks(spark, folder), 1, 2)
+    return diff.layer_diff_counts(_stored_chunks(spark, folder), 1, 2)
 
 
 def _stored_chunks(spark, folder):
@@ -65,15 +65,14 @@ def _stored_chunks(spark, folder):
     return spark.read.parquet(path)
 
 
-@query("LAY6_unified_diffs")
-def unified_diffs(spark, folder):
-    """Diff texts come from the standard library's alignment, which SQL does not have."""
-    return diff.layer_diffs(_stored_chunks(spark, folder), 1, 2)
-
-
-@query("LAY6_diff_lines")
+@query("LAY6_diff_lines", _sql(
+    "SELECT source_id, ordinal::BIGINT AS ordinal, content FROM chunks WHERE layer_version = 2 AND source_id IN (SELECT source_id FROM chunks WHERE layer_version = 1)"))
 def diff_lines(spark, folder):
-    return diff.diff_lines(_stored_chunks(spark, folder), 1, 2)
+    """Layer 1 with the rows of the diff applied to it is layer 2."""
+    chunks = _stored_chunks(spark, folder)
+    rows = diff.diff_lines(chunks, 1, 2)
+    both = chunks.filter("layer_version = 2").select("source_id").distinct()
+    return diff.apply_diff(chunks.filter("layer_version = 1").join(both, "source_id", "left_semi"), rows)
 
 
 _LINES = "string_split(regexp_replace(%s, '\\n$', ''), chr(10))"
@@ -98,7 +97,9 @@ def next_versions(spark, folder):
     older = _chunks(spark, folder).filter("layer_version <= 2")
     edited = F.when(F.col("number") % 5 != 0, text.keep_first_half(F.col("text"))).otherwise(F.lit("  "))
     numbered = layers.next_versions(docs.withColumn("text", edited).select("doc_id", "source_id", "filename", "text"), older)
-    return layers.persisted_versions(numbered, chunking.chunk_documents(numbered))
+    path = scratch_path(spark, "layers")
+    sinks.write_gold(chunking.chunk_documents(numbered), path)
+    return layers.persisted_versions(numbered, spark.read.parquet(path))
 
 
 @query("LAY9_layers_side_by_side", _sql("SELECT content, count(DISTINCT layer_version) AS layers, count(*) AS rows FROM chunks GROUP BY content HAVING count(DISTINCT layer_version) > 1"))
@@ -257,19 +258,23 @@ def parsed_messages(spark, folder):
 _FAILED = "failed AS (SELECT message_id FROM parsed WHERE parsed = 'dead' OR key LIKE '%.copy' OR key LIKE '%report%' GROUP BY 1)"
 
 
+# Bodies in these two queries are longer than any log line.
+_TAIL = " " * 600
+
+
 def _split(spark, folder):
-    queue = I.queue_messages(spark, folder).drop("number")
+    queue = I.queue_messages(spark, folder).drop("number").withColumn("body", F.concat("body", F.lit(_TAIL)))
     parsed = messages.parse_messages(queue)
     lost = F.col("key").endswith(".copy") | F.col("key").contains("report")
     outcomes = metrics.message_outcomes(parsed.select("message_id", F.coalesce((F.col("parsed") == "dead") | lost, F.lit(False)).alias("failed")))
     return ingest.split_failures(queue, outcomes.filter("failed"))
 
 
-@query("STR4_retried_messages", with_sql(I.MESSAGES_SQL, _PARSED, _FAILED, select="SELECT message_id, body, attempt + 1 AS attempt FROM messages JOIN failed USING (message_id) WHERE attempt < 5"))
+@query("STR4_retried_messages", with_sql(I.MESSAGES_SQL, _PARSED, _FAILED, select="SELECT message_id, body || repeat(' ', 600) AS body, attempt + 1 AS attempt FROM messages JOIN failed USING (message_id) WHERE attempt < 5"))
 def retried(spark, folder):
     return _split(spark, folder)[0]
 
 
-@query("STR5_dead_letters", with_sql(I.MESSAGES_SQL, _PARSED, _FAILED, select="SELECT message_id, left(body, 500) AS body, attempt FROM messages JOIN failed USING (message_id) WHERE attempt >= 5"))
+@query("STR5_dead_letters", with_sql(I.MESSAGES_SQL, _PARSED, _FAILED, select="SELECT message_id, body || repeat(' ', 600) AS body, attempt FROM messages JOIN failed USING (message_id) WHERE attempt >= 5"))
 def dead_letters(spark, folder):
     return _split(spark, folder)[1]

@@ -75,8 +75,8 @@ def endpoint_latency(spark, folder):
     return metrics.endpoint_latency(requests, ["/", "/healthz", "/excavate", "/mutate"])
 
 
-@query("AGG12_run_gauges", _sql("""SELECT sum(rows_ingested) FILTER (event = 'pipeline_done') AS rows_ingested, sum(rows_dropped) FILTER (event = 'pipeline_done') AS rows_dropped,
- count(*) AS invocations, count(*) FILTER (event = 'pipeline_failed') AS invocation_failures FROM records WHERE event IN ('pipeline_done', 'pipeline_failed')"""))
+@query("AGG12_run_gauges", _sql("""SELECT request_id, sum(rows_ingested) FILTER (event = 'pipeline_done') AS rows_ingested, sum(rows_dropped) FILTER (event = 'pipeline_done') AS rows_dropped,
+ count(*) AS invocations, count(*) FILTER (event = 'pipeline_failed') AS invocation_failures FROM records WHERE event IN ('pipeline_done', 'pipeline_failed') GROUP BY request_id"""))
 def run_gauges(spark, folder):
     return metrics.run_gauges(_records(spark, folder))
 

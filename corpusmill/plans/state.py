@@ -28,8 +28,8 @@ def _gold(spark, folder):
 
 
 def _batch(spark, folder):
-    """Orders divisible by three as the batch, each of them twice."""
-    orders = table(spark, folder, "orders").filter("o_orderkey % 3 = 0")
+    """Orders that are odd or divisible by three as the batch, each of them twice."""
+    orders = table(spark, folder, "orders").filter("o_orderkey % 2 = 1 OR o_orderkey % 3 = 0")
     copies = F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")
     return orders.select("o_orderkey", copies, "o_totalprice").select(
         "o_orderkey", F.concat(F.lit("batch-"), F.col("copy").cast("string")).alias("origin"),
@@ -38,7 +38,7 @@ def _batch(spark, folder):
 
 _UPSERT_SQL = (
     "gold AS (SELECT o_orderkey, 'stored' AS origin, o_totalprice FROM orders WHERE o_orderkey % 2 = 0), "
-    "batch AS (SELECT o_orderkey, 'batch-1' AS origin, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0), "
+    "batch AS (SELECT o_orderkey, 'batch-1' AS origin, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 3 = 0), "
     "merged AS (SELECT * FROM gold WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.o_orderkey = gold.o_orderkey) UNION ALL SELECT * FROM batch)"
 )
 
@@ -152,11 +152,11 @@ _LEDGER_SQL = (
 
 def _work(spark, folder):
     """Every document asked for by its key; keys of long documents several times."""
-    copies = F.explode(F.sequence(F.lit(0), F.least(F.floor(F.col("n_chars") / 2000), F.lit(5)))).alias("copy")
+    copies = F.explode(F.sequence(F.lit(0), F.floor(F.col("n_chars") / 2000))).alias("copy")
     return table(spark, folder, "documents").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), copies)
 
 
-_WORK_SQL = "work AS (SELECT 'k' || doc_id AS key, unnest(range(0, least(n_chars // 2000, 5) + 1)) AS copy FROM documents)"
+_WORK_SQL = "work AS (SELECT 'k' || doc_id AS key, unnest(range(0, n_chars // 2000 + 1)) AS copy FROM documents)"
 _OUTCOME_SQL = (
     f"outcomes AS (SELECT w.key, w.requests, CASE WHEN l.status = 'PROCESSED' THEN 'processed' WHEN l.status = 'PENDING' AND "
     f"l.claimed_at + INTERVAL 3600 SECOND > TIMESTAMP '{NOW}' THEN 'locked' ELSE 'claimed' END AS outcome FROM "
@@ -270,13 +270,18 @@ def prompt_keys(spark, folder):
     return _requests(spark, folder).select("conv_id", "turn", "key")
 
 
-@query("CCH2_cached_answers", with_sql(_REQUESTS_SQL, _CACHE_SQL, select="""
-SELECT conv_id, turn, coalesce(value, 'fresh ' || length(query)) AS value, value IS NOT NULL AS cached FROM requests LEFT JOIN cache USING (key)"""))
+@query("CCH2_cached_answers", with_sql(_REQUESTS_SQL, _CACHE_SQL, select=f"""
+SELECT conv_id, turn, coalesce(value, 'fresh ' || length(query)) AS value, value IS NOT NULL AS cached, coalesce(value, 'fresh ' || length(query)) AS stored,
+ '{NOW}' AS used, CASE WHEN value IS NULL THEN '{NOW}' ELSE {sql_shown('put_at')} END AS put FROM requests LEFT JOIN cache USING (key)"""))
 def cached_answers(spark, folder):
+    """Answer all requests, and show what the cache then holds for each."""
     requests = _requests(spark, folder)
+    store = cache.cache_table(spark, scratch_path(spark, "cache"), buckets=8)
+    store.upsert(_cache(requests))
     compute = lambda missing: missing.withColumn("value", F.concat(F.lit("fresh "), F.length("query").cast("string")))
-    answered, _ = cache.answer(requests, _cache(requests), compute)
-    return answered.select("conv_id", "turn", "value", "cached")
+    answered = cache.serve(store, requests, compute, now())
+    kept = store.read().select("key", F.col("value").alias("stored"), shown("last_used", "used"), shown("put_at", "put"))
+    return answered.join(kept, "key").select("conv_id", "turn", "value", "cached", "stored", "used", "put")
 
 
 @query("CCH3_bounded_cache", with_sql(_REQUESTS_SQL, _CACHE_SQL, select=f"""

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import ids, text
-from corpusmill.operators import chunking, contract, search
+from corpusmill.operators import chunking, contract, search, upsert
 from corpusmill.plans import inputs as I
 from corpusmill.plans.base import query, shown, sql_shown, table, with_sql
 from corpusmill.session import scratch_path
 from corpusmill.sources import scans, sinks
 
 
-@query("SRC1_parquet_scan", "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en'")
+@query("SRC1_parquet_scan", "SELECT doc_id, lang, source, n_chars, text FROM documents")
 def parquet_scan(spark, folder):
-    found = scans.read_parquet_if_present(spark, f"{folder}/documents.parquet")
-    return found.filter("lang = 'en'").select("doc_id", "lang", "source", "n_chars")
+    return scans.read_parquet_if_present(spark, f"{folder}/documents.parquet").select("doc_id", "lang", "source", "n_chars", "text")
 
 
 @query(
@@ -34,13 +33,15 @@ def _specimen_rows(spark, folder):
     """Parts as CSV records, some with a null word or padding in the name and some without an age."""
     n = F.col("p_partkey")
     return table(spark, folder, "part").select(
-        F.when(n % 7 == 0, "N/A").when(n % 11 == 0, "   ").otherwise(F.concat(F.lit("  "), F.upper("p_name"), F.lit(" "))).alias("Species"),
+        F.when(n % 7 == 0, "N/A").when(n % 11 == 0, "   ").when(n % 13 == 0, F.concat(F.lit('say "'), F.upper("p_name"), F.lit('"')))
+        .when(n % 17 == 0, F.concat(F.lit("one,\n"), F.upper("p_name"), F.lit("\nthree")))
+        .otherwise(F.concat(F.lit("  "), F.upper("p_name"), F.lit(" "))).alias("Species"),
         F.when(n % 5 != 0, F.col("p_retailprice")).alias("Age_MYA"),
     )
 
 
 _SPECIMEN_SQL = (
-    "specimens AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN '   ' ELSE '  ' || upper(p_name) || ' ' END AS species, "
+    "specimens AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN '   ' WHEN p_partkey % 13 = 0 THEN 'say ' || chr(34) || upper(p_name) || chr(34) WHEN p_partkey % 17 = 0 THEN 'one,' || chr(10) || upper(p_name) || chr(10) || 'three' ELSE '  ' || upper(p_name) || ' ' END AS species, "
     "CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS age_mya FROM part)"
 )
 
@@ -48,7 +49,7 @@ _SPECIMEN_SQL = (
 def _specimen_csv(spark, folder):
     path = scratch_path(spark, "csv")
     _specimen_rows(spark, folder).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
-        "ignoreTrailingWhiteSpace", False).csv(path)
+        "ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path)
     return scans.read_csv(spark, path)
 
 
@@ -59,11 +60,14 @@ def csv_scan(spark, folder):
 
 @query("SRC4_raw_document_scan", with_sql(
     I.DOCS_SQL,
-    select="SELECT doc_id, filename, length(text)::INTEGER AS char_count, (octet_length(encode(text)) + 3)::VARCHAR AS bytes, 'txt' AS extractor FROM docs",
+    select="SELECT sha256(filename || chr(0) || text || chr(10)) AS doc_id, filename, (length(text) + 1)::INTEGER AS char_count, (octet_length(encode(text)) + 4)::VARCHAR AS bytes, 'txt' AS extractor FROM docs",
 ))
 def raw_scan(spark, folder):
+    """Documents written as one marked file each (a final line break comes with it), found and read as raw files."""
     docs = I.documents(spark, folder)
-    raw = docs.select("filename", F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), F.encode("text", "UTF-8")).alias("content"))
+    path = scratch_path(spark, "raw")
+    docs.select("filename", F.concat(F.lit("\ufeff"), "text").alias("value")).write.partitionBy("filename").text(path)
+    raw = scans.read_raw_files(spark, path, "*.txt").withColumn("filename", F.regexp_extract("path", "filename=([^/]+)/", 1))
     silver, _ = scans.extract_documents(raw, filename=F.col("filename"), content_type=F.lit("text/plain; charset=utf-8"))
     return silver.select(
         "doc_id", "filename", "char_count", F.col("metadata")["bytes"].alias("bytes"), F.col("metadata")["extractor"].alias("extractor")
@@ -260,11 +264,15 @@ _FILLED = (
 )
 
 
-@query("PRJ7_required_columns", "SELECT count(*) AS rows, 'species' AS missing FROM part")
+@query("PRJ7_required_columns", "SELECT count(*) AS rows, '[''species'']' AS missing FROM part")
 def required_columns(spark, folder):
     part = table(spark, folder, "part")
-    missing = sorted(set(("p_name", "species")) - set(part.columns))
-    return part.agg(F.count("*").alias("rows")).withColumn("missing", F.lit(",".join(missing)))
+    try:
+        upsert.require_columns(part, ["p_name", "species"])
+        refused = ""
+    except ValueError as problem:
+        refused = str(problem).rpartition(": ")[2]
+    return part.agg(F.count("*").alias("rows")).withColumn("missing", F.lit(refused))
 
 
 @query("PRJ8_contract_fill", with_sql(_V1_SQL, select=f"SELECT {_FILLED} FROM v1"))

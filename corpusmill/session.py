@@ -52,19 +52,37 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only when that is unset (local tests) is one
-    made here, and remembered in the session so that later calls agree.
+    A cluster names it in ``spark.checkpoint.dir``; unset there, it is an error, since a folder of one
+    machine would lose rows. In local mode one is made here, and remembered in the session.
     """
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY, None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set(_CHECKPOINT_KEY, configured)
     return configured.rstrip("/")
 
 
+_SCRATCH: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.add(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this process put below the shared folder, once no result reads it any more."""
+    context = spark.sparkContext
+    paths = {*_SCRATCH, *([context.getCheckpointDir()] if context.getCheckpointDir() else [])}
+    _SCRATCH.clear()
+    for path in paths:
+        delete_path(spark, path)
+    if context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -102,6 +120,12 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in fs.listStatus(jvm_path)]
 
 
+def touch_file(spark: SparkSession, path: str) -> None:
+    """An empty file, unless it is there."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(jvm_path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

@@ -35,10 +35,14 @@ def read_merged_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = schemas.SPECIMEN_CSV) -> DataFrame:
-    """CSV with a header, its null words mapped, then cast to ``schema``."""
+    """CSV with a header, its null words mapped, then cast to ``schema``.
+
+    Quotes within a quoted cell are doubled, and a quoted cell may hold line breaks, so a file is read by one
+    task; write large tables as many files.
+    """
     wanted = StructType.fromDDL(schema)
     as_text = StructType([StructField(field.name, StringType()) for field in wanted.fields])
-    raw = spark.read.schema(as_text).csv(path, header=True)
+    raw = spark.read.schema(as_text).csv(path, header=True, quote='"', escape='"', multiLine=True)
     return raw.select(*[
         F.when(~F.col(f.name).isin(*NULL_WORDS), F.col(f.name)).cast(f.dataType).alias(f.name) for f in wanted.fields
     ])

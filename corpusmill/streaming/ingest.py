@@ -20,9 +20,8 @@ from corpusmill.sources.scans import extract_documents
 from corpusmill.sources.sinks import silver_table, vector_table
 from corpusmill.streaming.messages import DEAD, TASK, parse_messages
 
-# Receives before a message is a dead letter, and how much of its body is kept.
+# Fixed value: receives before a message is a dead letter.
 MAX_RECEIVES = 5
-DEAD_BODY_CHARS = 500
 
 QUEUE = "message_id string, body string, attempt int"
 Fetch = Callable[[DataFrame], DataFrame]
@@ -62,11 +61,11 @@ def table_store(objects: DataFrame) -> Fetch:
 
 
 def split_failures(messages: DataFrame, failed_ids: DataFrame, max_receives: int = MAX_RECEIVES) -> tuple[DataFrame, DataFrame]:
-    """(messages to receive again with ``attempt + 1``, dead letters with their body cut)."""
+    """(messages to receive again with ``attempt + 1``, dead letters with their whole body)."""
     failed = messages.join(failed_ids.select("message_id").distinct(), "message_id", "left_semi")
     exhausted = F.col("attempt") >= max_receives
     again = failed.filter(~exhausted).withColumn("attempt", F.col("attempt") + 1)
-    dead = failed.filter(exhausted).select("message_id", F.substring("body", 1, DEAD_BODY_CHARS).alias("body"), "attempt")
+    dead = failed.filter(exhausted).select("message_id", "body", "attempt")
     return again, dead
 
 

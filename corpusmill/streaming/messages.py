@@ -13,8 +13,8 @@ TASK, NOTHING, DEAD = "task", "nothing", "dead"
 
 
 def unquote_plus(key: Column) -> Column:
-    """URL decoding with plus as space; a malformed escape leaves the key as it is."""
-    return F.coalesce(F.try_url_decode(key), F.replace(key, F.lit("+"), F.lit(" ")))
+    """URL decoding with plus as space; a percent sign that begins no escape stays as it is."""
+    return F.try_url_decode(F.regexp_replace(key, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def parse_messages(messages: DataFrame, body: str = "body") -> DataFrame:

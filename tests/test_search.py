@@ -40,12 +40,12 @@ def matrix():
     return np.random.default_rng(5).standard_normal((300, 16)).astype(np.float32)
 
 
-@pytest.mark.parametrize("limit", [2048, 0])
-def test_top_k_equals_brute_force_with_a_third_of_copies(spark, matrix, limit):
+@pytest.mark.parametrize("size", [4096, 1])
+def test_top_k_equals_brute_force_with_a_third_of_copies(spark, matrix, size):
     vectors, rows = stored(spark, matrix, copies=150)
     scopes = [None, "s1", "s0", None]
     queries, listed = asked(spark, [matrix[0], matrix[7], matrix[0], matrix[40]], scopes)
-    found = topk.top_k(vectors, queries, 7, scope="source_id", query_scope="scope", max_queries=limit)
+    found = topk.top_k(vectors, queries, 7, scope="source_id", query_scope="scope", round_size=size)
     by_query: dict[str, list] = {}
     for row in found.orderBy("query_id", "rank").collect():
         by_query.setdefault(row.query_id, []).append(row.chunk_id)
@@ -64,6 +64,14 @@ def test_top_k_edges(spark, matrix):
         topk.top_k(vectors, queries, 1, metric="l1")
 
 
+@pytest.mark.parametrize("size", [4096, 1])
+def test_queries_of_two_dimensions_are_refused(spark, matrix, size):
+    vectors, _ = stored(spark, matrix[:5])
+    queries, _ = asked(spark, [matrix[0], matrix[1][:3]])
+    with pytest.raises(ValueError, match="different dimensions"):
+        topk.top_k(vectors, queries, 1, round_size=size)
+
+
 def test_no_pair_rows_and_no_shuffle_of_the_vectors(spark, matrix):
     vectors, _ = stored(spark, matrix)
     path = scratch_path(spark, "v")
@@ -169,3 +177,35 @@ def test_generation_keeps_errors_in_their_row(spark):
     assert {(r.n, r.suggestion, r.used_fallback, r.error) for r in results.collect()} == {
         (0, "ok 0", False, None), (1, "backup", True, None), (2, None, True, "down"), (3, "ok 3", False, None)}
     assert tuple(generate.generation_summary(results).first()) == (4, 1, 2, 1)
+
+
+@pytest.mark.parametrize("groups, bins", [(1_000, 1_024), (0, 3)])
+def test_percentiles_by_every_way(spark, monkeypatch, groups, bins):
+    """Broadcast or salted sketches, many or few ranges: nearest rank, NaN and null left out."""
+    monkeypatch.setattr(metrics, "BROADCAST_GROUPS", groups)
+    monkeypatch.setattr(metrics, "BINS", bins)
+    rng = np.random.default_rng(9)
+    values = {"hot": np.round(rng.gamma(2, 50, 4000), 1), "one": np.array([7.0]), "same": np.full(50, 3.0), "wide": np.array([-1e300, 0.0, 1e300])}
+    rows = [(name, float(v)) for name, held in values.items() for v in held] + [("hot", float("nan")), ("hot", None), ("void", None)]
+    frame = spark.createDataFrame(rows, "stage string, v double")
+    found = {r.stage: r for r in metrics.exact_percentiles(frame, ["stage"], "v", {"p50": "50", "p999": "99.9"}, accuracy=100).collect()}
+    for name, held in values.items():
+        ordered = np.sort(held)
+        for share, column in ((0.5, "p50"), (0.999, "p999")):
+            assert found[name][column] == ordered[max(1, math.ceil(round(share * len(held), 6))) - 1], (name, column)
+    total = metrics.latency_summary(frame.withColumnRenamed("v", "latency")).first()
+    everything = np.sort(np.concatenate(list(values.values())))
+    assert total["count"] == len(everything) and total.p50 == everything[math.ceil(len(everything) / 2) - 1]
+
+
+def test_percentiles_do_not_shuffle_rows_by_group(spark):
+    frame = spark.range(5_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS stage", "id * 1.0 AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        found = metrics.exact_percentiles(frame, ["stage"], "v", {"p50": "50"})
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = plan[: plan.index("Range (")]
+    assert "BroadcastHashJoin" in scan and "SinglePartition" not in plan

@@ -192,6 +192,44 @@ def test_csv_nulls_and_normalising(spark, tmp_path):
         contract.normalise_records(raw.drop("Age_MYA"))
 
 
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Species,Age_MYA\n"He said ""hi""",1\n"two\nlines, one cell",2\nplain,3\n')
+    assert rows(scans.read_csv(spark, str(tmp_path))) == [('He said "hi"', 1.0), ("plain", 3.0), ("two\nlines, one cell", 2.0)]
+
+
+def test_a_table_refuses_another_number_of_buckets(spark):
+    table = stored(spark, buckets=4)
+    table.upsert(spark.createDataFrame([("d", "c", "t")], TEXTS))
+    with pytest.raises(ValueError, match="buckets"):
+        upsert.KeyedTable(spark, table.path, TEXTS, ["doc_id", "chunk_id"], buckets=8).read()
+    assert upsert.KeyedTable(spark, table.path, TEXTS, ["doc_id", "chunk_id"], buckets=4).read().count() == 1
+
+
+def test_served_answers_are_stored_and_hits_count_as_used(spark):
+    store = cache.cache_table(spark, scratch_path(spark, "cache"), buckets=2)
+    old = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    known = spark.createDataFrame([("a", "A"), ("z", "Z")], "key string, value string")
+    store.upsert(known.withColumns({"put_at": old, "last_used": old}))
+    asked = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "key string, n int")
+    fresh = lambda missing: missing.withColumn("value", F.upper("key"))
+    assert rows(cache.serve(store, asked, fresh, now()).select("key", "n", "value", "cached")) == [
+        ("a", 1, "A", True), ("b", 2, "B", False), ("b", 3, "B", False)]
+    shown = store.read().select("key", (F.col("last_used") == now()).alias("used"), (F.col("put_at") == now()).alias("put"))
+    assert rows(shown) == [("a", True, False), ("b", True, True), ("z", False, False)]
+    assert all(r.cached for r in cache.serve(store, asked, fresh, now()).collect())
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from corpusmill.session import shared_folder
+
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
+
+
 def test_missing_parquet_is_no_error(spark):
     assert scans.read_parquet_if_present(spark, scratch_path(spark, "nothing")) is None
 

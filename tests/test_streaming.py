@@ -23,6 +23,8 @@ def event(*keys, bucket="raw"):
     (event("a.txt"), "task", [("raw", "a.txt")]),
     (event("a.txt", "b.txt"), "task", [("raw", "a.txt"), ("raw", "b.txt")]),
     (event("my+report%20final.txt"), "task", [("raw", "my report final.txt")]),
+    (event("a%zz%20c+d"), "task", [("raw", "a%zz c d")]),
+    (event("50%"), "task", [("raw", "50%")]),
     ('{"Event":"s3:TestEvent","Bucket":"b"}', "nothing", []),
     ('{"Records":[{"nope":1}]}', "nothing", []),
     ('{"Records":[{"nope":1},{"s3":{"bucket":{"name":"raw"},"object":{"key":"k"}}}]}', "task", [("raw", "k")]),
@@ -83,6 +85,14 @@ def test_ingest_stream_retries_and_dead_letters(spark, tmp_path):
     assert job.vectors.read().count() == 3
 
 
+def test_dead_letters_keep_their_whole_body(spark):
+    body = "{bad" + "x" * 2_000
+    queue = spark.createDataFrame([("m", body, 5), ("n", body, 4)], ingest.QUEUE)
+    again, dead = ingest.split_failures(queue, queue)
+    assert [tuple(row) for row in dead.collect()] == [("m", body, 5)]
+    assert [tuple(row) for row in again.collect()] == [("n", body, 5)]
+
+
 def test_failed_embedding_fails_its_message_only(spark):
     root = scratch_path(spark, "ingest")
     objects = spark.createDataFrame(
