@@ -10,6 +10,8 @@ by their rank.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict, deque
@@ -27,33 +29,90 @@ from tokenizers import Tokenizer
 from corpusmill.llm.common import row_blocks, staged
 
 SEQUENCE = 2048
-#: Words whose ids a task remembers; beyond that it forgets all and starts anew.
-MEMO = 400_000
+#: Words whose ids a worker remembers; once so many are known, later words are encoded anew in each block.
+MEMO = 250_000
+#: Characters that are encoded together, and rows that are cut into pieces together.
+BLOCK, ROWS = 2_000_000, 512
 _TOKENS = "doc_id {}, part int, spot long, tokens int, tail int, rank long, full_before long, ids binary"
 _PIECES = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+class _Memo(dict):
+    """Ids by word; words that are not remembered are looked up among those of the block."""
+
+    block: dict[str, bytes]
+
+    def __missing__(self, word: str) -> bytes:
+        return self.block[word]
+
+
 class _Encoder:
-    """Ids of texts by a tokenizer that drops white space: words are encoded once and remembered."""
+    """Ids of texts by a tokenizer that drops white space: words are encoded once per block, common ones once per worker."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known, self.bases = _Memo(), _Memo()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        #: Whether an id ends a piece of a word; None if the vocabulary does not tell.
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.size, dtype=bool)
+            self.ends[[number for token, number in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _each(self, words: list[str], kind: str) -> Iterator[tuple[str, bytes]]:
+        for coded, word in zip(self.tokenizer.encode_batch_fast(words, add_special_tokens=False), words):
+            yield word, np.array(coded.ids, dtype=kind).tobytes()
+
+    def _lines(self, pieces: list[str], kind: str) -> dict[str, bytes]:
+        """Words of one piece with their ids, encoded as lines and told apart by the ids that end a piece."""
+        found: dict[str, bytes] = {}
+        for at in range(0, len(pieces), 4_096):
+            part = pieces[at : at + 4_096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=kind)
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()]
+            if len(cuts) == len(part) + 1:
+                flat = ids.tobytes()
+                found.update(zip(part, map(flat.__getitem__, map(slice, cuts, cuts[1:]))))
+            else:
+                found.update(self._each(part, kind))
+        return found
+
+    def _words(self, words: list[str], kind: str) -> dict[str, bytes]:
+        """Words with their ids. A plain word is its letters in lower case and the signs after them, each known by itself."""
+        plain = [word for word in words if _PLAIN.fullmatch(word)] if self.ends is not None else []
+        found: dict[str, bytes] = {}
+        others = list(set(words).difference(plain))
+        for at in range(0, len(others), 4_096):
+            found.update(self._each(others[at : at + 4_096], kind))
+        letters = [word.rstrip(_SIGNS) for word in plain]
+        bases = [base.lower() for base in letters]
+        signs = [word[len(base) :] for word, base in zip(plain, letters)]
+        block = self._lines(list({*bases, *signs} - self.bases.keys() - {""}), kind)
+        if len(self.bases) < MEMO:
+            self.bases.update(block)
+        self.bases.block = block
+        get = self.bases.__getitem__
+        found.update((word, get(base) + get(sign) if sign else get(base)) for word, base, sign in zip(plain, bases, signs))
+        return found
 
     def encode(self, texts: list[str], end: int, kind: str) -> list[bytes]:
-        split = [text.translate(_SPACES).split(" ") for text in texts]
-        fresh = list({word for words in split for word in words} - self.known.keys())
-        if len(self.known) + len(fresh) > MEMO:
-            self.known.clear()
-            fresh = list({word for words in split for word in words})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(coded.ids, dtype=kind).tobytes()
-        known, last = self.known, np.array([end], dtype=kind).tobytes()
-        return [b"".join([known[word] for word in words]) + last for words in split]
-
-
+        split = [text.split() if _SEPARATORS.search(text) is None else text.translate(_SPACES).split(" ") for text in texts]
+        fresh = list(set().union(*split) - self.known.keys())
+        block = self._words(fresh, kind)
+        if len(self.known) < MEMO:
+            self.known.update(block)
+        self.known.block = block
+        last = np.array([end], dtype=kind).tobytes()
+        return [b"".join(map(self.known.__getitem__, words)) + last for words in split]
+
+
+# A plain word is one run of letters, each of which stays one letter in lower case, and perhaps a run of signs after it.
+_SIGNS = ".,;:!?)]}%&*#|\"-"
+_PLAIN = re.compile(rf"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[{re.escape(_SIGNS)}]*")
+# str.split() takes these for white space, the tokenizer does not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 _ENCODERS: dict[str, _Encoder] = {}
 
@@ -66,7 +125,7 @@ def _encoder(path: str) -> _Encoder:
 
 def id_kind(path: str, end: int) -> str:
     """The numpy type in which token rows hold ids: two bytes while the vocabulary fits."""
-    return "<u2" if max(end + 1, _encoder(path).tokenizer.get_vocab_size(with_added_tokens=True)) <= 1 << 16 else "<u4"
+    return "<u2" if max(end + 1, _encoder(path).size) <= 1 << 16 else "<u4"
 
 
 def tokenise(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
@@ -84,7 +143,7 @@ def tokenise(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text:
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
             texts = [value or "" for value in batch.column(1).to_pylist()]
-            for start, stop in row_blocks(texts, 4_000_000):
+            for start, stop in row_blocks(texts, BLOCK):
                 coded = encoder.encode(texts[start:stop], end, kind)
                 counts = [len(ids) // width for ids in coded]
                 tails = [count % sequence for count in counts]
@@ -194,17 +253,17 @@ def pack(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text: str
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layers = shared.value
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             source, rows = [], []
             columns = [batch.column(name).to_pylist() for name in ("tokens", "tail", "rank", "full")]
             ids = batch.column(5)
             for at, (total, tail, rank, full) in enumerate(zip(*columns)):
-                whole, coded = total - tail, np.frombuffer(ids[at].as_py(), dtype=kind).astype("<u4")
-                cuts = [(k * sequence, sequence, packs + full + k, 0) for k in range(whole // sequence)]
+                full_tokens, coded = total - tail, np.frombuffer(ids[at].as_py(), dtype=kind).astype("<u4")
+                cuts = [(k * sequence, sequence, packs + full + k, 0) for k in range(full_tokens // sequence)]
                 for ranks, runs in layers.get(tail, []) if tail else []:
                     run = runs[bisect_right(ranks, rank) - 1]
                     if run[1] <= rank < run[1] + run[2]:
-                        cuts.append((whole + run[3], run[4], run[5] + rank - run[1], run[6]))
+                        cuts.append((full_tokens + run[3], run[4], run[5] + rank - run[1], run[6]))
                 for start, length, number, offset in cuts:
                     source.append(at)
                     rows.append((start, length, coded[start : start + length].tobytes(), total, number, offset))
