@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.session import list_names, path_exists, scratch_path, touch_file
+from corpusmill.session import delete_path, list_names, path_exists, scratch_path, touch_file
 
 BUCKET = "key_bucket"
 _LAYOUT = "_buckets-"
@@ -105,3 +105,51 @@ class KeyedTable:
                 .partitionBy(BUCKET).parquet(self.path)
             )
         return batch.select(*self.columns)
+
+
+class AppendTable:
+    """A parquet table that streams add to: files lie by day of ``time`` and by batch, and none is rewritten.
+
+    A batch that runs again replaces its own files. With ``keys``, reads show the row of the latest batch for
+    each key. Reads of a span of days open no other day's files; :meth:`fold` merges the batches of old days.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, time: str, keys: Sequence[str] = ()) -> None:
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), StructType.fromDDL(schema)
+        self.time, self.keys = time, list(keys)
+
+    def append(self, rows: DataFrame, batch_id: int) -> None:
+        self._write(rows.select(*self.schema.fieldNames()).withColumn("batch", F.lit(batch_id).cast("bigint")))
+
+    def _write(self, rows: DataFrame) -> None:
+        day = F.date_format(self.time, "yyyy-MM-dd")
+        rows.withColumn("day", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(self.path)
+
+    def _stored(self) -> DataFrame:
+        full = StructType(list(self.schema.fields)).add("day", "string").add("batch", "long")
+        if not path_exists(self.spark, f"{self.path}/day=*"):
+            return self.spark.createDataFrame([], full)
+        return self.spark.read.schema(full).parquet(self.path)
+
+    def read(self, since: Column | None = None) -> DataFrame:
+        """Rows from the day of ``since`` on; all without it."""
+        stored = self._stored()
+        if since is not None:
+            stored = stored.filter(F.col("day") >= F.date_format(since, "yyyy-MM-dd"))
+        stored = stored.drop("day")
+        return (latest_per_key(stored, self.keys, ["batch"]) if self.keys else stored).drop("batch")
+
+    def fold(self, before: str) -> None:
+        """Put the rows of every day before ``before`` (yyyy-MM-dd) into one batch of that day, numbered -1.
+
+        For a time without writers: the merged rows are written first, then the folded batches go.
+        """
+        old = self._stored().filter(F.col("day") < before)
+        places = [(row["day"], row["batch"]) for row in old.select("day", "batch").distinct().collect() if row["batch"] >= 0]
+        if not places:
+            return
+        merged = scratch_path(self.spark, "fold")
+        (latest_per_key(old, self.keys, ["batch"]) if self.keys else old).drop("day", "batch").write.parquet(merged)
+        for day, batch in places:
+            delete_path(self.spark, f"{self.path}/day={day}/batch={batch}")
+        self._write(self.spark.read.schema(self.schema).parquet(merged).withColumn("batch", F.lit(-1).cast("bigint")))

@@ -10,7 +10,7 @@ from corpusmill.plans import inputs as I
 from corpusmill.plans.base import query, shown, sql_shown, table, with_sql
 from corpusmill.plans.metrics import _alarm_select, _calendar
 from corpusmill.session import scratch_path
-from corpusmill.streaming import ingest, metrics, refresh
+from corpusmill.streaming import claims, ingest, metrics, refresh
 
 
 def _ingested(spark, folder, index):
@@ -76,30 +76,75 @@ def index_refresh(spark, folder):
 
 
 def _streamed(spark, folder):
+    """Stage records, and run summaries under a stage of their own."""
     root = scratch_path(spark, "records")
-    I.metric_records(spark, folder).filter("event = 'stage_done'").select("ts", "stage", "latency", "errors").write.parquet(root)
-    return spark.readStream.schema("ts timestamp, stage string, latency double, errors int").parquet(root)
+    records = I.metric_records(spark, folder).filter("event IN ('stage_done', 'pipeline_done')")
+    stage = F.when(F.col("event") == "stage_done", F.col("stage")).otherwise(metrics.SUMMARY)
+    records.select("ts", stage.alias("stage"), "latency", "errors", F.col("rows_ingested").cast("double").alias("rows_ingested")).write.parquet(root)
+    return spark.readStream.schema("ts timestamp, stage string, latency double, errors int, rows_ingested double").parquet(root)
+
+
+def _alarms(spark, folder):
+    job = metrics.StreamingAlarms(spark, scratch_path(spark, "alarms"), period="6 hours", latency_threshold=150)
+    job.start(_streamed(spark, folder), scratch_path(spark, "progress")).awaitTermination()
+    return job
 
 
 # A window is closed once the watermark, the latest time minus the lateness, has passed its end.
 _WINDOWS = (
-    "windows AS (SELECT stage, time_bucket(INTERVAL '6 hours', ts) AS period, count(*) AS samples, sum(errors)::BIGINT AS value, round(sum(latency), 6) AS latency_sum, max(latency) AS latency_max "
-    "FROM records WHERE event = 'stage_done' GROUP BY 1, 2 HAVING time_bucket(INTERVAL '6 hours', min(ts)) + INTERVAL '6 hours' <= "
-    "(SELECT max(ts) - INTERVAL '10 minutes' FROM records WHERE event = 'stage_done'))"
+    "windows AS (SELECT CASE WHEN event = 'stage_done' THEN stage ELSE 'summary' END AS stage, time_bucket(INTERVAL '6 hours', ts) AS period, count(*) AS samples, sum(errors)::BIGINT AS errors, "
+    "round(sum(latency), 6) AS latency_sum, max(latency) AS latency_max, quantile_disc(latency, 0.99) AS latency_p99, sum(rows_ingested)::DOUBLE AS rows_ingested "
+    "FROM records WHERE event IN ('stage_done', 'pipeline_done') GROUP BY 1, 2 HAVING time_bucket(INTERVAL '6 hours', min(ts)) + INTERVAL '6 hours' <= "
+    "(SELECT max(ts) - INTERVAL '10 minutes' FROM records WHERE event IN ('stage_done', 'pipeline_done')))"
 )
 
 
-@query("STR9_windowed_metrics", with_sql(I.METRICS_SQL, _WINDOWS, select=f"SELECT stage, {sql_shown('period')} AS period, samples, value AS errors, latency_sum, latency_max FROM windows"))
+@query("STR9_windowed_metrics", with_sql(
+    I.METRICS_SQL, _WINDOWS, select=f"SELECT stage, {sql_shown('period')} AS period, samples, errors, latency_sum, latency_max, latency_p99, rows_ingested FROM windows"))
 def windowed(spark, folder):
-    job = metrics.StreamingAlarms(spark, scratch_path(spark, "alarms"), period="6 hours")
-    job.start(_streamed(spark, folder), scratch_path(spark, "progress")).awaitTermination()
-    found = job.windows.read().withColumn("period", shown("period")).withColumn("latency_sum", F.round("latency_sum", 6))
-    return found.select("stage", "period", "samples", "errors", "latency_sum", "latency_max")
+    found = _alarms(spark, folder).windows.read().withColumn("period", shown("period")).withColumn("latency_sum", F.round("latency_sum", 6))
+    return found.select("stage", "period", "samples", "errors", "latency_sum", "latency_max", "latency_p99", "rows_ingested")
 
 
-@query("STR10_streaming_alarms", with_sql(
-    I.METRICS_SQL, _WINDOWS, _calendar("windows", "stage", "6 hours", "filled"), select=_alarm_select("filled", "stage", "coalesce(value > 3, false)", 3, 5)))
+_KINDS = (
+    ("stage_errors", "we", "errors", "stage <> 'summary'", "coalesce(value > 3, false)", 3, 5),
+    ("stage_latency", "wl", "latency_p99", "stage <> 'summary'", "coalesce(value > 150, false)", 1, 1),
+    ("empty_output", "wr", "rows_ingested", "stage = 'summary'", "coalesce(value < 1, true)", 1, 1),
+)
+_STATE_PARTS = [
+    part for _, short, value, which, _, _, _ in _KINDS
+    for part in (f"{short} AS (SELECT stage, period, {value}::DOUBLE AS value FROM windows WHERE {which})", _calendar(short, "stage", "6 hours", f"{short}_full"))
+]
+_STATES = " UNION ALL ".join(
+    f"SELECT '{name}' AS alarm_name, * FROM ({_alarm_select(f'{short}_full', 'stage', breach, m, n)})" for name, short, _, _, breach, m, n in _KINDS)
+
+
+@query("STR10_streaming_alarms", with_sql(I.METRICS_SQL, _WINDOWS, *_STATE_PARTS, select=_STATES))
 def streaming_alarms(spark, folder):
-    job = metrics.StreamingAlarms(spark, scratch_path(spark, "alarms"), period="6 hours")
-    job.start(_streamed(spark, folder), scratch_path(spark, "progress")).awaitTermination()
-    return job.states.read().withColumn("period", shown("period")).select("stage", "period", "value", "breach", "alarm")
+    return _alarms(spark, folder).states.read().withColumn("period", shown("period")).select("alarm_name", "stage", "period", "value", "breach", "alarm")
+
+
+@query("STR10_streaming_health", with_sql(
+    I.METRICS_SQL, _WINDOWS, *_STATE_PARTS,
+    select=f"SELECT {sql_shown('day')} AS period, bool_or(alarm) AS alarm FROM (SELECT date_trunc('day', strptime(period, '%Y-%m-%d %H:%M:%S')) AS day, alarm FROM ({_STATES})) GROUP BY 1"))
+def streaming_health(spark, folder):
+    return _alarms(spark, folder).health("1 day").withColumn("period", shown("period"))
+
+
+@query("STR7_claim_stream", """
+SELECT 'k' || doc_id AS key, outcome, decided_at FROM (
+ SELECT doc_id, unnest(['claimed', CASE WHEN doc_id % 3 = 0 THEN 'processed' ELSE 'locked' END, CASE WHEN doc_id % 3 = 0 THEN 'processed' ELSE 'claimed' END]) AS outcome,
+  unnest(['2024-02-01 00:00:00', '2024-02-01 00:30:00', '2024-02-01 02:00:00']) AS decided_at FROM documents)""")
+def claim_stream(spark, folder):
+    """Every document is asked for three times; a third of them is finished with the first claim, the others' claims expire."""
+    root = scratch_path(spark, "claims")
+    start = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    docs = table(spark, folder, "documents")
+    for part, minutes in enumerate((0, 30, 120)):
+        docs.select(
+            F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), (start + F.expr(f"INTERVAL {minutes} MINUTES")).alias("asked_at"),
+            (F.col("doc_id") % 3 == 0).alias("done")).coalesce(1).write.parquet(f"{root}/in/{part}")
+    job = claims.ClaimStream(spark, f"{root}/state", buckets=8)
+    asked = spark.readStream.schema(claims.REQUESTS).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    job.start(asked, f"{root}/progress").awaitTermination()
+    return job.outcomes.read().select("key", "outcome", shown("decided_at", "decided_at"))

@@ -368,9 +368,10 @@ def substring(spark, folder):
 @query("PRJ18_trigram_search", "SELECT doc_id, source FROM documents WHERE text ILIKE '%thing%' ORDER BY source, doc_id LIMIT 100")
 def trigram(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    path = scratch_path(spark, "postings")
+    path, base = scratch_path(spark, "postings"), scratch_path(spark, "ranged")
     search.write_postings(search.trigram_postings(docs, "text", "doc_id"), path, "doc_id")
-    candidates = search.candidate_rows(docs, spark.read.parquet(path), "text", "thing", "doc_id")
+    search.write_ranged(docs, base, "doc_id")
+    candidates = search.candidate_rows(spark.read.parquet(base), spark.read.parquet(path), "text", "thing", "doc_id")
     return candidates.orderBy("source", "doc_id").limit(100).select("doc_id", "source")
 
 

@@ -2,58 +2,84 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusmill.operators.alarms import alarm
-from corpusmill.operators.upsert import KeyedTable
+from corpusmill.operators.alarms import BREACHING, alarm, composite_alarm
+from corpusmill.operators.upsert import AppendTable
 
-WINDOWS = "stage string, period timestamp, samples bigint, errors bigint, latency_sum double, latency_max double"
+WINDOWS = (
+    "stage string, period timestamp, samples bigint, errors bigint, latency_sum double, latency_max double, latency_p99 double, rows_ingested double"
+)
+STATES = "alarm_name string, stage string, period timestamp, value double, breach boolean, alarm boolean"
+# The stage under which whole runs are counted.
+SUMMARY = "summary"
+# Latencies of a window that the percentile tells apart exactly.
+ACCURACY = 10_000
 
 
 def windowed_metrics(records: DataFrame, period: str, lateness: str = "10 minutes") -> DataFrame:
-    """Tumbling windows per stage. The watermark bounds the state; later records are dropped."""
+    """Tumbling windows per stage. The watermark bounds the state; later records are dropped.
+
+    The tail latency comes from a sketch that windows can merge, so a window keeps no list of its records.
+    """
+    rows = F.sum("rows_ingested") if "rows_ingested" in records.columns else F.lit(None).cast("double")
     return (
         records.withWatermark("ts", lateness)
         .groupBy(F.window("ts", period), "stage")
         .agg(
             F.count("*").alias("samples"), F.sum("errors").alias("errors"),
             F.sum("latency").alias("latency_sum"), F.max("latency").alias("latency_max"),
+            F.percentile_approx("latency", 0.99, ACCURACY).alias("latency_p99"), rows.alias("rows_ingested"),
         )
-        .select("stage", F.col("window.start").alias("period"), "samples", "errors", "latency_sum", "latency_max")
+        .select("stage", F.col("window.start").alias("period"), "samples", "errors", "latency_sum", "latency_max", "latency_p99", "rows_ingested")
     )
 
 
 class StreamingAlarms:
-    """Closed windows go to a keyed table; each batch re-evaluates the recent periods of its stages.
+    """Closed windows are appended by day; each batch evaluates the recent periods of its stages.
 
-    Only the ``evaluation_periods`` around the batch's own windows are read back, so the cost per
-    batch does not grow with history.
+    Three alarms: errors of a stage, tail latency of a stage, and rows of whole runs (stage ``summary``, where a
+    missing period breaches). Of the history only the days that the batch's windows look back to are read.
     """
 
-    def __init__(self, spark: SparkSession, root: str, *, period: str = "60 seconds", threshold: float = 3,
-                 datapoints: int = 3, evaluation_periods: int = 5) -> None:
-        self.windows = KeyedTable(spark, f"{root}/windows", WINDOWS, ["stage", "period"], buckets=8)
-        self.states = KeyedTable(
-            spark, f"{root}/alarms", "stage string, period timestamp, value bigint, breach boolean, alarm boolean",
-            ["stage", "period"], buckets=8,
-        )
+    def __init__(self, spark: SparkSession, root: str, *, period: str = "60 seconds", threshold: float = 3, datapoints: int = 3,
+                 evaluation_periods: int = 5, latency_threshold: float = 30000, least_rows: float = 1) -> None:
+        self.windows = AppendTable(spark, f"{root}/windows", WINDOWS, "period", ["stage", "period"])
+        self.states = AppendTable(spark, f"{root}/alarms", STATES, "period", ["alarm_name", "stage", "period"])
         self.period, self.threshold = period, threshold
         self.datapoints, self.evaluation_periods = datapoints, evaluation_periods
+        self.latency_threshold, self.least_rows = latency_threshold, least_rows
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        closed = self.windows.upsert(batch)
+        self.windows.append(batch, batch_id)
         reach = F.expr(f"{self.evaluation_periods} * INTERVAL {self.period}")
-        span = closed.groupBy("stage").agg((F.min("period") - reach).alias("low"), F.min("period").alias("first"), (F.max("period") + reach).alias("high"))
-        near = self.windows.read().join(span, "stage").filter("period BETWEEN low AND high")
-        series = near.select("stage", "period", F.col("errors").alias("value"))
-        states = alarm(
-            series, "stage", self.period, ">", self.threshold,
-            datapoints=self.datapoints, evaluation_periods=self.evaluation_periods,
+        span = batch.groupBy("stage").agg((F.min("period") - reach).alias("low"), F.min("period").alias("first"), (F.max("period") + reach).alias("high"))
+        since = span.agg(F.min("low")).first()[0]
+        if since is None:
+            return
+        near = self.windows.read(F.lit(since)).join(span, "stage").filter("period BETWEEN low AND high")
+        stages, runs = near.filter(F.col("stage") != SUMMARY), near.filter(F.col("stage") == SUMMARY)
+        kinds = (
+            ("stage_errors", stages, "errors", ">", self.threshold, {"datapoints": self.datapoints, "evaluation_periods": self.evaluation_periods}),
+            ("stage_latency", stages, "latency_p99", ">", self.latency_threshold, {}),
+            ("empty_output", runs, "rows_ingested", "<", self.least_rows, {"missing": BREACHING}),
         )
+        states = [
+            alarm(some.select("stage", "period", F.col(value).cast("double").alias("value")), "stage", self.period, compare, limit, **rule)
+            .withColumn("alarm_name", F.lit(name))
+            for name, some, value, compare, limit, rule in kinds
+        ]
         # Periods before the batch's first window lack part of their history here and are kept as stored.
-        self.states.upsert(states.join(span.select("stage", "first"), "stage").filter("period >= first").drop("first"))
+        everything = reduce(DataFrame.unionByName, states).join(span.select("stage", "first"), "stage").filter("period >= first")
+        self.states.append(everything.drop("first"), batch_id)
+
+    def health(self, period: str) -> DataFrame:
+        """Periods in which any alarm fired."""
+        return composite_alarm([self.states.read()], period)
 
     def start(self, records: DataFrame, checkpoint: str, lateness: str = "10 minutes") -> StreamingQuery:
         return (

@@ -209,3 +209,16 @@ def test_percentiles_do_not_shuffle_rows_by_group(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     scan = plan[: plan.index("Range (")]
     assert "BroadcastHashJoin" in scan and "SinglePartition" not in plan
+
+
+def test_a_rare_query_filters_the_scan_by_id(spark):
+    path, base = scratch_path(spark, "grams"), scratch_path(spark, "ranged")
+    table = spark.range(2_000).selectExpr("id", "CASE WHEN id = 77 THEN 'needle' ELSE 'hay' || id END AS species")
+    search.write_postings(search.trigram_postings(table, "species"), path)
+    search.write_ranged(table, base)
+    found = search.candidate_rows(spark.read.parquet(base), spark.read.parquet(path), "species", "NEEDLE")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "= 77)" in plan and "Join" not in plan
+    assert [r.id for r in found.collect()] == [77]
+    common = search.candidate_rows(spark.read.parquet(base), spark.read.parquet(path), "species", "hay1")
+    assert common.count() == table.filter("species LIKE 'hay1%'").count()
