@@ -15,7 +15,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from corpusmill.functions import markers  # noqa: E402
 from corpusmill.operators import chunking, embed, ledger, metrics, search, topk, upsert  # noqa: E402
 from corpusmill.plans import inputs  # noqa: E402
-from corpusmill.session import build_session, scratch_path  # noqa: E402
+from corpusmill.session import build_session, clear_scratch, scratch_path  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -36,6 +36,10 @@ def main() -> None:
 
     vectors = table("embeddings").select("vec_id", "embedding")
     queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    # At least 4,096 queries: every vector several times.
+    times = -(-4_096 // vectors.count())
+    many = vectors.select(F.explode(F.sequence(F.lit(1), F.lit(times))).alias("n"), "vec_id", "embedding")
+    many = many.select(F.concat_ws("-", "vec_id", "n").alias("query_id"), F.col("embedding").alias("query_embedding")).limit(4_096)
     lines = table("lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS k", "l_partkey AS p", "l_extendedprice AS v")
     stored = upsert.KeyedTable(spark, scratch_path(spark, "bench"), "k bigint, p bigint, v double", ["k"], buckets=16)
     stored.upsert(lines)
@@ -60,6 +64,7 @@ def main() -> None:
         "clean_and_chunk": lambda: run(chunking.chunk_documents(inputs.documents(spark, FOLDER), layer_version=1)),
         "extract_markers": lambda: run(inputs.log_lines(spark, FOLDER).select(markers.extract_markers(F.col("text")))),
         "exact_top_k": lambda: run(topk.top_k(vectors, queries, 10, vector_id="vec_id")),
+        "exact_top_k_4096": lambda: run(topk.top_k(vectors, many, 10, vector_id="vec_id")),
         "embed_chunks": lambda: run(embed.embed(chunks, lambda: embed.HashEmbedder(64))),
         "rerun_nothing_new": skip_all,
         "upsert_tenth": lambda: stored.upsert(lines.filter("k % 10 = 0").withColumn("v", F.col("v") + 1)),
@@ -88,6 +93,7 @@ def main() -> None:
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": FOLDER.rstrip("/").rsplit("sf", 1)[-1], "sizes": sizes, "rates": rates,
     }))
+    clear_scratch(spark)
 
 
 if __name__ == "__main__":

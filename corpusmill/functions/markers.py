@@ -17,6 +17,7 @@ UNIT_METRIC = (
     r"(?i)(?<![\d/-])\b\d[\d,]*(?:\.\d+)?\s?"
     r"(?:ms|s|secs?|mins?|hrs?|GB|MB|KB|TB|%|rps|req/s|bytes?|errors?|requests?)(?=\W|$)"
 )
+# Possessive quantifiers here keep long words from being tried again letter by letter; they match the same.
 KEY_METRIC = r"\b[A-Za-z_][A-Za-z0-9_]*+\s*+[:=]\s*+\d[\d,]*(?:\.\d+)?\b"
 ERROR_CODE = r"\b(?:ERR(?:OR)?[-_]?\d{2,}|E\d{3,})\b"
 HTTP_STATUS = r"(?i)\b(?:HTTP|status)\s?[1-5]\d{2}\b"

@@ -187,7 +187,7 @@ LOG_SQL = (
     "|| ' again HTTP ' || (500 + event_id % 5) || ' on ' || strftime(ts, '%Y-%m-%d') AS text FROM events)"
 )
 
-# Pattern twins. DuckDB has no look-around, so the number of a unit metric is found with the
+# The patterns of functions/markers.py as DuckDB can read them. DuckDB has no look-around, so the number of a unit metric is found with the
 # character before it, and the unit with the one after it.
 _UNIT = r"(?:(?:ms|s|secs?|mins?|hrs?|GB|MB|KB|TB|rps|req/s|bytes?|errors?|requests?)\b|%)"
 MARKERS_SQL = [
