@@ -23,7 +23,7 @@ from corpusmill.llm.common import row_blocks, staged
 #: A chunk has 2^TOP bytes on average; MOST bytes end one wherever it is (text that never gives a border).
 TOP, MOST = 5, 1_024
 #: Code points of the shortest passage that counts, between its first and its last border.
-LEAST = 120
+LEAST = 80
 BLOCK = 4_000_000
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([byte]), seed=1) & 0xFFFF for byte in range(256)], dtype=np.uint16)
 _ROWS = "doc_id {}, part_row long, start int, length int, digest long, first boolean"
