@@ -82,7 +82,7 @@ def test_spans_are_cut_out(spark):
 PEOPLE = [
     (1, "Call Mr. John Smith at +1 (212) 555-0147 or john.smith@mail.example.org."), (2, "John Smith? No, Mr. John Smith, 10.0.0.7 and 10.0.0.8."),
     (3, "Frau Müller paid with 4539 1488 0343 6467, ssn 123-45-6789."), (4, "г-жа Иванова and Κύριος Παπαδόπουλος, Mrs Anna-Maria O'Neil"),
-    (5, "nothing to hide, version 3.14 of 2024"), (6, None), (7, ""), (8, "IBAN DE89 3704 0044 0532 0130 00."), (1, "Mr. John Smith again"),
+    (5, "nothing to hide, version 3.14 of 2024-01-02, 123.4567 kg, 10 000 000"), (6, None), (7, ""), (8, "IBAN DE89 3704 0044 0532 0130 00."), (1, "Mr. John Smith again"),
     (None, "10.0.0.7"), (9, "word " * 60_000 + "end@x.org"),
 ]
 
