@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import merge_labels, staged
@@ -97,12 +98,13 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     reps = valid.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     reps = staged(reps.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     tiles = reps.groupBy(F.size("vector").alias("dim")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = reps.withColumn("dim", F.size("vector")).join(tiles, "dim")
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    dealt = dealt.select("rep", "copies", "vector", "dim", "tile", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
-    dealt = dealt.select(
-        "rep", "copies", "vector", "tile", "dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    met = dealt.groupBy("i", "j", "dim").applyInPandas(_meet(threshold), "rep long, links long, root long")
+    tiles = tiles.withColumn("base", F.sum("tiles").over(W.orderBy("dim")).cast("int") - F.col("tiles"))
+    # One row per dimension in use, so no more rows than the longest vector has components.
+    dealt = reps.withColumn("dim", F.size("vector")).join(F.broadcast(tiles), "dim")
+    dealt = dealt.withColumn("tile", F.col("base") + F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    dealt = dealt.select("rep", "copies", "vector", "tile", F.explode(F.expr("sequence(base, base + tiles - 1)")).alias("other"))
+    dealt = dealt.select("rep", "copies", "vector", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    met = dealt.groupBy("i", "j").applyInPandas(_meet(threshold), "rep long, links long, root long")
     met = staged(met, "tile_links")
     roots = connected_components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
