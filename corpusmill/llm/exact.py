@@ -15,6 +15,8 @@ from corpusmill.llm.common import own_name, staged
 
 #: Bits of the survivor map; it is broadcast as BITS / 64 rows of two longs.
 BITS = 1 << 20
+#: Places in which a group's rows meet its result.
+SALTS = 32
 #: Characters that the second refinement hashes.
 PREFIX = 256
 
@@ -78,16 +80,15 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bi
     digest = F.coalesce(full, F.sha2(F.col(bare), 256)) if digest_all else F.col(full)
     marked = staged(marked.select(
         "doc_id", full, F.coalesce(F.length("text"), F.lit(0)).alias("points"), digest.alias("digest")), "hashes")
-    groups = _best(marked.where(F.col(full).isNotNull()), full).where("group_size > 1")
-    joined = marked.join(groups, full, "left")
-    grouped = F.col("group_size").isNotNull()
-    return joined.select(
-        "doc_id",
-        F.when(grouped, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(grouped, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points")))
-        .otherwise(F.lit(True)).alias("kept"),
+    alone = marked.where(F.col(full).isNull()).select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         F.col("digest").alias("full_hash"))
+    rest = marked.where(F.col(full).isNotNull()).withColumn("salt", F.pmod(F.xxhash64("doc_id", "points"), F.lit(SALTS)))
+    # A group that is too large for one task meets its one row in SALTS places.
+    groups = _best(rest, full).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
+    return alone.unionByName(rest.join(groups, [full, "salt"]).select(
+        "doc_id", "keep_id", "group_size", best.alias("kept"), F.col("digest").alias("full_hash")))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
