@@ -6,38 +6,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import exact, mixing, packing, simhash, toxicity
-from corpusmill.llm.common import staged
-from corpusmill.session import ship_package
+from corpusmill.llm.common import prepare, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    ship_package(spark)
+    prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.learn(docs, labels))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
+    prepare(spark)
     return exact.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
-    ship_package(spark)
+    prepare(spark)
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
+    prepare(spark)
     return mixing.training_order(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    ship_package(spark)
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
-    return pieces.withColumn("ids_crc32", packing.ids_crc32("ids")).drop("ids")
+    prepare(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1).drop("ids")
 
 
 STAGES = [

@@ -6,30 +6,33 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import delete_path, scratch_path
+from corpusmill.session import scratch_path, ship_package
 
-#: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
-BLANK = r"[\x20\x09-\x0D]"
+#: A word: no space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_STAGED: list[str] = []
+
+#: Bytes of an Arrow batch at most. The default counts rows, so long texts would add up in a Python worker.
+BATCH_BYTES = "8m"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session with the package on its workers and Arrow batches bounded by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return ship_package(spark)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage and outlives executors."""
+    """``df`` written to the shared folder and read back: cuts lineage and outlives executors.
+
+    ``corpusmill.session.clear_scratch`` deletes these tables when no result reads them any more.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_staged(spark: SparkSession) -> None:
-    """Delete what ``staged`` wrote, once no result that reads it is needed any more."""
-    while _STAGED:
-        delete_path(spark, _STAGED.pop())
-
-
 def own_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have yet, whatever the letter case."""
     taken = {name.lower() for name in df.columns}

@@ -23,36 +23,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
 from corpusmill.llm.common import row_blocks, staged
 
 SEQUENCE = 2048
-#: Words whose ids a worker remembers; once so many are known, later words are encoded anew in each block.
-MEMO = 250_000
+#: Stems whose ids a worker remembers; once so many are known, later ones are encoded anew in each block.
+MEMO = 200_000
 #: Characters that are encoded together, and rows that are cut into pieces together.
-BLOCK, ROWS = 2_000_000, 512
+BLOCK, ROWS = 8_000_000, 512
 _TOKENS = "doc_id {}, part int, spot long, tokens int, tail int, rank long, full_before long, ids binary"
-_PIECES = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-
-
-class _Memo(dict):
-    """Ids by word; words that are not remembered are looked up among those of the block."""
-
-    block: dict[str, bytes]
-
-    def __missing__(self, word: str) -> bytes:
-        return self.block[word]
+_PIECES = "doc_id {}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class _Encoder:
-    """Ids of texts by a tokenizer that drops white space: words are encoded once per block, common ones once per worker."""
+    """Ids of texts by a tokenizer that drops white space: words are encoded once per block, common stems once per worker."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.bases = _Memo(), _Memo()
+        self.stems: dict[str, bytes] = {}
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         #: Whether an id ends a piece of a word; None if the vocabulary does not tell.
@@ -89,23 +79,22 @@ class _Encoder:
         letters = [word.rstrip(_SIGNS) for word in plain]
         bases = [base.lower() for base in letters]
         signs = [word[len(base) :] for word, base in zip(plain, letters)]
-        block = self._lines(list({*bases, *signs} - self.bases.keys() - {""}), kind)
-        if len(self.bases) < MEMO:
-            self.bases.update(block)
-        self.bases.block = block
-        get = self.bases.__getitem__
-        found.update((word, get(base) + get(sign) if sign else get(base)) for word, base, sign in zip(plain, bases, signs))
+        needed = {*bases, *signs} - {""}
+        known = self._lines(list(needed - self.stems.keys()), kind)
+        if len(self.stems) < MEMO:
+            self.stems.update(known)
+        known.update((stem, self.stems[stem]) for stem in needed & self.stems.keys())
+        found.update((word, known[base] + known[sign] if sign else known[base]) for word, base, sign in zip(plain, bases, signs))
         return found
 
     def encode(self, texts: list[str], end: int, kind: str) -> list[bytes]:
-        split = [text.split() if _SEPARATORS.search(text) is None else text.translate(_SPACES).split(" ") for text in texts]
-        fresh = list(set().union(*split) - self.known.keys())
-        block = self._words(fresh, kind)
-        if len(self.known) < MEMO:
-            self.known.update(block)
-        self.known.block = block
-        last = np.array([end], dtype=kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) + last for words in split]
+        # Texts are split twice, since the words of a block take several times the room of its texts.
+        known, last = self._words(list(set().union(*map(_split, texts))), kind), np.array([end], dtype=kind).tobytes()
+        return [b"".join(map(known.__getitem__, _split(text))) + last for text in texts]
+
+
+def _split(text: str) -> list[str]:
+    return text.split() if _SEPARATORS.search(text) is None else text.translate(_SPACES).split(" ")
 
 
 # A plain word is one run of letters, each of which stays one letter in lower case, and perhaps a run of signs after it.
@@ -222,7 +211,7 @@ def _by_tail(plan: list) -> dict[int, list[tuple[list[int], list[tuple]]]]:
 
 
 def pack(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
-    """Pieces ``doc_id, start, length, ids`` (little-endian unsigned 32-bit), ``doc_tokens, sequence_id, offset``.
+    """Pieces ``doc_id, start, length, ids`` (little-endian unsigned 32-bit), ``ids_crc32, doc_tokens, sequence_id, offset``.
 
     A document is its ids and then ``end``; a null or empty text is ``end`` alone. A document of k full
     sequences gives k pieces that fill sequences of their own; the tail goes where the plan puts it. Every id
@@ -266,17 +255,12 @@ def pack(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text: str
                         cuts.append((full_tokens + run[3], run[4], run[5] + rank - run[1], run[6]))
                 for start, length, number, offset in cuts:
                     source.append(at)
-                    rows.append((start, length, coded[start : start + length].tobytes(), total, number, offset))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            made = [pa.array(values, of) for values, of in zip(zip(*rows) if rows else [()] * 6, kinds)]
+                    part = coded[start : start + length].tobytes()
+                    rows.append((start, length, part, zlib.crc32(part), total, number, offset))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            made = [pa.array(values, of) for values, of in zip(zip(*rows) if rows else [()] * 7, kinds)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(source, pa.int32())), *made],
-                ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return joined.mapInArrow(pieces, _PIECES.format(key))
-
-
-@F.pandas_udf(LongType())
-def ids_crc32(ids):
-    """CRC-32 of the ids of a piece."""
-    return ids.map(zlib.crc32).astype("int64")

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusmill.llm import crossparse, exact, mixing, packing, secret_scan, simhash, substrings, surrogates, toxicity, vectors
-from corpusmill.llm.common import held_out
+from corpusmill.llm.common import held_out, prepare
 from corpusmill.plans.base import table
-from corpusmill.session import ship_package
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -18,7 +17,7 @@ SQL: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def register(function):
         def run(spark, folder):
-            return function(ship_package(spark), folder)
+            return function(prepare(spark), folder)
 
         QUERIES[name] = run
         if sql is not None:
@@ -121,7 +120,7 @@ def curriculum_mix(spark, folder):
 def packed_sequences(spark, folder):
     pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), END)
     return pieces.select(
-        "doc_id", "start", "length", packing.ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @query("pipeline", corpus_pipeline.ORACLE_SQL)

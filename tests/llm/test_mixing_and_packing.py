@@ -124,10 +124,9 @@ def test_pieces_hold_every_id_once(spark):
     tokenizer = Tokenizer.from_file(PATH)
     want = {k: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1] for k, text in enumerate(texts)}
     got, sequences = defaultdict(list), defaultdict(list)
-    pieces = packing.pack(docs, PATH, 1)
-    for r in pieces.withColumn("crc", packing.ids_crc32("ids")).collect():
+    for r in packing.pack(docs, PATH, 1).collect():
         ids = np.frombuffer(r.ids, dtype="<u4").tolist()
-        assert r.crc == zlib.crc32(r.ids) and r.length == len(ids) and r.doc_tokens == len(want[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(r.ids) and r.length == len(ids) and r.doc_tokens == len(want[r.doc_id])
         got[r.doc_id].append((r.start, ids))
         sequences[r.sequence_id].append((r.offset, r.length))
     assert {k: [x for _, ids in sorted(parts) for x in ids] for k, parts in got.items()} == want

@@ -53,7 +53,7 @@ def test_stages_keep_what_they_should(spark, sf):
 
 
 def test_run_is_the_stages_in_turn(spark, sf):
-    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
+    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def test_every_operator_has_a_query(spark):
