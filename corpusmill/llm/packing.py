@@ -31,7 +31,7 @@ SEQUENCE = 2048
 #: Stems whose ids a worker remembers; once so many are known, later ones are encoded anew in each block.
 MEMO = 200_000
 #: Characters that are encoded together, and rows that are cut into pieces together.
-BLOCK, ROWS = 8_000_000, 512
+BLOCK, ROWS = 3_000_000, 512
 _TOKENS = "doc_id {}, part int, spot long, tokens int, tail int, rank long, full_before long, ids binary"
 _PIECES = "doc_id {}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -88,20 +88,21 @@ class _Encoder:
         return found
 
     def encode(self, texts: list[str], end: int, kind: str) -> list[bytes]:
-        # Texts are split twice, since the words of a block take several times the room of its texts.
-        known, last = self._words(list(set().union(*map(_split, texts))), kind), np.array([end], dtype=kind).tobytes()
-        return [b"".join(map(known.__getitem__, _split(text))) + last for text in texts]
+        split = [_split(text) for text in texts]
+        known, last = self._words(list(set().union(*split)), kind), np.array([end], dtype=kind).tobytes()
+        return [b"".join(map(known.__getitem__, words)) + last for words in split]
 
 
 def _split(text: str) -> list[str]:
-    return text.split() if _SEPARATORS.search(text) is None else text.translate(_SPACES).split(" ")
+    """Words between white space as the tokenizer sees it; str.split() takes four separators more for it."""
+    if any(separator in text for separator in "\x1c\x1d\x1e\x1f"):
+        return text.translate(_SPACES).split(" ")
+    return text.split()
 
 
 # A plain word is one run of letters, each of which stays one letter in lower case, and perhaps a run of signs after it.
 _SIGNS = ".,;:!?)]}%&*#|\"-"
 _PLAIN = re.compile(rf"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[{re.escape(_SIGNS)}]*")
-# str.split() takes these for white space, the tokenizer does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 _ENCODERS: dict[str, _Encoder] = {}
 
