@@ -1,8 +1,8 @@
 """Repeated passages by content-defined chunking with a gear rolling hash.
 
 A chunk ends where the gear hash of the last 16 bytes has its top bits zero, so borders depend on the bytes
-around them alone and come back in step right after an insertion. Chunks are compared by digest; runs of
-chunks that other documents hold too are the repeated passages.
+around them alone and come back in step right after an insertion. Chunks are compared by digest, then windows of
+them; windows that other documents hold too make up the repeated passages.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -106,32 +106,90 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """``doc_id, start, end, copies, first_doc_id, removed``, one row per repeated passage; code points, end exclusive.
+    """``doc_id, start, end, copies, first_doc_id, removed``, one row per stretch of a repeated passage; code points, end exclusive.
 
-    A passage is a run of chunks that at least one other document (row) holds as well and that has ``least``
-    code points or more. ``copies`` is the largest number of documents that hold one of its chunks,
-    ``first_doc_id`` the smallest id among the holders, ``removed`` is false for that document. Repeats inside
+    A passage is a run of chunks of ``least`` code points or more that at least one other document (row) holds as
+    well, in the same order. Of each window of a passage (the fewest chunks that reach ``least``) the smallest id among
+    its holders is the first, and keeps it whole. A passage is cut into stretches where the first holder or the place
+    there changes, so every removed stretch stays, as it is and in one piece, in ``first_doc_id``; a stretch may be
+    shorter than ``least``. ``copies`` is the largest number of documents that hold one of its windows. Repeats inside
     one document alone do not count. Null and empty texts have no chunks; repeated rows are repeats of each
-    other; null ids are holders, too, but are never first while another is. Other columns are not read.
+    other, but rows of the first id all keep it; null ids are holders, too, but are never first while another is.
+    Other columns are not read.
     """
     found = _passages(staged(chunks(docs, doc_id, text), "chunks"), least)
     return found.drop("row")
 
 
-def _passages(cut: DataFrame, least: int) -> DataFrame:
-    counts = cut.where("first").groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
-    shared = staged(cut.drop("first").join(counts, "digest"), "repeats")
-    holders = shared.groupBy("digest").agg(F.min("doc_id").alias("holder"))
+def _released(df: DataFrame, label: str) -> DataFrame:
+    """``staged``, and the shuffle files of the write are deleted with its end."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return staged(df, label)
+    finally:
+        conf.set(name, before)
+
+
+def _long_runs(cut: DataFrame, least: int) -> DataFrame:
+    """Chunks in long runs of shared chunks, with the window that starts there and the one that ends there.
+
+    ``ahead`` and ``behind`` are digests of these windows, null where the run is too short for it; ``back`` is the start
+    of the latter.
+    """
+    counts = cut.where("first").groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest")
+    shared = cut.drop("first").join(counts, "digest").withColumn("end", F.col("start") + F.col("length"))
     # A run begins where the chunk before is not shared.
-    own = W.partitionBy("row").orderBy("start")
-    begun = shared.withColumn("begins", F.coalesce(F.lag(F.col("start") + F.col("length")).over(own) != F.col("start"), F.lit(True)))
+    own, run = W.partitionBy("row").orderBy("start"), W.partitionBy("row", "run")
+    begun = shared.withColumn("begins", F.coalesce(F.lag("end").over(own) != F.col("start"), F.lit(True)))
     runs = begun.withColumn("run", F.sum(F.col("begins").cast("int")).over(own.rowsBetween(W.unboundedPreceding, 0)))
-    long = runs.groupBy("row", "run").agg(F.sum("length").alias("size")).where(F.col("size") >= least).select("row", "run")
-    kept = runs.join(long, ["row", "run"]).join(holders, "digest")
-    spans = kept.groupBy("row", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").cast("long").alias("start"),
-        F.max(F.col("start") + F.col("length")).cast("long").alias("end"), F.max("copies").alias("copies"), F.min("holder").alias("first_doc_id"))
-    return spans.withColumn("removed", ~F.col("doc_id").eqNullSafe(F.col("first_doc_id"))).drop("run")
+    kept = runs.withColumn("size", F.sum("length").over(run)).where(F.col("size") >= least)
+    ahead, behind = run.orderBy("start").rangeBetween(0, least - 1), run.orderBy("end").rangeBetween(1 - least, 0)
+    digest = lambda frame: F.xxhash64(F.collect_list("digest").over(frame))
+    back = F.min("start").over(behind)
+    return kept.select(
+        "doc_id", "row", "start", "end", F.when(F.max("end").over(ahead) - F.col("start") >= least, digest(ahead)).alias("ahead"),
+        F.when(F.col("end") - back >= least, digest(behind)).alias("behind"), back.alias("back"))
+
+
+def _passages(cut: DataFrame, least: int) -> DataFrame:
+    runs = _released(_long_runs(cut, least), "runs")
+    sides = F.array(
+        F.struct(F.lit(True).alias("forth"), F.col("ahead").alias("window"), F.col("start").alias("opens")),
+        F.struct(F.lit(False).alias("forth"), F.col("behind").alias("window"), F.col("back").alias("opens")))
+    windows = runs.select("doc_id", "row", "start", "end", F.inline(sides)).where("window IS NOT NULL")
+    held = windows.groupBy("window", "row").agg(F.first("doc_id").alias("doc_id"), F.min("opens").alias("opens"))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "opens")
+    firsts = held.groupBy("window").agg(F.count("*").alias("copies"), F.min(place).alias("keeper")).where("copies > 1")
+    known = windows.join(_released(firsts, "firsts"), "window")
+    source = F.struct("keeper.unknown", "keeper.doc_id", "keeper.row", (F.col("keeper.opens") - F.col("opens")).alias("shift"))
+    mine = F.col("keeper.doc_id").eqNullSafe(F.col("doc_id"))
+    # Of a window of the first holder only that matters: its source is never asked for.
+    known = known.select("row", "start", "end", "forth", "copies", F.when(~mine, source).alias("source"), mine.alias("mine"))
+    rows = runs.select("doc_id", "row", "start", "end", F.lit(True).alias("chunk")).unionByName(_released(known, "known"), allowMissingColumns=True)
+
+    # The windows that hold a chunk start less than ``least`` before it, or end less than ``least`` after it.
+    own = W.partitionBy("row").orderBy("start")
+    ahead, behind = own.rangeBetween(1 - least, 0), W.partitionBy("row").orderBy("end").rangeBetween(0, least - 1)
+
+    def over_windows(pick, fold, name: str) -> Column:
+        return pick(fold(F.when(F.col("forth"), F.col(name))).over(ahead), fold(F.when(~F.col("forth"), F.col(name))).over(behind))
+
+    covered = rows.select(
+        "doc_id", "row", "start", "end", "chunk", over_windows(F.greatest, F.max, "copies").alias("copies"),
+        over_windows(F.least, F.min, "source").alias("source"), over_windows(F.greatest, F.max, "mine").alias("mine"),
+    ).where("chunk AND copies IS NOT NULL")
+    # Rows of the first holder keep the chunk, whichever other windows of theirs hold it.
+    covered = covered.withColumn("source", F.when(~F.col("mine"), F.col("source")))
+    apart = (F.lag("end").over(own) != F.col("start")) | ~F.lag("source").over(own).eqNullSafe(F.col("source"))
+    begun = covered.withColumn("begins", F.coalesce(apart, F.lit(True)))
+    cuts = begun.withColumn("stretch", F.sum(F.col("begins").cast("int")).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    spans = cuts.groupBy("row", "stretch").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"),
+        F.max("copies").alias("copies"), F.first(F.col("source.doc_id")).alias("other"), F.first("mine").alias("mine"))
+    first = F.when(F.col("mine"), F.col("doc_id")).otherwise(F.col("other")).alias("first_doc_id")
+    return spans.select("row", "doc_id", "start", "end", "copies", first, (~F.col("mine")).alias("removed"))
 
 
 @F.pandas_udf(StringType())

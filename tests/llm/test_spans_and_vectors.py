@@ -72,6 +72,36 @@ def test_copies_of_documents_and_repeats_inside_one(spark):
     assert found == [(1, 0, len(text), 3), (1, 0, len(text), 3), (2, 0, len(text), 3)]
 
 
+def test_removed_stretches_stay_whole_in_their_first_holder(spark):
+    """Each small chunk of a passage is in an early document, too; passages overlap, meet and repeat."""
+    rng = random.Random(8)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    runs = [(0, *substrings.borders(p.encode()).tolist()) for p in (one, two, three)]
+    octets = [p.encode() for p in (one, two, three)]
+    pieces = sorted({data[a:b].decode() for data, ends in zip(octets, runs) for a, b in zip(ends, ends[1:])}, key=len)
+    early = prose(rng, 30) + "".join(p for piece in pieces for p in (piece, prose(rng, 12)))
+    line = prose(rng, 12)
+    texts = [early, *(f"{prose(rng, 40)} {p} {prose(rng, 40)}" for p in (
+        one, f"{two} {line} {three}", f"{one} {two}", three, f"{two} {prose(rng, 20)} {one}", f"{line} " * 9, f"{line} " * 14, one + two + three))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = substrings.repeated_passages(docs).collect()
+    left = {k: [] for k in range(len(texts))}
+    for r in found:
+        if r.removed:
+            left[r.doc_id].append((r.start, r.end))
+    kept = {}
+    for k, text in enumerate(texts):
+        edges = [0, *(edge for pair in sorted(left[k]) for edge in pair), len(text)]
+        assert edges == sorted(edges)
+        kept[k] = [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
+    assert sum(r.removed for r in found) > 8 and not left[1]
+    for r in found:
+        stretch = texts[r.doc_id][r.start : r.end]
+        assert any(stretch in part for part in kept[r.first_doc_id]), (r, stretch)
+    for passage in (one, two, three):
+        assert sum(any(passage[90:-90] in part for part in kept[k]) for k in kept) == 1
+
+
 def test_spans_are_cut_out(spark):
     frame = spark.createDataFrame([("abcdef", [0, 1, 3, 5]), ("abc", None), (None, [0, 1])], "t string, s array<int>")
     assert [r.x for r in frame.select(substrings.without_spans("t", "s").alias("x")).collect()] == ["bcf", "abc", None]
