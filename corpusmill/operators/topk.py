@@ -41,7 +41,11 @@ class _Best:
         self.ids: np.ndarray | None = None
 
     def add(self, scores: np.ndarray, ids: np.ndarray, asked: np.ndarray | None = None) -> None:
-        """Scores are (queries, rows), of the queries ``asked`` if not all; -inf marks a pair that does not count."""
+        """Scores are (queries, rows), of the queries ``asked`` if not all; -inf marks a pair that does not count.
+
+        Scores of vectors with null or non-finite components do not count either, nor take a place among the k best.
+        """
+        scores = np.where(np.isfinite(scores), scores, -np.inf)
         cut = self.floor if asked is None else self.floor[asked]
         if scores.shape[1] > self.k:
             kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]

@@ -64,6 +64,20 @@ def test_top_k_edges(spark, matrix):
         topk.top_k(vectors, queries, 1, metric="l1")
 
 
+@pytest.mark.parametrize("bad", [3, 40])
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_vectors_with_gaps_take_no_place_among_the_best(spark, matrix, bad, metric):
+    _, rows = stored(spark, matrix)
+    odd = [[float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] * 16]
+    mixed = [(f"n{at}", f"s{at % 3}", odd[at % 3]) for at in range(bad)]
+    vectors = spark.createDataFrame(mixed + rows, VECTORS).coalesce(1)
+    queries, _ = asked(spark, matrix[:3], [None, "s1", None])
+    scope = {"scope": "source_id", "query_scope": "scope"}
+    clean = topk.top_k(spark.createDataFrame(rows, VECTORS), queries, 7, metric=metric, **scope)
+    found = topk.top_k(vectors, queries, 7, metric=metric, **scope)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, clean.collect())) and found.count() == 21
+
+
 @pytest.mark.parametrize("size", [4096, 1])
 def test_queries_of_two_dimensions_are_refused(spark, matrix, size):
     vectors, _ = stored(spark, matrix[:5])
