@@ -1,8 +1,9 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton per language holds a bounded labelled sample. A text is parsed greedily into the longest
-pieces that occur in a language's sample; the phrases times log2 of the sample's size over the text's length
-estimate the bits per letter it costs in that language. The cheapest language wins. Many texts are parsed in
+pieces that occur in a language's sample; the phrases times log2 of the largest sample's size over the text's
+length estimate the bits per letter it costs in that language. A letter that a sample lacks costs a code point
+written out, so that a small sample is never the cheaper for its size. The cheapest language wins. Many texts are parsed in
 step, one letter of each at a time.
 """
 
@@ -27,6 +28,10 @@ TRAIN_DOCS, DOC_LETTERS = 64, 2_048
 LANGUAGES = 200
 #: Code points parsed in one run; phrases end at the border of runs, in every language alike.
 RUN = 2_048
+#: Cells of dense transition tables, over all languages; the other automata are sorted pairs, with the same results.
+DENSE = 16_000_000
+#: Bits of a letter that a sample lacks.
+LACKING = float(np.log2(0x110000))
 BLOCK = 6_000_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -38,11 +43,8 @@ def plain(text: str | None) -> str:
     return " " + _OTHER.sub(" ", (text or "").lower()).strip() + " "
 
 
-def suffix_automaton(text: str, letters: dict[str, int], width: int) -> np.ndarray:
-    """Transitions (state, letter) of the automaton of all substrings; -1 where there is none.
-
-    State 0 is the start; the last state is of no substring and has no transitions.
-    """
+def suffix_automaton(text: str, letters: dict[str, int]) -> list[dict[int, int]]:
+    """Transitions (letter to state) of each state of the automaton of all substrings. State 0 is the start."""
     moves, link, length = [{}], [-1], [0]
     last = 0
     for letter in text:
@@ -68,11 +70,39 @@ def suffix_automaton(text: str, letters: dict[str, int], width: int) -> np.ndarr
                     at = link[at]
                 link[target] = link[state] = copy
         last = state
-    table = np.full((len(moves) + 1, width), -1, dtype=np.int32)
-    for state, own in enumerate(moves):
-        for code, target in own.items():
-            table[state, code] = target
-    return table
+    return moves
+
+
+class Automaton:
+    """The automaton of one sample as arrays. Letters are codes of its own, 0 for all that the sample lacks.
+
+    The state after the last is of no substring and has no transitions; there is no transition by letter 0.
+    """
+
+    def __init__(self, sample: str):
+        self.letters = sorted(set(sample))
+        moves = suffix_automaton(sample, {letter: code for code, letter in enumerate(self.letters, 1)})
+        self.width, self.dead = len(self.letters) + 1, len(moves)
+        pairs = sorted((state * self.width + code, target) for state, own in enumerate(moves) for code, target in own.items())
+        self.keys = np.array([key for key, _ in pairs] + [np.iinfo(np.int64).max], dtype=np.int64)
+        self.targets = np.array([target for _, target in pairs] + [-1], dtype=np.int32)
+        self.start = np.full(self.width, self.dead, dtype=np.int32)
+        for code, target in moves[0].items():
+            self.start[code] = target
+        self.cells = (len(moves) + 1) * self.width
+        self.table: np.ndarray | None = None
+
+    def spread(self) -> None:
+        self.table = np.full(self.cells, -1, dtype=np.int32)
+        self.table[self.keys[:-1]] = self.targets[:-1]
+
+    def follow(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The next states; -1 where there is none."""
+        if self.table is not None:
+            return self.table[state * np.int32(self.width) + letter]
+        key = state.astype(np.int64) * self.width + letter
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.targets[at], np.int32(-1))
 
 
 class Parser:
@@ -80,44 +110,61 @@ class Parser:
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        letters = sorted(set("".join(samples.values())))[:254]
-        codes = {letter: code for code, letter in enumerate(letters, 1)}
-        self.width = len(letters) + 1  # code 0: a letter that no sample has
-        self.codes = np.zeros(0x110000, dtype=np.uint8)
-        for letter, code in codes.items():
-            self.codes[ord(letter)] = code
-        kept = {language: "".join(c for c in sample if c in codes) for language, sample in samples.items()}
-        self.tables = [suffix_automaton(kept[language], codes, self.width).ravel() for language in self.languages]
-        self.bits = np.array([np.log2(max(2, len(kept[language]))) for language in self.languages])
+        letters = sorted(set().union(*samples.values()))
+        self.codes = np.zeros(0x110000, dtype=np.int32)  # code 0: a letter that no sample has
+        self.codes[[ord(letter) for letter in letters]] = np.arange(1, len(letters) + 1)
+        self.automata = [Automaton(samples[language]) for language in self.languages]
+        self.own = np.zeros((len(self.automata), len(letters) + 1), dtype=np.int32)  # codes of each automaton
+        for own, automaton in zip(self.own, self.automata):
+            own[self.codes[[ord(letter) for letter in automaton.letters]]] = np.arange(1, automaton.width)
+        room = DENSE
+        for automaton in sorted(self.automata, key=lambda automaton: automaton.cells):
+            room -= automaton.cells
+            if room >= 0:
+                automaton.spread()
+        self.bits = float(np.log2(max([2, *map(len, samples.values())])))
+
+    def coded(self, text: str) -> np.ndarray:
+        return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+
+    def costs(self, texts: list[str]) -> np.ndarray:
+        """Bits per letter of each text (row) in each language (column)."""
+        lacking = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
+        for at, text in enumerate(texts):
+            counts = np.bincount(self.coded(text), minlength=1)
+            held = np.flatnonzero(counts)
+            lacking[at] = (self.own[:, held] == 0) @ counts[held]
+        bits = (self.phrases(texts) - lacking) * self.bits + lacking * LACKING
+        return bits / np.array([[len(value)] for value in texts])
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text (row) in each language (column)."""
         runs, owner = [], []
         for at, text in enumerate(texts):
-            coded = self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+            coded = self.coded(text)
             for start in range(0, len(coded), RUN):
                 runs.append(coded[start : start + RUN])
                 owner.append(at)
         order = np.argsort([-len(run) for run in runs], kind="stable")
         sizes = np.array([len(runs[k]) for k in order])
-        grid = np.zeros((int(sizes[0]) if len(sizes) else 0, len(runs)), dtype=np.uint8)
+        grid = np.zeros((int(sizes[0]) if len(sizes) else 0, len(runs)), dtype=np.int32)
         for lane, k in enumerate(order):
             grid[: sizes[lane], lane] = runs[k]
         active = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")  # runs longer than the step
         counts = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
         owners = np.array(owner)[order]
-        for language, table in enumerate(self.tables):
+        for language, automaton in enumerate(self.automata):
             # A letter that the sample lacks is a phrase of its own: its state, the last one, leads nowhere.
-            start = np.where(table[: self.width] < 0, len(table) // self.width - 1, table[: self.width])
+            own = self.own[language]
             state = np.zeros(len(runs), dtype=np.int32)
             broken = np.zeros(len(runs), dtype=np.int32)
             for step, lanes in enumerate(active):
-                letter = grid[step, :lanes]
-                following = table[state[:lanes] * np.int32(self.width) + letter]
+                letter = own[grid[step, :lanes]]
+                following = automaton.follow(state[:lanes], letter)
                 failed = following < 0
                 if step:  # the first letter ends no phrase
                     broken[:lanes] += failed
-                state[:lanes] = np.where(failed, start[letter], following)
+                state[:lanes] = np.where(failed, automaton.start[letter], following)
             np.add.at(counts[:, language], owners, broken + 1)
         return counts
 
@@ -172,7 +219,7 @@ def identify(docs: DataFrame, samples: dict[str, str], doc_id: str = "doc_id", t
                 known = [at for at, value in enumerate(part) if _LETTER.search(value)] if parser.languages else []
                 langs, scores, bits = [UNKNOWN] * len(part), [0.0] * len(part), [None] * len(part)
                 bare = [plain(part[at]) for at in known]
-                cost = parser.phrases(bare) * parser.bits / np.array([[len(value)] for value in bare]) if known else None
+                cost = parser.costs(bare) if known else None
                 for at, own in zip(known, cost if known else ()):
                     best = int(own.argmin())
                     langs[at] = parser.languages[best]

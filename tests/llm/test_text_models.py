@@ -153,6 +153,38 @@ def test_parses_equal_a_plain_search(left, right, texts):
     assert found.tolist() == [[longest_phrases(text, left), longest_phrases(text, right)] for text in texts]
 
 
+def han(low, rng, letters):
+    return "".join(chr(low + int(rng.paretovariate(0.4)) % 3_000) for _ in range(letters))
+
+
+@pytest.mark.parametrize("dense", [crossparse.DENSE, 0])
+def test_every_letter_of_many_scripts_counts(spark, monkeypatch, dense):
+    monkeypatch.setattr(crossparse, "DENSE", dense)
+    rng = random.Random(4)
+    kana = lambda n: "".join(rng.choice([chr(0x3042 + rng.randrange(80)), han(0x6000, rng, 1)]) for _ in range(n))
+    hangul = lambda n: "".join(chr(0xAC00 + rng.randrange(2_000)) for _ in range(n))
+    latin = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüéèñßåøœ") for _ in range(n))
+    kinds = {"zh": lambda n: han(0x4E00, rng, n), "ja": kana, "ko": hangul, "xx": latin}
+    samples = {lang: crossparse.plain(make(6_000)) for lang, make in kinds.items()}
+    samples["el"] = crossparse.plain("".join(chr(0x3B1 + rng.randrange(24)) for _ in range(20_000)) + "".join(map(chr, range(0x430, 0x530))))
+    parser = crossparse.Parser(samples)
+    for lang, make in kinds.items():
+        for text in (make(80), make(300)):
+            assert parser.languages[int(parser.costs([text])[0].argmin())] == lang
+    texts = [make(60) for make in kinds.values()]
+    assert parser.phrases(texts).tolist() == [[longest_phrases(text, samples[lang]) for lang in parser.languages] for text in texts]
+
+
+@pytest.mark.parametrize("small", ["ok", "nope"])
+def test_a_tiny_sample_takes_no_other_texts(spark, sf, small):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    samples = crossparse.learn(docs.unionByName(spark.createDataFrame([(10**9, small, "aa")], docs.schema)))
+    assert samples["aa"] == f" {small} "
+    found = crossparse.identify(docs, samples).join(docs.select("doc_id", "lang"), "doc_id").where(held_out(F.col("doc_id"))).collect()
+    assert not any(r.lang_pred == "aa" for r in found)
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = crossparse.identify(docs, crossparse.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id")
