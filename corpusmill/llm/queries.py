@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusmill.llm import crossparse, exact, mixing, packing, secret_scan, simhash, substrings, surrogates, toxicity, vectors
-from corpusmill.llm.common import held_out, prepare
+from corpusmill.llm import (
+    crossparse, exact, lexical, mixing, packing, prefix_trie, secret_scan, simhash, substrings, surrogates, toxicity, url_filter, vectors,
+)
+from corpusmill.llm.common import held_out, prepare, staged
 from corpusmill.plans.base import table
 
 QUERIES = {}
@@ -123,6 +125,88 @@ def packed_sequences(spark, folder):
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+# CRC-32 of the decimal id, bit by bit: 256 stands for one shift.
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(o.conv_id::VARCHAR, ''),
+ lambda x: [ascii(x)::BIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))), lambda a, x: CASE WHEN x < 256 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END))"""
+
+
+@query("op11_prefix_trie", f"""
+WITH coded AS (SELECT conv_id, turn, coalesce(role, '') AS r, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS k,
+ len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'k': k, 'w': w}} ORDER BY turn NULLS FIRST, r, k) AS l FROM coded GROUP BY 1),
+chosen AS (SELECT o.conv_id, o.l, b.l AS base, ({_CRC} % 4)::INT AS h FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+rebuilt AS (SELECT conv_id, list_concat(coalesce(base[1:h], []), l[h + 1:]) AS l FROM chosen),
+prefixes AS (SELECT conv_id, d, len(l) = d AS ends, l[d].w AS w, array_to_string(list_transform(l[1:d], lambda x: x.k), '') AS p FROM rebuilt, LATERAL (SELECT unnest(range(0, len(l) + 1)) AS d)),
+nodes AS (SELECT p, d, min(conv_id) AS lo, count(*) AS n, coalesce(max(w), 0) AS w, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM prefixes GROUP BY 1, 2),
+kids AS (SELECT left(p, 32 * (d - 1)) AS p, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY 1),
+told AS (SELECT n.*, coalesce(kids, 0) AS kids FROM nodes n LEFT JOIN kids USING (p)),
+under AS (SELECT left(p, 32 * u) AS p, sum((n - 1) * w) AS saved, count(*) FILTER (kids = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM told) GROUP BY 1)
+SELECT t.lo AS conv_id, t.d AS depth, a.lo AS parent_conv_id, t.n AS n_convs, t.kids AS n_children, u.leaves AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(t.ids) AS ends_sha256
+FROM told t JOIN under u USING (p) LEFT JOIN nodes a ON t.d > 0 AND a.p = left(t.p, 32 * (t.d - 1))""")
+def conversation_trie(spark, folder):
+    own = staged(prefix_trie.sequences(table(spark, folder, "conversations")), "conversations")
+    return prefix_trie.prefix_trie(prefix_trie.share_openings(own))
+
+
+RULES = tuple(url_filter.Rule(*rule) for rule in (
+    ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")))
+
+
+def _listed(values):
+    return "[" + ", ".join(f"'{value}'" for value in values) + "]"
+
+
+def _hits(strict):
+    """Number of terms in SQL: whole words are looked up among the url's words, others at the words' starts."""
+    terms = [term for term in url_filter.vocabulary() if term.strict == strict]
+    whole = _listed(t.text for t in terms if t.bound == url_filter.BOTH)
+    starts = _listed(t.text for t in terms if t.bound == url_filter.START)
+    found = f"len(list_intersect(words, {whole}))"
+    return f"({found} + len(list_filter({starts}, lambda t: len(list_filter(words, lambda x: starts_with(x, t))) > 0)))::INT" if starts != "[]" else f"{found}::INT"
+
+
+_SHOWN_RULES = ", ".join(
+    f"{{'v': '{r.verdict}', 'h': '{r.host}', 'p': '{r.path}'}}" for r in sorted(RULES, key=lambda r: (-len(r.shown), -len(r.host), r.verdict != "block")))
+
+
+@query("op12_url_filter", f"""
+WITH rests AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS mark FROM pages),
+cut AS (SELECT page_id, mark, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE url END AS rest FROM rests),
+hosts AS (SELECT page_id, mark, rest, CASE WHEN mark > 0 THEN regexp_extract(rest, '^[^/?#]*') ELSE '' END AS host FROM cut),
+parts AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ CASE WHEN mark > 0 THEN regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') ELSE '' END AS path,
+ translate(url_decode(regexp_extract(rest, '^[^?#]*')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS seen FROM hosts),
+words AS (SELECT page_id, host, path, regexp_extract_all(seen, '[\\pL\\pN]+') AS words FROM parts),
+judged AS (SELECT page_id, host, path, list_filter([{_SHOWN_RULES}], lambda r: (host = r.h OR suffix(host, '.' || r.h)) AND starts_with(path, r.p))[1] AS r,
+ {_hits(True)} AS n_strict, {_hits(False)} AS n_soft FROM words)
+SELECT page_id, host, path, CASE WHEN r IS NULL THEN NULL ELSE r.h || r.p END AS rule,
+ CASE WHEN r IS NOT NULL THEN r.v WHEN n_strict > 0 OR n_soft > 1 THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft, n_strict + 0.5::DOUBLE * n_soft AS weight FROM judged""")
+def url_verdicts(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.UrlFilter(rules=RULES)).drop("url")
+
+
+def _terms_of(name, id_):
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""(SELECT no, {id_}, unnest(regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+ FROM (SELECT row_number() OVER () AS no, {id_}, text FROM {name}))"""
+
+
+@query("op13_lexical_search", f"""
+WITH d AS (SELECT no, doc_id, term, count(*) AS tf FROM {_terms_of("documents", "doc_id")} GROUP BY ALL),
+i AS (SELECT no AS item, item_id, term, count(*) AS q FROM {_terms_of("benchmark", "item_id")} GROUP BY ALL),
+sizes AS (SELECT no, sum(tf)::BIGINT AS n FROM d GROUP BY 1),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM d, totals GROUP BY term, docs),
+lengths AS (SELECT no, 100 - 75 + ((75 * n * docs) // words) AS m FROM sizes, totals),
+scored AS (SELECT i.item, i.item_id, d.no, d.doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+ FROM i JOIN d USING (term) JOIN weights USING (term) JOIN lengths l ON l.no = d.no GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10""")
+def lexical_search(spark, folder):
+    return lexical.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
