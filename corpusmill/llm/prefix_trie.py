@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import WORD, staged
 
 #: Turns that a container holds at most, unless they are those of one sequence.
-CAP = 8_192
+CAP = 1_024
 #: Heads that are sent to every task; more are joined by shuffle.
 BROADCAST_HEADS = 100_000
 #: Places in which the children of a head meet it.
