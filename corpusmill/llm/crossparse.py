@@ -10,6 +10,7 @@ step, one letter of each at a time.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,10 @@ from corpusmill.llm.common import held_out, row_blocks
 
 #: Letters of the sample that a language's automaton holds, at most.
 TRAIN_LETTERS = 32_768
-#: Training documents of a language (lowest hashes of the id) and letters of each, at most.
+#: Training documents of a language, at most: whole texts by hash of the id, those of up to DOC_LETTERS characters first.
 TRAIN_DOCS, DOC_LETTERS = 64, 2_048
-#: Languages, at most; the most frequent ones are learnt.
-LANGUAGES = 200
+#: Letters of all samples; with very many labels each gets its share, and every label is learnt.
+ALL_LETTERS = 64_000_000
 #: Code points parsed in one run; phrases end at the border of runs, in every language alike.
 RUN = 2_048
 #: Cells of dense transition tables, over all languages; the other automata are sorted pairs, with the same results.
@@ -34,8 +35,10 @@ DENSE = 16_000_000
 LACKING = float(np.log2(0x110000))
 BLOCK = 6_000_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+# What \w holds beside letters, digits and the underscore: numbers such as Roman numerals, superscripts and fractions.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.category(c) in ("Nl", "No"))
+_LETTER = re.compile(rf"[^\W\d_{_NUMBERS}]")
+_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def plain(text: str | None) -> str:
@@ -183,20 +186,28 @@ def _parser(samples: dict[str, str]) -> Parser:
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
     """Sample text per language from labelled documents outside the held-out quarter, bounded by the parameters above.
 
-    Null languages, texts and ids, and texts without letters, teach nothing. Without any labelled document the
-    model is empty and every text is ``und``.
+    A sample is whole texts, as many as fit; only where not even the first one fits is that one cut. Every label is
+    learnt. Null languages, texts and ids, and texts without letters, teach nothing. Without any labelled document
+    the model is empty and every text is ``und``.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    rows = rows.join(F.broadcast(common), "lang")  # at most LANGUAGES rows
-    rows = rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, DOC_LETTERS).alias("text"))
-    first = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = rows.withColumn("r", first).where(F.col("r") <= TRAIN_DOCS).orderBy("lang", "r").collect()  # bounded by the parameters
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("n", F.length("text"))
+    labels = rows.select("lang").distinct().count()
+    room = min(TRAIN_LETTERS, ALL_LETTERS // max(1, labels))
+    # Chosen by id, length and hash; only the chosen texts move.
+    key = ["lang", "doc_id", "n", "told"]
+    rows = rows.withColumn("told", F.xxhash64("text"))
+    order = W.partitionBy("lang").orderBy(F.col("n") > DOC_LETTERS, F.xxhash64("doc_id"), "doc_id", "n", "told")
+    first = rows.select(*key).withColumn("r", F.row_number().over(order)).where(F.col("r") <= TRAIN_DOCS)
+    fits = F.sum("n").over(W.partitionBy("lang").orderBy("r")) <= room
+    chosen = first.withColumn("fits", fits).where(F.col("fits") | (F.col("r") == 1)).groupBy(*key).agg(F.min("r").alias("r"))
+    chosen = rows.join(chosen, key).dropDuplicates(["lang", "r"])
+    # At most ``room`` characters a label, ALL_LETTERS together.
+    chosen = chosen.select("lang", "r", F.substring("text", 1, room).alias("text")).orderBy("lang", "r").collect()
     samples: dict[str, str] = {}
     for row in chosen:
-        samples[row["lang"]] = (samples.get(row["lang"], "") + plain(row["text"]))[:TRAIN_LETTERS]
+        samples[row["lang"]] = (samples.get(row["lang"], "") + plain(row["text"]))[: room + 2]
     return samples
 
 

@@ -1,16 +1,20 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick after folding, normalised by length.
 
 Folding lower-cases, strips accents, maps look-alike letters of other scripts and digits to Latin letters
-(l, 1 and i become one letter) and turns the rest into single blanks. Entries match from the start of a
-word, whole words or stems. A hit inside an exception phrase does not count. The score is a logistic
+(l, 1 and i become one letter), drops zero-width signs and turns the rest into single blanks; signs such as ``!``
+or ``$`` are letters only where a letter follows. Entries match from the start of a word, whole words or stems. A
+hit inside an exception phrase, known or learnt from clean documents, does not count. The score is a logistic
 function of the weight of all hits and of that weight per word.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -26,9 +30,11 @@ TRAIN_ROWS = 16_000
 #: Learnt entries at most, most frequent first.
 LEXICON_ROWS = 4_000
 #: A learnt entry follows at least so many different words in toxic documents, so copies of one text teach nothing.
-CONTEXTS = 10
+CONTEXTS = 6
 #: Share of the documents with a learnt entry that are toxic, at least.
-SHARE = 0.9
+SHARE = 0.7
+#: Clean training documents in which a phrase round a hit occurs, and no toxic one, before it is an exception.
+EXCUSES = 3
 #: Predicted toxic from this score on.
 THRESHOLD = 0.3
 STEM = range(4, 9)
@@ -48,7 +54,7 @@ LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "в": "b", "н": "h",
     "к": "k", "м": "m", "т": "t", "г": "r", "ԁ": "d", "ɡ": "g", "ո": "n", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "τ": "t",
     "υ": "u", "ν": "v", "ι": "i", "κ": "k", "η": "n", "ω": "w", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "0": "o", "1": "i",
-    "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i", "€": "e",
+    "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i", "€": "e",
 }
 
 
@@ -56,6 +62,9 @@ class _Fold(dict):
     """Folded form of a code point, worked out when first met."""
 
     def __missing__(self, code: int) -> str:
+        if unicodedata.category(chr(code)) == "Cf":  # zero-width signs and soft hyphens do not part a word
+            self[code] = ""
+            return ""
         letters = unicodedata.normalize("NFKD", chr(code).lower())
         folded = "".join(LOOKALIKES.get(c, c) for c in letters if not unicodedata.combining(c))
         self[code] = "".join(c if c.isalnum() else " " for c in folded) if folded or letters.isspace() else ""
@@ -63,11 +72,13 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
+#: Signs that stand for a letter only where one follows; at a word's end they are punctuation.
+_SIGNS = re.compile(r"[!|$@€]+(?![^\W_])")
 
 
 def fold(text: str | None) -> str:
     """The folded words of a text, a blank before and after each."""
-    words = (text or "").translate(_FOLD).split()
+    words = _SIGNS.sub(" ", text or "").translate(_FOLD).split()
     return " " + " ".join(words) + " " if words else " "
 
 
@@ -113,7 +124,12 @@ def features(text: str | None, model: Model) -> tuple[float, float]:
             hits[start] = max(weight, hits.get(start, 0.0))
         else:
             excused.append((start, last))
-    total = sum(w for start, w in hits.items() if not any(a <= start < b for a, b in excused))
+    if excused:
+        # By start, with the furthest end so far: a hit is excused by an interval that starts before it and ends after it.
+        excused.sort()
+        starts, ends = [a for a, _ in excused], list(accumulate((b for _, b in excused), max))
+        hits = {at: w for at, w in hits.items() if not (k := bisect_right(starts, at)) or ends[k - 1] <= at}
+    total = sum(hits.values())
     words = folded.count(" ") - 1
     return float(np.log1p(total)), float(np.log1p(100.0 * total / max(1, words)))
 
@@ -144,6 +160,43 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["word", "before", "toxic"])
 
 
+def _forms(seed: str) -> Iterator[str]:
+    """A seed word and its plural."""
+    yield fold(seed).strip()
+    yield fold(seed + ("es" if seed.endswith(("s", "x", "sh", "ch")) else "s")).strip()
+
+
+def _phrases(model: Model):
+    """Distinct pairs of words round the hits of each document, with its label."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = _automaton(model)
+        for frame in (whole.iloc[at : at + 128] for whole in batches for at in range(0, len(whole), 128)):
+            out = set()
+            for row, (text, toxic) in enumerate(zip(frame["text"], frame["toxic"])):
+                folded = fold(text)
+                for last, (length, weight) in automaton.iter(folded):
+                    if weight:
+                        start = last - length + 2
+                        stop = folded.index(" ", start)
+                        before, after = folded.rfind(" ", 0, max(0, start - 1)) + 1, folded.find(" ", stop + 1)
+                        if start > 1:
+                            out.add((row, folded[before:stop], toxic))
+                        if after > 0:
+                            out.add((row, folded[start:after], toxic))
+            yield pd.DataFrame([row[1:] for row in sorted(out)], columns=["phrase", "toxic"])
+
+    return found
+
+
+def _learnt_exceptions(train: DataFrame, model: Model) -> Model:
+    """The model with the phrases round a hit that several clean documents hold and no toxic one."""
+    phrases = train.mapInPandas(_phrases(model), "phrase string, toxic int").groupBy("phrase").agg(
+        F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
+    rows = phrases.where((F.col("toxic") == 0) & (F.col("n") >= EXCUSES)).orderBy(F.desc("n"), "phrase").limit(LEXICON_ROWS).collect()
+    return replace(model, exceptions=(*model.exceptions, *sorted(row["phrase"] for row in rows)))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(text, toxic) of at most ``rows`` labelled documents outside the held-out quarter."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
@@ -171,9 +224,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     for row in sorted(found, key=lambda row: (len(row["stem"]), row["stem"])):
         if not any(row["stem"][:size] in taken for size in STEM):
             taken[row["stem"]] = float(np.log((row["toxic"] + 1.0) / (row["n"] - row["toxic"] + 1.0)))
-    seeds = {fold(seed).strip(): SEED_WEIGHT for seed in SEEDS}
+    seeds = {form: SEED_WEIGHT for seed in SEEDS for form in _forms(seed)}
     entries = [(word, weight, True) for word, weight in seeds.items()] + [(stem, weight, False) for stem, weight in taken.items()]
-    model = Model(tuple(sorted(entries)))
+    model = _learnt_exceptions(train, Model(tuple(sorted(entries))))
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:

@@ -58,4 +58,4 @@ def test_run_is_the_stages_in_turn(spark, sf):
 
 def test_every_operator_has_a_query(spark):
     names = [re.match(r"op(\d+)_", name) for name in queries.QUERIES]
-    assert sorted(int(m[1]) for m in names if m) == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert sorted(int(m[1]) for m in names if m) == list(range(1, 14)) and "pipeline" in queries.QUERIES

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import time
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -36,6 +39,53 @@ def test_folded_hits_and_exceptions(text, hits):
         assert amount > toxicity.features("idiot", MODEL)[0]
 
 
+@pytest.mark.parametrize("text, same", [
+    ("you idiot!", "you idiot"), ("shit happens!", "shit happens"), ("id\u200biot", "idiot"), ("id\u00adiot", "idiot"), ("!d!ot", "idiot"),
+    ("$cum", "scum"), ("wow!! idiot|", "wow idiot"), ("idiot$$$ and", "idiot and"), ("2ebra 6oat", "zebra goat"),
+])
+def test_signs_are_letters_only_before_letters(text, same):
+    assert toxicity.fold(text) == toxicity.fold(same)
+
+
+def plain_total(text, model):
+    """Weights of all hits, by trying every entry and exception at every place."""
+    folded = toxicity.fold(text)
+    excused = [(at, at + len(key) - 1) for phrase in model.exceptions for key in [toxicity.fold(phrase)]
+               for at in range(len(folded)) if folded.startswith(key, at)]
+    hits = {}
+    for entry, weight, whole in model.entries:
+        key = f" {entry} " if whole else f" {entry}"
+        for at in range(len(folded)):
+            if folded.startswith(key, at) and not any(a <= at < b for a, b in excused):
+                hits[at] = max(weight, hits.get(at, 0.0))
+    return sum(hits.values())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "pond", "scum", "of", "the", "vequ", "vequa", "idiot!", "sore", "loser", "not an", "xx"]), max_size=14))
+def test_hits_equal_a_plain_search(words):
+    entries = (("idiot", 3.0, True), ("vequ", 4.0, False), ("vequa", 1.0, True), (toxicity.fold("scum").strip(), 3.0, True), ("ioser", 2.0, True))
+    model = toxicity.Model(entries, (*toxicity.EXCEPTIONS, "the scum of", "of the scum", "vequ of the"))
+    text = " ".join(words)
+    assert toxicity.features(text, model)[0] == pytest.approx(math.log1p(plain_total(text, model)))
+
+
+def test_hits_and_exceptions_take_linear_time():
+    begin = time.perf_counter()
+    toxicity.features("you idiot, pond scum and " * 80_000, MODEL)
+    assert time.perf_counter() - begin < 5
+
+
+def test_phrases_of_clean_documents_are_exceptions(spark):
+    docs, labels = corpus(spark)
+    more = [(5_000 + k, f"a clown fish swims {k} and a moron jellyfish {k}") for k in range(40)]
+    docs = docs.union(spark.createDataFrame(more, docs.schema))
+    labels = labels.union(spark.createDataFrame([(k, 0, 1) for k, _ in more], labels.schema))
+    model = toxicity.learn(docs, labels)
+    assert "moron jellyfish" in model.exceptions or "moron jeiiyfish" in model.exceptions
+    assert toxicity.features("a moron jellyfish", model)[0] == 0 < toxicity.features("a moron and morons", model)[0]
+
+
 def test_more_words_lower_the_density():
     short, long = toxicity.features("idiot a", MODEL), toxicity.features("idiot " + "a " * 500, MODEL)
     assert short[0] == long[0] and short[1] > long[1]
@@ -200,3 +250,23 @@ def test_odd_texts_are_undetermined(spark, sf):
     assert {i for i, lang, _ in found if lang == crossparse.UNKNOWN} == {1, 2, 3, 6}
     assert {lang for _, lang, _ in [(r.doc_id, r.lang_pred, r.score) for r in crossparse.identify(odd(spark), {}).collect()]} == {"und"}
     assert crossparse.learn(docs.limit(0)) == {} and crossparse.identify(odd(spark).limit(0), samples).count() == 0
+
+
+@pytest.mark.parametrize("text, known", [("² ½", False), ("Ⅷ", False), ("12_3", False), ("²a", True), ("日", True), ("ªº", True), ("\u0301", False)])
+def test_letters_are_letters_only(spark, text, known):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = crossparse.identify(docs, {"en": crossparse.plain("some words"), "zh": crossparse.plain("日本")}).first()
+    assert (found.lang_pred != crossparse.UNKNOWN) == known
+
+
+def test_whole_texts_of_all_labels_are_learnt(spark):
+    rows = [(k, f"label{k} only", f"l{k:03d}") for k in range(400)] + [(1_000 + k, "w" * k + " x", "many") for k in range(1, 200)]
+    rows += [(2_000, "long " * 20_000, "many"), (2_001, "long " * 20_000, "long"), (2_001, "long " * 20_000, "long"), (2_005, "Ⅷ", "num")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {f"l{k:03d}": k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2}
+    samples = crossparse.learn(docs)
+    assert {lang for lang in samples if lang.startswith("l") and lang != "long"} == set(known)
+    assert samples[min(known)] == f" label only "
+    assert len(samples["long"]) <= crossparse.TRAIN_LETTERS + 2
+    words = samples["many"].split()
+    assert set(map(len, words)) <= set(range(1, 200)) and "long" not in words and words.count("x") == len(words) // 2
