@@ -10,99 +10,171 @@ by their rank.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusmill.llm.common import row_blocks, staged
+from corpusmill.llm.common import staged
 
 SEQUENCE = 2048
 #: Stems whose ids a worker remembers; once so many are known, later ones are encoded anew in each block.
 MEMO = 200_000
-#: Characters that are encoded together, and rows that are cut into pieces together.
+#: Bytes of text that are encoded together, and rows that are cut into pieces together.
 BLOCK, ROWS = 2_000_000, 512
 _TOKENS = "doc_id {}, part int, spot long, tokens int, tail int, rank long, full_before long, ids binary"
 _PIECES = "doc_id {}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class _Encoder:
-    """Ids of texts by a tokenizer that drops white space: words are encoded once per block, common stems once per worker."""
+    """Ids of texts, a block at a time.
+
+    A tokenizer that lower-cases, drops white space and ends words gives a word's ids wherever it stands. Then a
+    block's distinct words are encoded once: a plain word is its letters in lower case and the signs after them, each
+    known by itself, and common stems are remembered by the worker. Any other tokenizer encodes whole texts.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.stems: dict[str, bytes] = {}
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        #: Whether an id ends a piece of a word; None if the vocabulary does not tell.
-        self.ends = None
-        if suffix:
-            self.ends = np.zeros(self.size, dtype=bool)
+        self.by_word = _keeps_words_apart(json.loads(self.tokenizer.to_str()))
+        #: Stems by number, their ids one after the other; number 0 has none.
+        self.stems = pa.array([""])
+        self.flat, self.counts = np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        #: Whether an id ends a piece of a word.
+        self.ends = np.zeros(self.size, dtype=bool)
+        if self.by_word:
+            suffix = self.tokenizer.model.end_of_word_suffix
             self.ends[[number for token, number in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
-    def _each(self, words: list[str], kind: str) -> Iterator[tuple[str, bytes]]:
-        for coded, word in zip(self.tokenizer.encode_batch_fast(words, add_special_tokens=False), words):
-            yield word, np.array(coded.ids, dtype=kind).tobytes()
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        coded = [np.array(one.ids, dtype=np.uint32) for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.concatenate(coded) if coded else np.empty(0, dtype=np.uint32), counts
 
-    def _lines(self, pieces: list[str], kind: str) -> dict[str, bytes]:
-        """Words of one piece with their ids, encoded as lines and told apart by the ids that end a piece."""
-        found: dict[str, bytes] = {}
+    def _lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain pieces, encoded as lines and told apart by the ids that end a piece."""
+        ids, counts = [], []
         for at in range(0, len(pieces), 4_096):
             part = pieces[at : at + 4_096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=kind)
-            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()]
-            if len(cuts) == len(part) + 1:
-                flat = ids.tobytes()
-                found.update(zip(part, map(flat.__getitem__, map(slice, cuts, cuts[1:]))))
-            else:
-                found.update(self._each(part, kind))
-        return found
-
-    def _words(self, words: list[str], kind: str) -> dict[str, bytes]:
-        """Words with their ids. A plain word is its letters in lower case and the signs after them, each known by itself."""
-        plain = [word for word in words if _PLAIN.fullmatch(word)] if self.ends is not None else []
-        found: dict[str, bytes] = {}
-        others = list(set(words).difference(plain))
-        for at in range(0, len(others), 4_096):
-            found.update(self._each(others[at : at + 4_096], kind))
-        letters = [word.rstrip(_SIGNS) for word in plain]
-        bases = [base.lower() for base in letters]
-        signs = [word[len(base) :] for word, base in zip(plain, letters)]
-        needed = {*bases, *signs} - {""}
-        known = self._lines(list(needed - self.stems.keys()), kind)
+            found, _ = self._ids(["\n".join(part)])
+            ends = np.flatnonzero(self.ends[found])
+            many = np.diff(ends, prepend=-1)
+            if len(ends) != len(part):
+                found, many = self._ids(part)
+            ids.append(found)
+            counts.append(many)
+        return np.concatenate([*ids, np.empty(0, dtype=np.uint32)]), np.concatenate([*counts, np.empty(0, dtype=np.int64)])
+
+    def _pieces(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two piece numbers for each word, then the ids and id counts of all pieces that the numbers mean."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        first, second = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        known = words.filter(plain)
+        stems = pc.utf8_lower(pc.utf8_rtrim(known, characters=_SIGNS))
+        signs = pc.utf8_ltrim(known, characters=_LETTERS)
+        used = pa.concat_arrays([stems, signs]).dictionary_encode()
+        found = pc.index_in(used.dictionary, value_set=self.stems)
+        fresh = used.dictionary.filter(found.is_null())
+        numbers = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        # The numbers of a block go on after the remembered ones.
+        numbers[numbers < 0] = len(self.stems) + np.arange(len(fresh))
+        numbers = numbers[used.indices.to_numpy(zero_copy_only=False)]
+        first[at], second[at] = numbers[: len(at)], numbers[len(at) :]
+        ids, counts = self._lines(fresh.to_pylist())
         if len(self.stems) < MEMO:
-            self.stems.update(known)
-        known.update((stem, self.stems[stem]) for stem in needed & self.stems.keys())
-        found.update((word, known[base] + known[sign] if sign else known[base]) for word, base, sign in zip(plain, bases, signs))
-        return found
-
-    def encode(self, texts: list[str], end: int, kind: str) -> list[bytes]:
-        split = [_split(text) for text in texts]
-        known, last = self._words(list(set().union(*split)), kind), np.array([end], dtype=kind).tobytes()
-        return [b"".join(map(known.__getitem__, words)) + last for words in split]
+            self.stems = pa.concat_arrays([self.stems, fresh])
+            self.flat, self.counts = np.concatenate([self.flat, ids]), np.concatenate([self.counts, counts])
+            ids, counts = ids[:0], counts[:0]
+        others = words.filter(pc.invert(plain)).to_pylist()
+        other_ids, other_counts = self._ids(others)
+        rest = np.ones(len(words), dtype=bool)
+        rest[at] = False
+        first[rest] = len(self.counts) + len(counts) + np.arange(len(others))
+        return first, second, np.concatenate([self.flat, ids, other_ids]), np.concatenate([self.counts, counts, other_counts])
+
+    def encode(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, ``end`` after each, and how many each has. A very long text is encoded in parts."""
+        if self.by_word and len(texts) == 1 and texts.nbytes > 2 * BLOCK:
+            parts = [self._encode(pa.array([part]), end)[0][:-1] for part in _parts(texts[0].as_py())]
+            ids = np.concatenate([*parts, np.array([end], dtype=np.uint32)])
+            return ids, np.array([len(ids)])
+        return self._encode(texts, end)
+
+    def _encode(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_word:
+            ids, counts = self._ids(texts.to_pylist())
+            return np.insert(ids, np.cumsum(counts), end).astype(np.uint32), counts + 1
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+            lists = pa.array([_split(text) for text in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            lists = pc.utf8_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        first, second, flat, counts = self._pieces(words.dictionary)
+        flat, counts = np.append(flat, np.uint32(end)), np.append(counts, 1)
+        # Two pieces for each word, and the end after the words of each text.
+        number, per_text = words.indices.to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        pieces = np.full(2 * len(number) + len(texts), len(counts) - 1, dtype=np.int64)
+        place = 2 * np.arange(len(number)) + np.repeat(np.arange(len(texts)), per_text)
+        pieces[place], pieces[place + 1] = first[number], second[number]
+        many = counts[pieces]
+        stops = np.cumsum(many)
+        ids = flat[np.repeat((np.cumsum(counts) - counts)[pieces] - stops + many, many) + np.arange(stops[-1])]
+        return ids, np.diff(stops[2 * np.cumsum(per_text) + np.arange(len(texts))], prepend=0)
+
+
+def _keeps_words_apart(told: dict) -> bool:
+    """Whether the tokenizer's own description says that each word between white space is encoded by itself, in lower case."""
+    steps = (told.get("normalizer") or {}).get("normalizers", [])
+    before = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    blank = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    split = before[0] if before else {}
+    return (
+        bool(told["model"].get("end_of_word_suffix")) and blank in steps and {"type": "Lowercase"} in steps
+        and [step["type"] for step in steps if step not in (blank, {"type": "Lowercase"})] in ([], ["NFC"])
+        and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
+        and split.get("pattern", {}).get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        and all(step["type"] == "ByteLevel" and not step["add_prefix_space"] and not step["use_regex"] for step in before[1:])
+    )
 
 
 def _split(text: str) -> list[str]:
     """Words between white space as the tokenizer sees it; str.split() takes four separators more for it."""
-    if any(separator in text for separator in "\x1c\x1d\x1e\x1f"):
-        return text.translate(_SPACES).split(" ")
-    return text.split()
+    return text.translate(_SPACES).split(" ")
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about BLOCK characters that end before white space."""
+    start = 0
+    while start < len(text):
+        blank = _BLANK.search(text, start + BLOCK)
+        stop = blank.start() if blank else len(text)
+        yield text[start:stop]
+        start = stop
+
+
+_BLANK = re.compile("[ \t\n\x0b\x0c\r]")
 # A plain word is one run of letters, each of which stays one letter in lower case, and perhaps a run of signs after it.
 _SIGNS = ".,;:!?)]}%&*#|\"-"
-_PLAIN = re.compile(rf"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[{re.escape(_SIGNS)}]*")
+_RANGES = (("A", "Z"), ("a", "z"), ("\u00c0", "\u00d6"), ("\u00d8", "\u00f6"), ("\u00f8", "\u012f"), ("\u0131", "\u024f"))
+_LETTERS = "".join(chr(code) for low, high in _RANGES for code in range(ord(low), ord(high) + 1))
+_PLAIN = rf"\A[{''.join(f'{low}-{high}' for low, high in _RANGES)}]+[{re.escape(_SIGNS)}]*\z"
 _SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 _ENCODERS: dict[str, _Encoder] = {}
 
@@ -118,6 +190,18 @@ def id_kind(path: str, end: int) -> str:
     return "<u2" if max(end + 1, _encoder(path).size) <= 1 << 16 else "<u4"
 
 
+def _blocks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``limit`` bytes, each at least one row."""
+    start, held = 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= limit:
+            yield start, at + 1
+            start, held = at + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def tokenise(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
     """Token rows of all documents, written to the shared folder.
 
@@ -132,24 +216,26 @@ def tokenise(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text:
         encoder, part, spot, full = _encoder(path), TaskContext.get().partitionId(), 0, 0
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
-            texts = [value or "" for value in batch.column(1).to_pylist()]
-            for start, stop in row_blocks(texts, BLOCK):
-                coded = encoder.encode(texts[start:stop], end, kind)
-                counts = [len(ids) // width for ids in coded]
-                tails = [count % sequence for count in counts]
-                ranks, fulls = [], []
-                for count, tail in zip(counts, tails):
+            texts = batch.column(1).fill_null("")
+            for start, stop in _blocks(pc.binary_length(texts).to_numpy(zero_copy_only=False), BLOCK):
+                ids, counts = encoder.encode(texts.slice(start, stop - start), end)
+                tails = (counts % sequence).tolist()
+                ranks = []
+                for tail in tails:
                     ranks.append(seen[tail])
                     seen[tail] += 1
-                    fulls.append(full)
-                    full += count // sequence
+                fulls = np.cumsum(counts // sequence)
+                offsets = np.concatenate([[0], np.cumsum(counts)]) * width
+                coded = pa.Array.from_buffers(pa.binary(), len(counts), [
+                    None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids.astype(kind))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, stop - start), pa.array([part] * len(coded), pa.int32()),
-                     pa.array(range(spot, spot + len(coded)), pa.int64()), pa.array(counts, pa.int32()),
-                     pa.array(tails, pa.int32()), pa.array(ranks, pa.int64()), pa.array(fulls, pa.int64()),
-                     pa.array(coded, pa.binary())],
+                    [batch.column(0).slice(start, stop - start), pa.array([part] * len(counts), pa.int32()),
+                     pa.array(range(spot, spot + len(counts)), pa.int64()), pa.array(counts, pa.int32()),
+                     pa.array(tails, pa.int32()), pa.array(ranks, pa.int64()),
+                     pa.array(full + fulls - counts // sequence, pa.int64()), coded],
                     ["doc_id", "part", "spot", "tokens", "tail", "rank", "full_before", "ids"])
-                spot += len(coded)
+                spot += len(counts)
+                full += int(fulls[-1])
 
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return staged(chosen.mapInArrow(rows, _TOKENS.format(key)), "tokens")
@@ -230,13 +316,14 @@ def pack(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text: str
     packs = 1 + max((row[5] + row[2] - 1 for row in plan), default=-1)
     shared = docs.sparkSession.sparkContext.broadcast(_by_tail(plan))
 
-    def before(key: str, value: str, name: str) -> DataFrame:
-        """Running totals of ``value`` over the parts, for each value of ``key``."""
-        sums = counts.groupBy("part", *key.split()).agg(F.sum(value).alias("n"))
-        earlier = W.partitionBy(*key.split()).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-        return sums.select("part", *key.split(), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(name))
-
-    offsets = before("tail", "n", "rank_start").join(before("", "full", "full_start"), "part")
+    # Ranks go on from part to part within a tail length. The full sequences of the parts are one number a part, that is a
+    # task, and are summed on the driver.
+    earlier = W.partitionBy("tail").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    ranks = counts.select("part", "tail", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rank_start"))
+    fulls = sorted(tuple(row) for row in counts.groupBy("part").agg(F.sum("full").alias("full")).collect())
+    starts = accumulate((full for _, full in fulls), initial=0)
+    fulls = docs.sparkSession.createDataFrame([(part, start) for (part, _), start in zip(fulls, starts)], "part int, full_start long")
+    offsets = ranks.join(fulls, "part")
     joined = tokens.join(offsets, ["part", "tail"]).select(
         "doc_id", "tokens", "tail", (F.col("rank") + F.col("rank_start")).alias("rank"),
         (F.col("full_before") + F.col("full_start")).alias("full"), "ids")

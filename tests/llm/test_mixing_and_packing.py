@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -139,6 +140,41 @@ def test_pieces_hold_every_id_once(spark):
     assert len(sequences) == -(-sum(map(len, want.values())) // 2048)
 
 
+WORDS = st.lists(st.text(st.sampled_from("abzÀéİıſßΣς\u0301 \t\x1c\x85\u3000.,!?'-\"1²日<|>\n"), max_size=12), max_size=6)
+
+
+@settings(max_examples=200, deadline=None)
+@given(WORDS, st.sampled_from([3, 2_000_000]))
+def test_ids_equal_those_of_whole_texts(texts, block):
+    encoder, kept = packing._encoder(PATH), packing.BLOCK
+    packing.BLOCK = block
+    try:
+        ids, counts = encoder.encode(pa.array(texts, pa.string()), 1) if texts else (np.empty(0), [])
+        alone = [encoder.encode(pa.array([text]), 1)[0].tolist() for text in texts]
+    finally:
+        packing.BLOCK = kept
+    want = [[*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1] for text in texts]
+    assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == want if texts else True
+    assert alone == want
+
+
+def test_other_tokenizers_encode_whole_texts():
+    encoder = packing._Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Hello  World", "", " a\tb "]
+    ids, counts = encoder.encode(pa.array(texts), 7)
+    assert not encoder.by_word and packing._encoder(PATH).by_word
+    want = [[*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 7] for text in texts]
+    assert ids.tolist() == [x for part in want for x in part] and counts.tolist() == list(map(len, want))
+
+
+def test_a_very_long_text_is_packed_in_parts(spark, monkeypatch):
+    text = "Some words, and é more. " * 300_000
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    rows = sorted(packing.pack(docs, PATH, 1).where("doc_id = 1").collect(), key=lambda r: r.start)
+    once = Tokenizer.from_file(PATH).encode("Some words, and é more. ", add_special_tokens=False).ids
+    assert np.frombuffer(b"".join(r.ids for r in rows), dtype="<u4").tolist() == once * 300_000 + [1]
+
+
 def test_repeated_ids_and_null_ids_are_packed(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert packing.pack(docs, PATH, 1).count() == 3
