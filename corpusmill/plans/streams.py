@@ -136,15 +136,18 @@ SELECT 'k' || doc_id AS key, outcome, decided_at FROM (
  SELECT doc_id, unnest(['claimed', CASE WHEN doc_id % 3 = 0 THEN 'processed' ELSE 'locked' END, CASE WHEN doc_id % 3 = 0 THEN 'processed' ELSE 'claimed' END]) AS outcome,
   unnest(['2024-02-01 00:00:00', '2024-02-01 00:30:00', '2024-02-01 02:00:00']) AS decided_at FROM documents)""")
 def claim_stream(spark, folder):
-    """Every document is asked for three times; a third of them is finished with the first claim, the others' claims expire."""
+    """Every document is asked for three times; a third of them is finished with the first claim, the others' claims expire.
+
+    The later two requests come in one batch, 90 minutes apart.
+    """
     root = scratch_path(spark, "claims")
     start = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    docs = table(spark, folder, "documents")
-    for part, minutes in enumerate((0, 30, 120)):
-        docs.select(
-            F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), (start + F.expr(f"INTERVAL {minutes} MINUTES")).alias("asked_at"),
-            (F.col("doc_id") % 3 == 0).alias("done")).coalesce(1).write.parquet(f"{root}/in/{part}")
-    job = claims.ClaimStream(spark, f"{root}/state", buckets=8)
-    asked = spark.readStream.schema(claims.REQUESTS).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
-    job.start(asked, f"{root}/progress").awaitTermination()
+    key = F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key")
+    action = F.when(F.col("doc_id") % 3 == 0, "finish").otherwise("claim").alias("action")
+    job = claims.ClaimStream(spark, f"{root}/state")
+    for part, minutes in enumerate(((0,), (30, 120))):
+        times = F.explode(F.array(*[start + F.make_dt_interval(mins=F.lit(minute)) for minute in minutes])).alias("asked_at")
+        table(spark, folder, "documents").select(key, times, action).write.parquet(f"{root}/in/{part}")
+        asked = spark.readStream.schema(claims.REQUESTS).parquet(f"{root}/in/*")
+        job.start(asked, f"{root}/progress").awaitTermination()
     return job.outcomes.read().select("key", "outcome", shown("decided_at", "decided_at"))
