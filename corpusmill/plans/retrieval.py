@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import ids, prompts, text, vectors
-from corpusmill.operators import ann, cache, embed, generate, layers, topk
+from corpusmill.operators import ann, cache, embed, generate, graph, layers, topk
 from corpusmill.plans import inputs as I
 from corpusmill.plans.base import query, table, with_sql
 from corpusmill.session import scratch_path
@@ -148,6 +148,37 @@ def hyperplane(spark, folder):
     return _verdict(spark, folder, ann.hyperplane_search(spark.read.parquet(path), codes, _asked_again(spark, folder), K))
 
 
+#: Share of the table that a graph search may score per query.
+SCORED = 0.1
+ROTATIONS = 12
+
+
+def _rotated(spark, folder):
+    """Every vector in twelve rotations of its components, five places apart."""
+    turn = F.explode(F.sequence(F.lit(0), F.lit(ROTATIONS - 1))).alias("turn")
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", turn)
+    turned = F.concat(F.expr("slice(embedding, turn * 5 + 1, size(embedding))"), F.expr("slice(embedding, 1, turn * 5)"))
+    return rows.select(F.concat_ws("-", F.concat(F.lit("v"), F.col("vec_id")), "turn").alias("chunk_id"), turned.alias("embedding"), "vec_id", "turn")
+
+
+@query("VEC7_graph_search", f"""SELECT 'v' || vec_id || '-0' AS query_id, {K}::BIGINT AS hits, true AS scores_right, true AS recalled, true AS few_scored
+ FROM embeddings WHERE vec_id % 50 = 0""")
+def graph_search(spark, folder):
+    """A neighbour graph over all rotated vectors, asked for every 50th vector: hits, recall and the share of rows scored."""
+    rows = _rotated(spark, folder)
+    path = scratch_path(spark, "graph")
+    graph.write_graph_index(rows, path, dim=64)
+    index = spark.read.parquet(path)
+    asked = rows.filter("vec_id % 50 = 0 AND turn = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    found = graph.graph_search(index, asked, K).withColumnRenamed("id", "chunk_id")
+    told = ann.recall(found, topk.top_k(rows, asked, K)).select((F.col("recall") >= RECALL).alias("recalled"))
+    share = found.agg(F.avg("scored").alias("scored")).join(index.agg(F.count("*").alias("n"))).select((F.col("scored") < SCORED * F.col("n")).alias("few_scored"))
+    scored = found.join(asked, "query_id").join(rows.select("chunk_id", "embedding"), "chunk_id")
+    right = F.abs(vectors.cosine(F.col("query_embedding"), F.col("embedding")) - F.col("score")) < 1e-6
+    per_query = scored.groupBy("query_id").agg(F.bool_and(right).alias("scores_right"), F.count("*").alias("hits"))
+    return per_query.join(F.broadcast(told)).join(F.broadcast(share)).select("query_id", "hits", "scores_right", "recalled", "few_scored")
+
+
 @query("VEC8_inverted_lists", _VERDICT_SQL)
 def inverted(spark, folder):
     rows = _vectors(spark, folder)
