@@ -105,20 +105,29 @@ class Ledger:
         return self.table.read().filter(F.col("status") != RELEASED)
 
     def claim(self, work: DataFrame, now: Column, ttl: int = CLAIM_TTL) -> DataFrame:
-        """Decide the batch's outcomes and record its claims; returns the outcomes."""
+        """Decide the batch's outcomes and record its claims; returns the outcomes.
+
+        Of two claimers of a key at one time one wins: the other's commit fails, and it decides again.
+        """
         from corpusmill.session import checkpointed
 
-        outcomes = checkpointed(claim_outcomes(work, self.read(), now, ttl))
-        self.table.upsert(claim_rows(outcomes.filter(F.col("outcome") == "claimed"), now))
-        return outcomes
+        decided: list[DataFrame] = []
+
+        def decide(ledger: DataFrame) -> DataFrame:
+            decided.append(checkpointed(claim_outcomes(work, ledger.filter(F.col("status") != RELEASED), now, ttl)))
+            return claim_rows(decided[-1].filter(F.col("outcome") == "claimed"), now)
+
+        self.table.transact(decide)
+        return decided[-1]
 
     def commit(self, done: DataFrame, now: Column) -> None:
         self.table.upsert(commit_rows(done, now))
 
     def release(self, keys: DataFrame) -> None:
-        pending = self.table.read().filter(F.col("status") == PENDING)
-        held = pending.join(keys.select("key").distinct(), "key", "left_semi")
-        self.table.upsert(held.withColumn("status", F.lit(RELEASED)))
+        wanted = keys.select("key").distinct()
+        pending = F.col("status") == PENDING
+        self.table.transact(
+            lambda ledger: ledger.filter(pending).join(wanted, "key", "left_semi").withColumn("status", F.lit(RELEASED)))
 
     def stats(self) -> DataFrame:
         return ledger_stats(self.read())

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.session import delete_path, list_names, path_exists, scratch_path, touch_file
+from corpusmill.operators.snapshots import Generation, SnapshotLog
+from corpusmill.session import delete_path, path_exists, scratch_path
 
 BUCKET = "key_bucket"
-_LAYOUT = "_buckets-"
+_DATA = "data"
 
 
 def require_columns(df: DataFrame, names: Sequence[str], what: str = "input") -> DataFrame:
@@ -46,13 +48,16 @@ def merge(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> Data
 class KeyedTable:
     """A parquet table with one row per key, kept current by upserts.
 
-    Rows live in hash buckets of their key. An upsert reads and rewrites only the buckets its batch
-    touches, through dynamic partition overwrite: new files are staged and put in place when the job
-    commits, so a failed job leaves the table as it was and the rows being read stay readable.
-    The number of buckets is kept beside the rows; opening the table with another one is an error.
-    One writer at a time.
+    Rows live in hash buckets of their key. An upsert reads the buckets its batch touches, writes them anew to a
+    folder of their own and commits a generation that names the folder of every bucket. Readers see one generation;
+    a writer that fails before its commit leaves nothing but an unnamed folder. Of concurrent writers one commits
+    first: the others keep what they wrote if it touched none of the same buckets, else they merge again.
+    The number of buckets is kept with the generations; opening the table with another one is an error.
     """
 
+    #: Times that a writer merges again when others were first.
+    ATTEMPTS = 20
+
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], *,
                  buckets: int = 64) -> None:
         self.spark = spark
@@ -60,27 +65,37 @@ class KeyedTable:
         self.schema = StructType.fromDDL(schema)
         self.keys = list(keys)
         self.buckets = buckets
+        self.log = SnapshotLog(spark, self.path)
 
     @property
     def columns(self) -> list[str]:
         return self.schema.fieldNames()
 
     def exists(self) -> bool:
-        if not path_exists(self.spark, f"{self.path}/{BUCKET}=*"):
-            return False
-        kept = [name for name in list_names(self.spark, self.path) if name.startswith(_LAYOUT)]
-        if kept != [f"{_LAYOUT}{self.buckets}"]:
-            raise ValueError(f"{self.path} is laid out as {kept}, not in {self.buckets} buckets")
-        return True
+        return self._generation() is not None
 
-    def _stored(self) -> DataFrame:
-        full = StructType(list(self.schema.fields)).add(BUCKET, "integer")
-        if not self.exists():
-            return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).parquet(self.path)
+    def _generation(self, number: int | None = None) -> Generation | None:
+        found = self.log.read(number)
+        if found and found.parts["buckets"] != self.buckets:
+            raise ValueError(f"{self.path} is laid out in {found.parts['buckets']} buckets, not in {self.buckets} buckets")
+        return found
+
+    def _at(self, generation: Generation | None, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The rows of a generation, or of some of its buckets; no other bucket's files are listed."""
+        folders = generation.parts["folders"] if generation else {}
+        paths = [f"{self.path}/{folder}/{BUCKET}={bucket}" for bucket, folder in folders.items() if buckets is None or int(bucket) in buckets]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def read(self) -> DataFrame:
-        return self._stored().select(*self.columns)
+    def read(self, generation: int | None = None) -> DataFrame:
+        """The latest rows, or those of an earlier generation."""
+        return self._at(self._generation(generation)).select(*self.columns)
+
+    def generations(self) -> list[int]:
+        return self.log.numbers()
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Delete what only generations before the latest ``keep`` need."""
+        self.log.vacuum(keep, lambda parts: set(parts["folders"].values()), _DATA)
 
     def upsert(self, incoming: DataFrame, order: Sequence[str | Column] = ()) -> DataFrame:
         """Merge a batch and return it as stored (de-duplicated).
@@ -88,23 +103,48 @@ class KeyedTable:
         The batch is written beside the table first: whatever it costs to compute is paid once, and
         the merge cannot see two versions of it.
         """
+        batch = self._batch(incoming, order)
+        return self._commit(lambda current: batch)
+
+    def transact(self, decide: Callable[[DataFrame], DataFrame], order: Sequence[str | Column] = ()) -> DataFrame:
+        """Upsert what ``decide`` makes of the table's rows; where another writer changed a bucket of it meanwhile, decide again."""
+        return self._commit(lambda current: self._batch(decide(current), order))
+
+    def _batch(self, incoming: DataFrame, order: Sequence[str | Column]) -> DataFrame:
         require_columns(incoming, self.keys, self.path)
         shaped = incoming.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
         batch_path = scratch_path(self.spark, "batch")
         latest_per_key(shaped, self.keys, order).withColumn(BUCKET, bucket).write.parquet(batch_path)
-        batch = self.spark.read.parquet(batch_path)
-        # At most ``buckets`` values come back, whatever the batch holds.
-        touched = [row[0] for row in batch.select(BUCKET).distinct().collect()]
-        if touched:
-            stored = self._stored().filter(F.col(BUCKET).isin(touched))
-            touch_file(self.spark, f"{self.path}/{_LAYOUT}{self.buckets}")
-            (
-                merge(stored, batch, self.keys).hint("rebalance", BUCKET)
-                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                .partitionBy(BUCKET).parquet(self.path)
-            )
-        return batch.select(*self.columns)
+        return self.spark.read.parquet(batch_path)
+
+    def _commit(self, batch_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        for _ in range(self.ATTEMPTS):
+            base = self._generation()
+            batch = batch_of(self._at(base).select(*self.columns))
+            # At most ``buckets`` values come back, whatever the batch holds.
+            touched = [row[0] for row in batch.select(BUCKET).distinct().collect()]
+            if not touched:
+                return batch.select(*self.columns)
+            bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+            folder = f"{_DATA}/{uuid.uuid4().hex}"
+            stored = self._at(base, touched).withColumn(BUCKET, bucket)
+            merge(stored, batch.select(*stored.columns), self.keys).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+            if self._commit_folder(base, touched, folder):
+                return batch.select(*self.columns)
+        raise RuntimeError(f"{self.path}: other writers were first {self.ATTEMPTS} times")
+
+    def _commit_folder(self, base: Generation | None, touched: list[int], folder: str) -> bool:
+        """Name the folder for the touched buckets in the next generation; False if one of them has changed since ``base``."""
+        before = base.parts["folders"] if base else {}
+        while True:
+            latest = self._generation()
+            now = latest.parts["folders"] if latest else {}
+            if any(now.get(str(bucket)) != before.get(str(bucket)) for bucket in touched):
+                return False
+            folders = {**now, **{str(bucket): folder for bucket in touched}}
+            if self.log.commit(latest.number + 1 if latest else 0, {"buckets": self.buckets, "folders": folders}):
+                return True
 
 
 class AppendTable:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import cache, contract, embed, ledger, upsert
-from corpusmill.session import scratch_path
+from corpusmill.operators import cache, contract, embed, ledger, snapshots, upsert
+from corpusmill.session import list_names, scratch_path
 from corpusmill.sources import scans, sinks
 
 def now():
@@ -60,13 +61,89 @@ def test_upsert_reads_and_writes_the_same_table_at_size(spark):
 def test_only_touched_buckets_are_rewritten(spark):
     table = upsert.KeyedTable(spark, scratch_path(spark, "touch"), "k bigint, v string", ["k"], buckets=8)
     table.upsert(spark.range(1000).selectExpr("id AS k", "'old' AS v"))
-    before = set(spark.read.parquet(table.path).inputFiles())
+    before = set(table.read().inputFiles())
     table.upsert(spark.range(1).selectExpr("id AS k", "'new' AS v"))
-    after = set(spark.read.parquet(table.path).inputFiles())
+    after = set(table.read().inputFiles())
     gone = {path.split(f"{upsert.BUCKET}=")[1].split("/")[0] for path in before - after}
     assert len(gone) == 1
 
 
+def pairs(spark, low, high, value):
+    return spark.range(low, high).selectExpr("id AS k", f"'{value}' AS v")
+
+
+def test_generations_stay_readable_until_they_are_vacuumed(spark):
+    table = upsert.KeyedTable(spark, scratch_path(spark, "gens"), "k bigint, v string", ["k"], buckets=4)
+    assert not table.exists() and table.read().count() == 0 and table.generations() == []
+    table.upsert(pairs(spark, 0, 20, "a"))
+    table.upsert(pairs(spark, 0, 10, "b"))
+    table.upsert(pairs(spark, 0, 0, "c"))
+    assert table.generations() == [0, 1]
+    assert {r.v for r in table.read(0).collect()} == {"a"} and table.read(1).filter("v = 'b'").count() == 10
+    with pytest.raises(ValueError, match="no generation 7"):
+        table.read(7)
+    table.vacuum(1)
+    assert table.generations() == [1] and sorted(r.v for r in table.read().collect()) == ["a"] * 10 + ["b"] * 10
+
+
+def test_a_failed_writer_leaves_the_table_as_it_was(spark, monkeypatch):
+    table = upsert.KeyedTable(spark, scratch_path(spark, "fail"), "k bigint, v string", ["k"], buckets=4)
+    table.upsert(pairs(spark, 0, 20, "a"))
+    folders = set(list_names(spark, f"{table.path}/data"))
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(snapshots.SnapshotLog, "commit", die)
+        with pytest.raises(RuntimeError, match="lost"):
+            table.upsert(pairs(spark, 0, 20, "b"))
+    assert {r.v for r in table.read().collect()} == {"a"} and table.generations() == [0]
+    assert len(set(list_names(spark, f"{table.path}/data"))) == 2
+    table.vacuum(5)
+    assert set(list_names(spark, f"{table.path}/data")) == folders
+
+
+@pytest.mark.parametrize("theirs, merges", [((3, 4), 1), ((0, 20), 2)])
+def test_a_writer_that_comes_second_keeps_both(spark, monkeypatch, theirs, merges):
+    path = scratch_path(spark, "race")
+    open_ = lambda: upsert.KeyedTable(spark, path, "k bigint, v string", ["k"], buckets=64)
+    mine, other = open_(), open_()
+    mine.upsert(pairs(spark, 0, 20, "a"))
+    commit, seen = mine._commit_folder, []
+
+    def late(*arguments):
+        if not seen:
+            other.upsert(pairs(spark, *theirs, "theirs"))
+        seen.append(1)
+        return commit(*arguments)
+
+    monkeypatch.setattr(mine, "_commit_folder", late)
+    mine.upsert(pairs(spark, 7, 8, "mine"))
+    found = {r.k: r.v for r in mine.read().collect()}
+    assert found == {k: "mine" if k == 7 else "theirs" if theirs[0] <= k < theirs[1] else "a" for k in range(20)}
+    assert len(seen) == merges and mine.generations() == [0, 1, 2]
+
+
+def test_one_of_many_concurrent_claimers_wins_each_key(spark):
+    path, now = scratch_path(spark, "claimers"), F.lit("2024-02-01").cast("timestamp")
+    work = spark.range(30).selectExpr("concat('k', id) AS key")
+
+    def claim(_):
+        outcomes = ledger.Ledger(spark, path, buckets=4).claim(work, now)
+        return [row.key for row in outcomes.filter("outcome = 'claimed'").collect()]
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [key for keys in pool.map(claim, range(4)) for key in keys]
+    assert sorted(won) == sorted(f"k{n}" for n in range(30))
+
+
+def test_a_file_is_created_once(spark):
+    path = scratch_path(spark, "once")
+    assert snapshots.create_file(spark, f"{path}/a", "first") and not snapshots.create_file(spark, f"{path}/a", "second")
+    assert snapshots.read_file(spark, f"{path}/a") == "first" and [n for n in list_names(spark, path) if not n.endswith(".crc")] == ["a"]
+
+
 def test_latest_per_key_on_a_hot_key_is_combined_before_the_shuffle(spark):
     frame = spark.range(100000).selectExpr("IF(id % 3 = 0, 'hot', CAST(id AS string)) AS k", "id AS v")
     found = upsert.latest_per_key(frame, ["k"], ["v"])
