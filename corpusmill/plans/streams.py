@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import ann
+from corpusmill.functions.vectors import cosine
+from corpusmill.operators import ann, topk
 from corpusmill.operators.embed import HashEmbedder
 from corpusmill.plans import inputs as I
 from corpusmill.plans.base import query, shown, sql_shown, table, with_sql
@@ -62,17 +63,49 @@ def redelivered(spark, folder):
     return spark.read.parquet(f"{root}/out").select("message_id")
 
 
+def _refreshed(spark, folder, parts, cells, **options):
+    """An index trained on the first part of the vectors; every part arrives as files of its own."""
+    root = scratch_path(spark, "refresh")
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    lists = ann.train_inverted_lists(vectors.filter(F.col("vec_id") % parts == 0), dim=64, cells=cells, code_bits=3)
+    job = refresh.IndexRefresh(spark, f"{root}/in/*", f"{root}/index", lists, **options)
+    for part in range(parts):
+        vectors.filter(F.col("vec_id") % parts == part).write.parquet(f"{root}/in/{part}")
+        job.start(f"{root}/progress").awaitTermination()
+    return job
+
+
 @query("STR8_index_refresh", "SELECT vec_id, len(embedding)::INTEGER AS dim, 8 AS codes FROM embeddings")
 def index_refresh(spark, folder):
     """Index half of the vectors, then let the other half arrive."""
-    root = scratch_path(spark, "refresh")
+    job = _refreshed(spark, folder, 2, 8)
+    return job.index.read().select(F.col("id").alias("vec_id"), F.size("embedding").alias("dim"), F.octet_length("codes").alias("codes"))
+
+
+@query("VEC9_search_after_refresh", """SELECT vec_id AS query_id, 5::BIGINT AS hits, true AS scores_right, true AS own_cells_only, true AS recalled, true AS split, 3::BIGINT AS refreshes
+ FROM embeddings WHERE vec_id % 50 = 0""")
+def search_after_refresh(spark, folder):
+    """Three refreshes with splits of cells that grew, then a search: at least 0.9 of the queries, all indexed themselves, come back first.
+
+    The files that the search lists lie in the cells it probes, half of all.
+    """
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    lists = ann.train_inverted_lists(vectors, dim=64, cells=8, code_bits=3)
-    job = refresh.IndexRefresh(spark, f"{root}/in/*", f"{root}/index", lists, buckets=8)
-    for part in (0, 1):
-        vectors.filter(F.col("vec_id") % 2 == part).write.parquet(f"{root}/in/{part}")
-        job.start(f"{root}/progress").awaitTermination()
-    return job.index.read().select("vec_id", F.size("embedding").alias("dim"), F.octet_length("codes").alias("codes"))
+    job = _refreshed(spark, folder, 3, 4, cell_rows=max(20, vectors.count() // 6))
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    parts = job.index._parts()
+    lists = job.index.lists(parts)
+    probes = len(lists.centres) // 2
+    first = queries.limit(1).collect()  # one query, so that its cells are told apart from the others
+    rows, members = job.index.probed(parts, lists, topk.query_matrix([row["query_embedding"] for row in first], "cosine"), probes)
+    own = {int(path.split("/at=")[1].split("/")[0]) for path in rows.inputFiles()} <= set(members) and len(members) <= probes
+    found = job.index.search(queries, 5, nprobe=probes)
+    share = found.filter("rank = 1").agg((F.avg((F.col("id") == F.col("query_id")).cast("double")) >= 0.9).alias("recalled"))
+    scored = found.join(queries, "query_id").join(vectors.withColumnRenamed("vec_id", "id"), "id")
+    right = F.abs(cosine(F.col("query_embedding"), F.col("embedding")) - F.col("score")) < 1e-6
+    per_query = scored.groupBy("query_id").agg(F.bool_and(right).alias("scores_right"), F.count("*").alias("hits")).join(F.broadcast(share))
+    return per_query.select(
+        "query_id", "hits", "scores_right", F.lit(own).alias("own_cells_only"), "recalled",
+        F.lit(len(lists.centres) > 4).alias("split"), F.lit(parts["seq"]).cast("long").alias("refreshes"))
 
 
 def _streamed(spark, folder):

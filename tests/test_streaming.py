@@ -168,7 +168,7 @@ def test_refresh_reads_only_new_files(spark):
 
     write(0, 40, "a")
     lists = ann.train_inverted_lists(spark.read.parquet(f"{root}/in/a"), dim=8, subvectors=2, code_bits=3)
-    job = refresh.IndexRefresh(spark, f"{root}/in/*", f"{root}/index", lists, buckets=2)
+    job = refresh.IndexRefresh(spark, f"{root}/in/*", f"{root}/index", lists)
     for expected, more in ((40, None), (40, None), (60, (40, 60, "b"))):
         if more:
             write(*more)
