@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
+import math
+from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,35 +124,158 @@ def _in_both(lines: DataFrame) -> DataFrame:
     return lines.join(both.select("source_id"), "source_id", "left_semi")
 
 
+#: Lines of both sides that one task aligns at most; a longer piece is cut at the same share of both sides.
+PIECE_LINES = 1_000_000
+
+
+def _rising(values: np.ndarray) -> np.ndarray:
+    """Places of a longest strictly rising run of picks from ``values``."""
+    tails: list[int] = []
+    places: list[int] = []
+    before = np.full(len(values), -1, dtype=np.int64)
+    for at, value in enumerate(values.tolist()):
+        slot = bisect_left(tails, value)
+        if slot:
+            before[at] = places[slot - 1]
+        if slot == len(tails):
+            tails.append(value)
+            places.append(at)
+        else:
+            tails[slot], places[slot] = value, at
+    picked, at = [], places[-1] if places else -1
+    while at >= 0:
+        picked.append(at)
+        at = before[at]
+    return np.array(picked[::-1], dtype=np.int64)
+
+
+def _nth(codes: np.ndarray) -> np.ndarray:
+    """For each line, how many equal ones come before it."""
+    order = np.argsort(codes, kind="stable")
+    ordered = codes[order]
+    out = np.empty(len(codes), dtype=np.int64)
+    out[order] = np.arange(len(codes)) - np.searchsorted(ordered, ordered)
+    return out
+
+
+def _common(old: np.ndarray, new: np.ndarray) -> int:
+    """How many lines two sides begin with alike."""
+    room, at, step = min(len(old), len(new)), 0, 16
+    while at < room:
+        stop = min(room, at + step)
+        differ = old[at:stop] != new[at:stop]
+        if differ.any():
+            return at + int(np.argmax(differ))
+        at, step = stop, step * 4
+    return room
+
+
+def _shortest(old: np.ndarray, new: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Lines that stay in a shortest script of removals and additions; None if that has more than ``limit`` of them.
+
+    After d changes, ``reach`` holds how far into the old lines a script can be on each diagonal (old minus new place).
+    """
+    n, m = len(old), len(new)
+    reach, trace = {0: _common(old, new)}, []
+    starts = [{0: 0}]
+    changes = 0
+    while reach.get(n - m) != n:
+        if changes == limit:
+            return None
+        changes += 1
+        trace.append(reach)
+        reach, start = {}, {}
+        for k in range(-min(changes, m), min(changes, n) + 1):
+            if (k - changes) % 2 == 0:
+                down, right = trace[-1].get(k + 1, -1), trace[-1].get(k - 1, -1)
+                x = max(down if down - k <= m else -1, right + 1 if 0 <= right < n else -1)
+                if x >= 0:
+                    start[k] = x
+                    reach[k] = x + _common(old[x:], new[x - k :])
+        starts.append(start)
+    left, right_, k = [], [], n - m
+    for d in range(changes, -1, -1):
+        x, end = starts[d][k], reach[k]
+        left.append(np.arange(x, end))
+        right_.append(np.arange(x - k, end - k))
+        if d:
+            reach = trace[d - 1]
+            k = k + 1 if reach.get(k + 1, -1) == x else k - 1
+    return np.concatenate(left), np.concatenate(right_)
+
+
+def matched(old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of lines that stay, rising on both sides, from the lines' codes.
+
+    A shortest script is looked for as long as it has few changes for the number of lines. Else the n-th line of a
+    kind meets the n-th of that kind on the other side, a longest rising choice of these pairs stays, and the gaps
+    between them are treated in the same way, until a gap has no line of both sides left. Time and memory grow with
+    the number of lines.
+    """
+    left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    open_ = [(0, len(old), 0, len(new))]
+    while open_:
+        i, i_end, j, j_end = open_.pop()
+        here, there = old[i:i_end], new[j:j_end]
+        if not np.isin(here, there).any():
+            continue
+        found = _shortest(here, there, math.isqrt(len(here) + len(there)) + 8)
+        if found:
+            left.append(found[0] + i)
+            right.append(found[1] + j)
+            continue
+        width = max(len(here), len(there)) + 1
+        _, at, to = np.intersect1d(here * width + _nth(here), there * width + _nth(there), assume_unique=True, return_indices=True)
+        order = np.argsort(at)
+        chosen = _rising(to[order])
+        at, to = at[order][chosen] + i, to[order][chosen] + j
+        left.append(at)
+        right.append(to)
+        starts = zip([i, *(at + 1).tolist()], [*at.tolist(), i_end], [j, *(to + 1).tolist()], [*to.tolist(), j_end])
+        open_ += [gap for gap in starts if gap[0] < gap[1] and gap[2] < gap[3]]
+    return np.sort(np.concatenate(left)), np.sort(np.concatenate(right))
+
+
 def diff_rows(lines: DataFrame) -> DataFrame:
     """Changed lines ``source_id, piece, seq, op, ordinal, content`` from (source_id, ordinal, content, is_new).
 
     A piece whose lines, its anchor aside, have no counterpart on the other side needs no alignment: its old
-    lines go and its new ones come. Only pieces with repeated or moved lines are aligned, one piece at a time.
-    ``ordinal`` is the place of the line on its own side.
+    lines go and its new ones come. Pieces with repeated or moved lines are aligned by their lines' hashes, one
+    piece or PIECE_LINES of it in a task. ``ordinal`` is the place of the line on its own side.
     """
     keys, kind = ["source_id", "piece"], lines.schema["source_id"].dataType.simpleString()
     pieces = anchored_pieces(lines.select("source_id", "ordinal", "content", "is_new")).filter("cut = 0")
+    pieces = pieces.withColumn("ordinal", F.col("ordinal").cast("long"))
     tangled = pieces.filter("shared").select(*keys).distinct()
     plain = pieces.join(tangled, keys, "left_anti").select(
-        *keys, (F.col("ordinal").cast("long") + F.when(F.col("is_new"), _AFTER).otherwise(0)).alias("seq"),
-        F.when(F.col("is_new"), "+").otherwise("-").alias("op"), F.col("ordinal").cast("long").alias("ordinal"), "content",
+        *keys, (F.col("ordinal") + F.when(F.col("is_new"), _AFTER).otherwise(0)).alias("seq"),
+        F.when(F.col("is_new"), "+").otherwise("-").alias("op"), "ordinal", "content",
     )
+    inside = checkpointed(pieces.join(tangled, keys, "left_semi").select(*keys, "ordinal", "is_new", "content"))
+    # The lines of a piece are one run of places on each side; a long piece is cut at the same share of both.
+    extent = inside.groupBy(*keys, "is_new").agg(F.min("ordinal").alias("first"), (F.max("ordinal") - F.min("ordinal") + 1).alias("span"), F.count("*").alias("n"))
+    whole = extent.groupBy(*keys).agg(F.ceil(F.sum("n") / PIECE_LINES).alias("parts"))
+    part = F.expr("((ordinal - first) * parts) div span").alias("part")
+    hashed = inside.join(extent.join(whole, keys), [*keys, "is_new"]).select(
+        *keys, part, "ordinal", "is_new", F.substring(F.sha2("content", 256), 1, 32).alias("line_hash"))
 
     def align(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("ordinal")
-        old, new = ordered[~ordered["is_new"]], ordered[ordered["is_new"]]
-        changes = []
-        for tag, i, i_end, j, j_end in difflib.SequenceMatcher(None, old["content"].tolist(), new["content"].tolist()).get_opcodes():
-            if tag != "equal":
-                changes += [old.iloc[i:i_end].assign(op="-"), new.iloc[j:j_end].assign(op="+")]
-        frame = pd.concat(changes) if changes else ordered.iloc[:0].assign(op="")
-        frame = frame[["op", "ordinal", "content"]]
-        return frame.assign(source_id=key[0], piece=key[1], seq=range(len(frame)))
-
-    aligned = pieces.join(tangled, keys, "left_semi").groupBy(*keys).applyInPandas(
-        align, f"source_id {kind}, piece long, seq long, op string, ordinal long, content string"
-    )
+        codes = pd.factorize(ordered["line_hash"])[0].astype(np.int64)
+        is_new, ordinal = ordered["is_new"].to_numpy(dtype=bool), ordered["ordinal"].to_numpy(dtype=np.int64)
+        stay = matched(codes[~is_new], codes[is_new])
+        out = []
+        for op, places, kept in (("-", ordinal[~is_new], stay[0]), ("+", ordinal[is_new], stay[1])):
+            gone = np.setdiff1d(np.arange(len(places)), kept, assume_unique=True)
+            # Changes lie between two lines that stay; of those in one gap the removed lines come first.
+            out.append(pd.DataFrame({"gap": np.searchsorted(kept, gone), "op": op, "ordinal": places[gone]}))
+        frame = pd.concat(out).sort_values(["gap", "op", "ordinal"], key=lambda c: c.map({"-": 0, "+": 1}) if c.name == "op" else c)
+        seq = np.arange(len(frame), dtype=np.int64) + (int(key[2]) << 40)
+        return frame[["op", "ordinal"]].assign(source_id=key[0], piece=key[1], seq=seq)
+
+    changes = hashed.groupBy(*keys, "part").applyInPandas(align, f"source_id {kind}, piece long, seq long, op string, ordinal long")
+    text = inside.select(*keys, F.when(F.col("is_new"), "+").otherwise("-").alias("op"), "ordinal", "content")
+    aligned = changes.join(text, [*keys, "op", "ordinal"]).select(*keys, "seq", "op", "ordinal", "content")
     return plain.unionByName(aligned)
 
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill.functions import markers, prompts
@@ -76,6 +80,41 @@ def test_applied_rows_give_the_new_layer(spark):
     assert made == {source: versions[2] for source, versions in sources.items() if source != "lonely"}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), max_size=30))
+def test_matched_lines_rise_are_equal_and_leave_no_more(old, new):
+    left, right = diff.matched(np.array(old, dtype=np.int64), np.array(new, dtype=np.int64))
+    assert [old[i] for i in left] == [new[j] for j in right]
+    assert all(np.diff(left) > 0) and all(np.diff(right) > 0)
+    for i, i_end, j, j_end in zip([-1, *left], [*left, len(old)], [-1, *right], [*right, len(new)]):
+        assert not set(old[i + 1 : i_end]) & set(new[j + 1 : j_end])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=40))
+def test_longest_rising_choice(values):
+    best = [0] * len(values)
+    for k, v in enumerate(values):
+        best[k] = 1 + max((best[m] for m in range(k) if values[m] < v), default=0)
+    picked = diff._rising(np.array(values, dtype=np.int64))
+    assert len(picked) == max(best, default=0) and all(np.diff(np.array(values)[picked]) > 0)
+
+
+@pytest.mark.parametrize("limit", [diff.PIECE_LINES, 30_000])
+def test_a_hundred_thousand_repeated_lines(spark, monkeypatch, limit):
+    monkeypatch.setattr(diff, "PIECE_LINES", limit)
+    rng = random.Random(9)
+    old = [rng.choice(["}", "", "return", "x = 1"]) for _ in range(100_000)]
+    new = old[:20_000] + ["added"] + old[20_000:70_000] + old[70_010:] + ["}", "end"]
+    both = [("s", k, line, False) for k, line in enumerate(old)] + [("s", k, line, True) for k, line in enumerate(new)]
+    lines = spark.createDataFrame(pd.DataFrame(both, columns=["source_id", "ordinal", "content", "is_new"])).repartition(8)
+    rows = diff.diff_rows(lines).cache()
+    if limit == diff.PIECE_LINES and limit > 100_000:
+        assert rows.count() < 2_000
+    made = diff.apply_diff(lines.filter("NOT is_new").select("source_id", "ordinal", "content"), rows).orderBy("ordinal").collect()
+    assert [row.content for row in made] == new
+
+
 def test_counts_do_not_take_rules_for_headers_and_see_moves(spark):
     chunks = layered(spark, {"rule": {1: ["a", "-- rule", "b"], 2: ["a", "b"]}, "moved": {1: ["x", "y"], 2: ["y", "x"]}})
     found = {r.source_id: (r.changed, r.added_lines, r.removed_lines) for r in diff.layer_diff_counts(chunks, 1, 2).collect()}
