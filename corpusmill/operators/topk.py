@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import scratch_path
+
 # Queries that travel to every task at once, and scores held at once.
 ROUND = 4096
 SCORES = 4_000_000
@@ -154,8 +156,15 @@ def rank(candidates: DataFrame, k: int, query: str, vector_id: str) -> DataFrame
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def query_rounds(queries: DataFrame, columns: list[str], query_id: str, query_embedding: str, size: int = ROUND) -> Iterator[list]:
-    """The queries in rounds of about ``size`` rows, dealt by a hash of their id; only one round is held at a time.
+def written(answers: DataFrame, label: str = "answers") -> DataFrame:
+    """One round's answers in the shared folder, so that its queries are needed no more."""
+    path = scratch_path(answers.sparkSession, label)
+    answers.write.parquet(path)
+    return answers.sparkSession.read.schema(answers.schema).parquet(path)
+
+
+def query_rounds(queries: DataFrame, columns: list[str], query_id: str, query_embedding: str, size: int = ROUND) -> Iterator[tuple[list, int]]:
+    """The queries in rounds of about ``size`` rows, dealt by a hash of their id, each with the number of rounds.
 
     Every query must have the same dimension.
     """
@@ -167,7 +176,7 @@ def query_rounds(queries: DataFrame, columns: list[str], query_id: str, query_em
         mine = F.pmod(F.xxhash64(query_id), F.lit(rounds)) == number
         rows = queries.filter(mine).select(*columns).collect()
         if rows:
-            yield rows
+            yield rows, rounds
 
 
 def top_k(
@@ -179,7 +188,8 @@ def top_k(
 
     With ``scope`` a query only meets rows whose scope equals its own; a null query scope meets all. Vectors of
     another size than the queries' are left out. Queries travel to the scan in rounds, so any number of them
-    is answered without a copy or a shuffle of the vectors.
+    is answered without a copy or a shuffle of the vectors. Of several rounds each is written before the next is
+    asked for, so the driver holds the queries of one.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r} (use one of {METRICS})")
@@ -191,7 +201,7 @@ def top_k(
     scoped = bool(scope and query_scope)
     columns = [query_id, query_embedding] + ([query_scope] if scoped else [])
     answers = []
-    for rows in query_rounds(queries, columns, query_id, query_embedding, round_size):
+    for rows, rounds in query_rounds(queries, columns, query_id, query_embedding, round_size):
         members, reached = None, vectors
         if scoped:
             members = {}
@@ -203,7 +213,9 @@ def top_k(
         partial = scan_top_k(
             reached, query_matrix([row[query_embedding] for row in rows], metric), k, vector_id=vector_id, embedding=embedding,
             metric=metric, group=scope if scoped else None, members=members)
-        answers.append(named(rank(partial, k, "query_no", vector_id), [row[query_id] for row in rows], query_id, query_type, vector_id))
+        answer = named(rank(partial, k, "query_no", vector_id), [row[query_id] for row in rows], query_id, query_type, vector_id)
+        answers.append(answer if rounds == 1 else written(answer))
+        del partial, answer
     return reduce(DataFrame.unionByName, answers, found)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import math
+import weakref
 
 import numpy as np
 import pytest
@@ -236,3 +238,20 @@ def test_a_rare_query_filters_the_scan_by_id(spark):
     assert [r.id for r in found.collect()] == [77]
     common = search.candidate_rows(spark.read.parquet(base), spark.read.parquet(path), "species", "hay1")
     assert common.count() == table.filter("species LIKE 'hay1%'").count()
+
+
+def test_one_round_of_queries_is_held_at_a_time(spark, monkeypatch):
+    alive, scan = [], topk.scan_top_k
+
+    def watched(vectors, matrix, *arguments, **options):
+        gc.collect()
+        assert not [ref for ref in alive if ref() is not None]
+        alive.append(weakref.ref(matrix))
+        return scan(vectors, matrix, *arguments, **options)
+
+    monkeypatch.setattr(topk, "scan_top_k", watched)
+    data = np.random.default_rng(8).standard_normal((50, 4))
+    vectors = spark.createDataFrame([(f"c{n}", [float(x) for x in v]) for n, v in enumerate(data)], "chunk_id string, embedding array<double>")
+    queries = vectors.selectExpr("chunk_id AS query_id", "embedding AS query_embedding")
+    found = topk.top_k(vectors, queries, 1, round_size=10).collect()
+    assert len(alive) >= 4 and sorted(r.query_id for r in found) == sorted(r.chunk_id for r in found) and len(found) == 50
