@@ -35,15 +35,18 @@ DENSE = 16_000_000
 LACKING = float(np.log2(0x110000))
 BLOCK = 6_000_000
 UNKNOWN = "und"
-# What \w holds beside letters, digits and the underscore: numbers such as Roman numerals, superscripts and fractions.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.category(c) in ("Nl", "No"))
-_LETTER = re.compile(rf"[^\W\d_{_NUMBERS}]")
-_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_OTHER = re.compile(r"[\W\d_]+")
+# What is left beside letters then: numbers such as Roman numerals, superscripts and fractions.
+_NUMBERS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.category(c) in ("Nl", "No"))
+_BLANKS = {ord(c): " " for c in _NUMBERS}
 
 
 def plain(text: str | None) -> str:
     """Lower case, everything but letters as one blank, a blank before and after."""
-    return " " + _OTHER.sub(" ", (text or "").lower()).strip() + " "
+    words = _OTHER.sub(" ", (text or "").lower())
+    if not words.isascii() and not _NUMBERS.isdisjoint(words):
+        words = re.sub(" +", " ", words.translate(_BLANKS))
+    return " " + words.strip() + " "
 
 
 def suffix_automaton(text: str, letters: dict[str, int]) -> list[dict[int, int]]:
@@ -226,11 +229,10 @@ def identify(docs: DataFrame, samples: dict[str, str], doc_id: str = "doc_id", t
         for batch in batches:
             texts = [value or "" for value in batch.column(1).to_pylist()]
             for start, stop in row_blocks(texts, BLOCK):
-                part = texts[start:stop]
-                known = [at for at, value in enumerate(part) if _LETTER.search(value)] if parser.languages else []
+                part = [plain(value) for value in texts[start:stop]]
+                known = [at for at, value in enumerate(part) if not value.isspace()] if parser.languages else []
                 langs, scores, bits = [UNKNOWN] * len(part), [0.0] * len(part), [None] * len(part)
-                bare = [plain(part[at]) for at in known]
-                cost = parser.costs(bare) if known else None
+                cost = parser.costs([part[at] for at in known]) if known else None
                 for at, own in zip(known, cost if known else ()):
                     best = int(own.argmin())
                     langs[at] = parser.languages[best]
