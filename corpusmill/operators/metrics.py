@@ -55,13 +55,10 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, percents
         .groupBy(*keys, "n", "at", "lumped").agg(F.count("*").alias("c"))
     )
 
-    def target(share: Decimal) -> Column:
-        return F.greatest(F.lit(1), F.ceil(F.col("n").cast("decimal(20,0)") * F.lit(share).cast("decimal(10,6)")))
-
-    running = _running_counts(counted, keys, [target(share) for share in shares.values()])
+    running = _running_counts(counted, keys, [_nearest_rank(share) for share in shares.values()])
 
     def pick(share: Decimal) -> Column:
-        found = F.min(F.when(F.col("upto") >= target(share), F.struct("upto", "at", "lumped")))
+        found = F.min(F.when(F.col("upto") >= _nearest_rank(share), F.struct("upto", "at", "lumped")))
         outside = F.raise_error(F.lit("percentile outside its bracket")).cast("double")
         return F.when(F.max("n").isNull(), None).when(found["lumped"] | found.isNull(), outside).otherwise(found["at"])
 
@@ -70,6 +67,29 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, percents
     )
 
 
+def percentiles_of_counts(counts: DataFrame, groups: Sequence[str], value: str, count: str, percents: Mapping[str, str]) -> DataFrame:
+    """Exact nearest-rank percentiles per group from rows that say how often a value occurs.
+
+    The same value may come in several rows. Values that are null or not a number count nowhere; a group without
+    others gives no row. Only ranges of value that hold a percentile are sorted.
+    """
+    keys = list(groups)
+    kept = counts.select(*keys, F.col(value).cast("double").alias("at"), F.col(count).cast("bigint").alias("c"))
+    kept = kept.filter("at IS NOT NULL AND NOT isnan(at) AND c > 0").groupBy(*keys, "at").agg(F.sum("c").alias("c"))
+    totals = kept.groupBy(*keys).agg(F.sum("c").alias("n"))
+    counted = kept.withColumn("lumped", F.lit(False))
+    counted = counted.join(totals, keys) if keys else counted.crossJoin(F.broadcast(totals))  # one row
+    targets = {name: _nearest_rank(Decimal(percent) / 100) for name, percent in percents.items()}
+    running = _running_counts(counted.select(*keys, "n", "at", "lumped", "c"), keys, list(targets.values()))
+    found = running.groupBy(*keys).agg(F.max("n").alias("samples"), *[
+        F.min(F.when(F.col("upto") >= target, F.struct("upto", "at")))["at"].alias(name) for name, target in targets.items()])
+    return found if keys else found.filter("samples IS NOT NULL")
+
+
+def _nearest_rank(share: Decimal) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col("n").cast("decimal(20,0)") * F.lit(share).cast("decimal(10,6)")))
+
+
 def _with_sketch(data: DataFrame, sketched: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with their group's sketch: broadcast when the groups are counted to be few, else joined on salted keys.
 

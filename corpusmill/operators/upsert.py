@@ -179,6 +179,10 @@ class AppendTable:
         stored = stored.drop("day")
         return (latest_per_key(stored, self.keys, ["batch"]) if self.keys else stored).drop("batch")
 
+    def of_batch(self, batch_id: int) -> DataFrame:
+        """The rows that a batch wrote; no other batch's files are read."""
+        return self._stored().filter(F.col("batch") == batch_id).drop("day", "batch")
+
     def fold(self, before: str) -> None:
         """Put the rows of every day before ``before`` (yyyy-MM-dd) into one batch of that day, numbered -1.
 

@@ -11,7 +11,7 @@ from corpusmill.plans import inputs as I
 from corpusmill.plans.base import query, shown, sql_shown, table, with_sql
 from corpusmill.plans.metrics import _alarm_select, _calendar
 from corpusmill.session import scratch_path
-from corpusmill.streaming import claims, ingest, metrics, refresh
+from corpusmill.streaming import claims, ingest, metrics, refresh, sketches
 
 
 def _ingested(spark, folder, index):
@@ -139,6 +139,40 @@ def windowed(spark, folder):
     return found.select("stage", "period", "samples", "errors", "latency_sum", "latency_max", "latency_p99", "rows_ingested")
 
 
+@query("STR9_daily_percentiles", with_sql(
+    I.METRICS_SQL, _WINDOWS, select=f"""SELECT r.stage, {sql_shown("date_trunc('day', r.ts)")} AS period, count(r.latency) AS samples,
+ quantile_disc(r.latency, 0.5) AS p50, quantile_disc(r.latency, 0.99) AS p99 FROM (SELECT *, time_bucket(INTERVAL '6 hours', ts) AS bucket FROM records) r
+ JOIN windows w ON w.stage = r.stage AND w.period = r.bucket WHERE r.event IN ('stage_done', 'pipeline_done') GROUP BY r.stage, date_trunc('day', r.ts)"""))
+def daily_percentiles(spark, folder):
+    """Days from the stored counts of closed six-hour windows; the records are not read again."""
+    found = _alarms(spark, folder).percentiles("1 day", {"p50": "50", "p99": "99"})
+    return found.select("stage", shown("period", "period"), "samples", "p50", "p99")
+
+
+@query("STR9_sketched_windows", with_sql(I.METRICS_SQL, select=f"""SELECT stage, {sql_shown("date_trunc('day', ts)")} AS period, count(latency) AS samples, true AS p50_within, true AS p99_within
+ FROM records WHERE event IN ('stage_done', 'pipeline_done') AND latency IS NOT NULL GROUP BY 1, 2"""))
+def sketched_windows(spark, folder):
+    """Days merged from stored sketches of an hour; the ranks of their percentiles, counted in the records, lie within the stated error.
+
+    The error holds in 99 of 100 cases; twice of it is allowed here.
+    """
+    stream = _streamed(spark, folder)
+    job = sketches.LatencySketches(spark, scratch_path(spark, "sketches"), period="1 hour", size=1024)
+    job.start(stream, scratch_path(spark, "progress")).awaitTermination()
+    days = job.windows("1 day", {"p50": "50", "p99": "99"}).withColumnRenamed("samples", "n")
+    records = I.metric_records(spark, folder).filter("event IN ('stage_done', 'pipeline_done') AND latency IS NOT NULL")
+    records = records.select("stage", F.window("ts", "1 day")["start"].alias("period"), "latency")
+
+    def within(name, share):
+        below, upto = (F.sum(test.cast("long")) / F.max("n") for test in (F.col("latency") < F.col(name), F.col("latency") <= F.col(name)))
+        margin = 2 * F.max("rank_error") + 1e-9
+        return ((below - margin <= share) & (upto + margin >= share)).alias(f"{name}_within")
+
+    found = records.join(days, ["stage", "period"]).groupBy("stage", "period").agg(
+        F.max("n").alias("samples"), within("p50", 0.5), within("p99", 0.99))
+    return found.withColumn("period", shown("period"))
+
+
 _KINDS = (
     ("stage_errors", "we", "errors", "stage <> 'summary'", "coalesce(value > 3, false)", 3, 5),
     ("stage_latency", "wl", "latency_p99", "stage <> 'summary'", "coalesce(value > 150, false)", 1, 1),

@@ -13,7 +13,7 @@ from corpusmill.operators import ann
 from corpusmill.operators.embed import HashEmbedder
 from corpusmill.operators.upsert import AppendTable
 from corpusmill.session import scratch_path
-from corpusmill.streaming import ingest, messages, metrics, refresh
+from corpusmill.streaming import ingest, messages, metrics, refresh, sketches
 
 
 def event(*keys, bucket="raw"):
@@ -175,3 +175,56 @@ def test_refresh_reads_only_new_files(spark):
         query = job.start(f"{root}/cp")
         query.awaitTermination()
         assert job.index.read().count() == expected
+
+
+def test_tails_of_windows_are_exact_and_nulls_have_none(spark):
+    rng = np.random.default_rng(5)
+    values = rng.lognormal(3, 2, 30_000).round(3)
+    rows = [("a", int(i % 7), float(v)) for i, v in enumerate(values)] + [("b", 0, None), ("b", 0, float("nan")), (None, 0, 4.0), (None, 0, 2.0)]
+    counts = spark.createDataFrame(rows, "stage string, h int, latency double").selectExpr(
+        "stage", "timestamp_seconds(h * 3600) AS period", "latency", "1L AS samples", "0L AS errors", "0D AS rows_ingested")
+    found = {(r.stage, r.period): r for r in metrics.windows_of(counts).collect()}
+    assert len(found) == 9
+    for h in range(7):
+        own = np.sort(values[h::7])
+        row = next(r for (stage, period), r in found.items() if stage == "a" and r.samples == len(own) and r.latency_p99 == own[int(np.ceil(len(own) * 0.99)) - 1])
+        assert row.latency_max == own[-1]
+    assert [r.latency_p99 for (stage, _), r in found.items() if stage == "b"] == [None]
+    assert [r.latency_p99 for (stage, _), r in found.items() if stage is None] == [4.0]
+    assert metrics.windows_of(counts.limit(0)).count() == 0
+
+
+def test_sketches_merge_to_wider_windows_within_their_error(spark):
+    rng = np.random.default_rng(9)
+    job = sketches.LatencySketches(spark, scratch_path(spark, "sketches"), period="1 minute", size=200)
+    batches = [rng.lognormal(3, 2, 20_000) for _ in range(3)]
+
+    def frame(values):
+        rows = [("a", int(i), float(v)) for i, v in enumerate(values)] + [("a", 0, None), ("a", 0, float("nan")), ("few", 0, 7.0)]
+        return spark.createDataFrame(rows, "stage string, at int, latency double").selectExpr(
+            "stage", "timestamp_seconds(1704067200 + at % 3600) AS ts", "latency")
+
+    for at, values in enumerate(batches):
+        job.process(frame(values), at)
+    job.process(frame(batches[1]), 1)  # a batch that runs again counts once
+    everything = np.sort(np.concatenate(batches))
+    found = {r.stage: r for r in job.windows("1 hour", {"p50": "50", "p99": "99"}).collect()}
+    assert found["a"].samples == 60_000 and found["few"].samples == 3 and found["few"].p99 == 7.0 and found["few"].rank_error == 0
+    assert 0.012 < found["a"].rank_error < 0.015
+    for name, share in (("p50", 0.5), ("p99", 0.99)):
+        rank = np.searchsorted(everything, found["a"][name], side="right") / len(everything)
+        assert abs(rank - share) <= 2 * found["a"].rank_error
+    assert job.windows("15 minutes", {"p50": "50"}).filter("stage = 'a'").count() == 4
+    empty = sketches.LatencySketches(spark, scratch_path(spark, "sketches"))
+    empty.process(frame([]).limit(0), 0)
+    assert empty.windows("1 hour", {"p50": "50"}).count() == 0
+
+
+def test_small_windows_of_sketches_are_exact(spark):
+    values = np.random.default_rng(3).permutation(900).astype(float)
+    job = sketches.LatencySketches(spark, scratch_path(spark, "sketches"), size=1024)
+    for at in range(3):
+        rows = [("a", int(i), float(v)) for i, v in enumerate(values[at::3])]
+        job.process(spark.createDataFrame(rows, "stage string, at int, latency double").selectExpr("stage", "timestamp_seconds(at) AS ts", "latency"), at)
+    row = job.windows("1 hour", {"p50": "50", "p99": "99"}).first()
+    assert (row.samples, row.p50, row.p99, row.rank_error) == (900, 449.0, 890.0, 0.0)
