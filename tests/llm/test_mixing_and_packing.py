@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -67,20 +68,65 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(repr, found)) == sorted(map(repr, again))
 
 
-def test_training_order_repeats_documents_by_position(spark):
+def plain_position(points, share):
+    """The time at which the integral of the weights reaches a share of all, by summing small steps."""
+    times = np.linspace(0, 1, 200_001)
+    weights = np.interp(times, [x for x, _ in points], [w for _, w in points])
+    sums = np.concatenate([[0.0], np.cumsum((weights[1:] + weights[:-1]) / 2)])
+    return float(np.interp(share * sums[-1], sums, times))
+
+
+BENT = (((0.0, 0.2), (0.25, 2.0), (0.75, 2.0), (1.0, 0.1)), ((0.0, 1.0), (1.0, 3.0)), ((0.0, 1.0), (0.5, 0.0), (1.0, 1.0)))
+
+
+@pytest.mark.parametrize("schedules", [mixing.SCHEDULES, BENT])
+def test_training_order_repeats_documents_by_position(spark, schedules):
     docs = documents(spark)
-    ordered = mixing.training_order(docs)
+    ordered = mixing.training_order(docs, schedules=schedules)
     assert ordered.columns == docs.columns
     copies = Counter()
-    for r in mixing.mix(docs).collect():
+    mixed = mixing.mix(docs, schedules=schedules).collect()
+    for r in mixed:
         copies[r.doc_id] += r.copies
-    assert Counter(r.doc_id for r in ordered.collect()) == +copies
+    rows = [(r.doc_id, r.source) for r in ordered.collect()]
+    assert Counter(doc_id for doc_id, _ in rows) == +copies
+    # The order itself: every copy's place by a plain program; ids that come once, so that copies are told apart.
+    sized = [(r.doc_id, r.source, len((r.text or "").split())) for r in docs.collect()]
+    sources = sorted({s for _, s, _ in sized if s is not None}) + [None]
+    target = {r.doc_id: r.target for r in mixed}
+    once = {i for i, n in Counter(i for i, _, _ in sized).items() if n == 1 and i is not None}
+    places = defaultdict(list)
+    for at, source in enumerate(sources):
+        own = sorted((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), n, i) for i, s, n in sized if s == source)
+        begin, whole = 0, sum(n for _, n, _ in own)
+        for _, n, i in own:
+            if i in once:
+                places[i] = [plain_position(schedules[at % 3], min(1.0, (begin + whole * k) / target[i])) for k in range(copies[i])]
+            begin += n
+    seen, line = Counter(), []
+    for i, _ in rows:
+        if i in once:
+            line.append(places[i][seen[i]])
+            seen[i] += 1
+    assert len(line) > 100 and all(low <= high + 1e-4 for low, high in zip(line, line[1:]))
+
+
+def test_mix_is_sorted_by_position_and_a_source_may_have_its_own_schedule(spark):
+    docs = documents(spark)
+    late = ((0.0, 0.0), (0.5, 0.0), (1.0, 1.0))
+    found = mixing.mix(docs, given={"s1": late, None: BENT[0]})
+    places = [r.position for r in found.collect() if r.position is not None]
+    assert places == sorted(places) and len(places) > 100
+    own = found.join(docs.select("doc_id", "source"), "doc_id").filter("source = 's1' AND position IS NOT NULL").collect()
+    assert own and min(r.position for r in own) >= 0.5
+    with pytest.raises(ValueError, match="not a schedule"):
+        mixing.mix(docs, schedules=(((0.0, 1.0), (0.9, 1.0)),))
 
 
 def test_positions_invert_the_demand(spark):
-    """A source alone: position p of a document at words b solves target ((1 + bend) p - bend p^2) = b."""
+    """A source alone: position p of a document at words b solves target (1.5 p - 0.5 p^2) = b."""
     docs = spark.createDataFrame([(k, "w " * 10, "a") for k in range(40)], "doc_id long, text string, source string")
-    found = mixing.mix(docs, bends=(0.5,)).collect()
+    found = mixing.mix(docs, schedules=(((0.0, 1.5), (1.0, 0.5)),)).collect()
     begins = sorted(r.position for r in found)
     for k, p in enumerate(begins):
         assert found[0].target * (1.5 * p - 0.5 * p * p) == pytest.approx(10 * k, abs=1e-6)
