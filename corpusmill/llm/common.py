@@ -74,3 +74,11 @@ def merge_labels(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.
             if (jumped == labels).all():
                 break
             labels = jumped
+
+
+def first_by_hash(rows: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """Of each group the row (``columns``) with the smallest hash of its columns, so that reruns agree; maps are not hashed."""
+    kinds = dict(rows.dtypes)
+    order = F.xxhash64(*[F.col(name) for name in columns if "map<" not in kinds[name] and kinds[name] != "variant"])
+    row = own_name(rows, "row")
+    return rows.groupBy(*group).agg(F.min_by(F.struct(*columns), order).alias(row)).select(f"{row}.*")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from corpusmill.llm.common import own_name, staged
+from corpusmill.llm.common import first_by_hash, own_name, staged
 from corpusmill.llm.components import connected_components
 
 SHINGLE = 4
@@ -164,11 +164,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id, in its own columns."""
+    """``docs`` with one document of each component, the one with the smallest id, in its own columns.
+
+    Of rows that agree in id and fingerprint the one with the smallest hash of all columns stays.
+    """
     members = near_duplicates(docs, doc_id, text)
     best = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp")).alias("k"))
     print_, key = own_name(docs, "fp"), own_name(docs, "key")
     named = lambda id_: F.coalesce(F.concat(F.lit("i"), id_.cast("string")), F.lit("n"))  # noqa: E731  a null id is a key too
     best = best.select(named(F.col("k.doc_id")).alias(key), F.col("k.fp").alias(print_))
     marked = docs.withColumn(print_, fingerprint(F.col(text))).withColumn(key, named(F.col(doc_id)))
-    return marked.join(best, [key, print_], "left_semi").dropDuplicates([key, print_]).drop(key, print_)
+    return first_by_hash(marked.join(best, [key, print_], "left_semi"), [key, print_], docs.columns)

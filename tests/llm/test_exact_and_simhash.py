@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from corpusmill.llm import exact, simhash
 
 DOCS = "doc_id long, text string, full_hash string, fp string, digest string"
@@ -75,6 +77,25 @@ def test_keep_one_row_of_each_group(spark, rows):
     assert sorted(map(bare, texts)) == sorted({bare(text) for _, text in rows})
 
 
+def test_the_map_goes_by_the_number_of_pairs_and_lengths_come_first(spark, monkeypatch):
+    monkeypatch.setattr(exact, "LEAST_BITS", 64)
+    docs = frame(spark, [(k, "x" * (k % 40) + str(k // 2 % 2)) for k in range(400)])
+    words, bits = exact.survivor_map(docs)
+    assert bits == 1024 and words.agg(F.sum(F.bit_count("word"))).first()[0] <= 40
+    lonely = frame(spark, [(k, "y" * k) for k in range(50)])
+    words, bits = exact.survivor_map(lonely)
+    assert bits == 64 and words.count() == 0
+    assert exact.exact_groups(docs).filter("kept").count() == 40
+
+
+def test_rows_that_agree_in_id_and_text_leave_the_same_row_each_time(spark):
+    rows = [(1, "same text", f"s{k}") for k in range(200)] + [(2, "sametext", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for keep in (exact.keep_one, simhash.keep_one):
+        runs = {tuple(sorted(map(tuple, keep(docs.repartition(n)).filter("doc_id = 1").collect()))) for n in (1, 3, 8)}
+        assert len(runs) == 1 and len(next(iter(runs))) == 1
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert exact.exact_groups(empty).count() == 0 and exact.keep_one(empty).count() == 0
