@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusmill.operators.snapshots import Generation, SnapshotLog
-from corpusmill.session import delete_path, path_exists, scratch_path
+from corpusmill.session import checkpointed, delete_path, list_names, path_exists, scratch_path
 
 BUCKET = "key_bucket"
 _DATA = "data"
@@ -48,11 +49,13 @@ def merge(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> Data
 class KeyedTable:
     """A parquet table with one row per key, kept current by upserts.
 
-    Rows live in hash buckets of their key. An upsert reads the buckets its batch touches, writes them anew to a
-    folder of their own and commits a generation that names the folder of every bucket. Readers see one generation;
-    a writer that fails before its commit leaves nothing but an unnamed folder. Of concurrent writers one commits
-    first: the others keep what they wrote if it touched none of the same buckets, else they merge again.
-    The number of buckets is kept with the generations; opening the table with another one is an error.
+    Rows live in hash buckets of their key. An upsert writes its batch by bucket to a folder of its own, puts the rows
+    of the touched buckets that it does not replace beside it, and commits a generation that names the folders of every
+    bucket. Readers see one generation; a writer that fails before its commit leaves nothing but an unnamed folder. Of
+    concurrent writers one commits first: the others keep what they wrote if it touched none of the same buckets, else
+    they merge again. The number of buckets is kept with the generations; opening the table with another one is an error.
+
+    Whole rows are shuffled only where a batch repeats keys, and where rows of a touched bucket stay; else keys alone are.
     """
 
     #: Times that a writer merges again when others were first.
@@ -83,7 +86,9 @@ class KeyedTable:
     def _at(self, generation: Generation | None, buckets: Sequence[int] | None = None) -> DataFrame:
         """The rows of a generation, or of some of its buckets; no other bucket's files are listed."""
         folders = generation.parts["folders"] if generation else {}
-        paths = [f"{self.path}/{folder}/{BUCKET}={bucket}" for bucket, folder in folders.items() if buckets is None or int(bucket) in buckets]
+        kept = generation.parts.get("kept", {}) if generation else {}
+        wanted = [bucket for bucket in folders if buckets is None or int(bucket) in buckets]
+        paths = [f"{self.path}/{places[bucket]}/{BUCKET}={bucket}" for places in (folders, kept) for bucket in wanted if places.get(bucket)]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self, generation: int | None = None) -> DataFrame:
@@ -100,50 +105,76 @@ class KeyedTable:
     def upsert(self, incoming: DataFrame, order: Sequence[str | Column] = ()) -> DataFrame:
         """Merge a batch and return it as stored (de-duplicated).
 
-        The batch is written beside the table first: whatever it costs to compute is paid once, and
-        the merge cannot see two versions of it.
+        The batch is written first, where it stays: whatever it costs to compute is paid once, and the merge
+        cannot see two versions of it.
         """
-        batch = self._batch(incoming, order)
-        return self._commit(lambda current: batch)
+        folder = self._batch(incoming, order)
+        return self._commit(lambda current: folder)
 
     def transact(self, decide: Callable[[DataFrame], DataFrame], order: Sequence[str | Column] = ()) -> DataFrame:
         """Upsert what ``decide`` makes of the table's rows; where another writer changed a bucket of it meanwhile, decide again."""
         return self._commit(lambda current: self._batch(decide(current), order))
 
-    def _batch(self, incoming: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-        require_columns(incoming, self.keys, self.path)
-        shaped = incoming.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+    def _write(self, rows: DataFrame, folder: str) -> None:
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        batch_path = scratch_path(self.spark, "batch")
-        latest_per_key(shaped, self.keys, order).withColumn(BUCKET, bucket).write.parquet(batch_path)
-        return self.spark.read.parquet(batch_path)
+        rows.select(*self.columns).withColumn(BUCKET, bucket).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+
+    def _written(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
 
-    def _commit(self, batch_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def _touched(self, folder: str) -> list[int]:
+        """The buckets that a folder holds rows of."""
+        return sorted(int(name.split("=")[1]) for name in list_names(self.spark, f"{self.path}/{folder}") if name.startswith(f"{BUCKET}="))
+
+    def _batch(self, incoming: DataFrame, order: Sequence[str | Column]) -> str:
+        """The folder of a batch with one row per key, written by bucket."""
+        require_columns(incoming, self.keys, self.path)
+        folder = f"{_DATA}/{uuid.uuid4().hex}"
+        self._write(incoming.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]), folder)
+        rows = self._written(folder)
+        repeated = rows.groupBy(*self.keys).agg(F.count("*").alias("n")).filter("n > 1").select(*[F.col(key).alias(f"{key}_again") for key in self.keys])
+        if repeated.isEmpty():
+            return folder
+        repeated = checkpointed(repeated)
+        # A null key equals a null key here, as it does in a grouping.
+        same = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(f"{key}_again")) for key in self.keys])
+        latest = latest_per_key(rows.join(repeated, same, "left_semi"), self.keys, order)
+        single = f"{_DATA}/{uuid.uuid4().hex}"
+        self._write(rows.join(repeated, same, "left_anti").unionByName(latest), single)
+        delete_path(self.spark, f"{self.path}/{folder}")
+        return single
+
+    def _commit(self, batch_of: Callable[[DataFrame], str]) -> DataFrame:
         for _ in range(self.ATTEMPTS):
             base = self._generation()
-            batch = batch_of(self._at(base).select(*self.columns))
-            # At most ``buckets`` values come back, whatever the batch holds.
-            touched = [row[0] for row in batch.select(BUCKET).distinct().collect()]
+            folder = batch_of(self._at(base).select(*self.columns))
+            batch, touched = self._written(folder).select(*self.columns), self._touched(folder)
             if not touched:
-                return batch.select(*self.columns)
-            bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-            folder = f"{_DATA}/{uuid.uuid4().hex}"
-            stored = self._at(base, touched).withColumn(BUCKET, bucket)
-            merge(stored, batch.select(*stored.columns), self.keys).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
-            if self._commit_folder(base, touched, folder):
-                return batch.select(*self.columns)
+                delete_path(self.spark, f"{self.path}/{folder}")
+                return self.spark.createDataFrame([], self.schema).select(*self.columns)
+            stored, incoming, kept = self._at(base, touched), batch.select(*self.keys), ""
+            # Keys decide first whether any stored row stays, so that replaced rows are not shuffled.
+            if base and not stored.select(*self.keys).join(incoming, self.keys, "left_anti").isEmpty():
+                kept = f"{folder}/_kept-{uuid.uuid4().hex}"
+                bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+                staying = stored.join(incoming, self.keys, "left_anti").withColumn(BUCKET, bucket)
+                self._write(staying.hint("rebalance", BUCKET).drop(BUCKET), kept)
+            if self._commit_folder(base, touched, folder, kept):
+                return batch
         raise RuntimeError(f"{self.path}: other writers were first {self.ATTEMPTS} times")
 
-    def _commit_folder(self, base: Generation | None, touched: list[int], folder: str) -> bool:
-        """Name the folder for the touched buckets in the next generation; False if one of them has changed since ``base``."""
+    def _commit_folder(self, base: Generation | None, touched: list[int], folder: str, kept: str = "") -> bool:
+        """Name the folders for the touched buckets in the next generation; False if one of them has changed since ``base``."""
         before = base.parts["folders"] if base else {}
+        staying = set(self._touched(kept)) if kept else set()
         while True:
             latest = self._generation()
             now = latest.parts["folders"] if latest else {}
             if any(now.get(str(bucket)) != before.get(str(bucket)) for bucket in touched):
                 return False
             folders = {**now, **{str(bucket): folder for bucket in touched}}
-            if self.log.commit(latest.number + 1 if latest else 0, {"buckets": self.buckets, "folders": folders}):
+            rest = {**(latest.parts.get("kept", {}) if latest else {}), **{str(bucket): kept if bucket in staying else "" for bucket in touched}}
+            if self.log.commit(latest.number + 1 if latest else 0, {"buckets": self.buckets, "folders": folders, "kept": rest}):
                 return True
 
 
