@@ -162,6 +162,10 @@ LAYER_CHUNKS_SQL = [*LAYERED_SQL, *sql_chunks("layered")]
 # --- log lines ------------------------------------------------------------------------------------
 
 
+#: Lines that a task gets; markers take some 0.15 ms a line.
+LINES_PER_TASK = 100_000
+
+
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """A report line per event, with every family of markers in it."""
     n = F.col("event_id")
@@ -176,7 +180,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(" again HTTP "), (500 + n % 5).cast("string"), F.lit(" on "), day,
     )
     events = table(spark, folder, "events")
-    return spread(events.select("event_id", "ts", "value")).select(n.cast("string").alias("source_id"), line.alias("text"), n.alias("event_id"))
+    return spread(events.select("event_id", "ts", "value"), LINES_PER_TASK).select(n.cast("string").alias("source_id"), line.alias("text"), n.alias("event_id"))
 
 
 LOG_SQL = (
