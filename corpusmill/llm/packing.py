@@ -28,13 +28,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusmill.llm.common import staged
+from corpusmill.llm.common import releasing, staged
 
 SEQUENCE = 2048
 #: Stems whose ids a worker remembers; once so many are known, later ones are encoded anew in each block.
 MEMO = 200_000
 #: Bytes of text that are encoded together, and rows that are cut into pieces together.
-BLOCK, ROWS = 2_000_000, 512
+BLOCK, ROWS = 1_000_000, 512
+#: Words that the tokenizer gets in one call; what it returns takes some hundred bytes a word.
+CALL = 4_096
 _TOKENS = "doc_id {}, part int, spot long, tokens int, tail int, rank long, full_before long, ids binary"
 _PIECES = "doc_id {}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -51,7 +53,7 @@ class _Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.by_word = _keeps_words_apart(json.loads(self.tokenizer.to_str()))
+        self.by_word = _keeps_words_apart(_told(self.tokenizer))
         #: Stems by number, their ids one after the other; number 0 has none.
         self.stems = pa.array([""])
         self.flat, self.counts = np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
@@ -63,15 +65,16 @@ class _Encoder:
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
-        coded = [np.array(one.ids, dtype=np.uint32) for one in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        calls = (texts[at : at + CALL] for at in range(0, len(texts), CALL))
+        coded = [np.array(one.ids, dtype=np.uint32) for call in calls for one in self.tokenizer.encode_batch_fast(call, add_special_tokens=False)]
         counts = np.fromiter(map(len, coded), np.int64, len(coded))
         return np.concatenate(coded) if coded else np.empty(0, dtype=np.uint32), counts
 
     def _lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for plain pieces, encoded as lines and told apart by the ids that end a piece."""
         ids, counts = [], []
-        for at in range(0, len(pieces), 4_096):
-            part = pieces[at : at + 4_096]
+        for at in range(0, len(pieces), CALL):
+            part = pieces[at : at + CALL]
             found, _ = self._ids(["\n".join(part)])
             ends = np.flatnonzero(self.ends[found])
             many = np.diff(ends, prepend=-1)
@@ -139,6 +142,15 @@ class _Encoder:
         return ids, np.diff(stops[2 * np.cumsum(per_text) + np.arange(len(texts))], prepend=0)
 
 
+def _told(tokenizer: Tokenizer) -> dict:
+    """What the tokenizer's description says of its steps, without the vocabulary."""
+    steps = {name: getattr(tokenizer, name) for name in ("normalizer", "pre_tokenizer")}
+    return {
+        **{name: json.loads(step.__getstate__()) if step else None for name, step in steps.items()},
+        "model": {"end_of_word_suffix": getattr(tokenizer.model, "end_of_word_suffix", None)},
+    }
+
+
 def _keeps_words_apart(told: dict) -> bool:
     """Whether the tokenizer's own description says that each word between white space is encoded by itself, in lower case."""
     steps = (told.get("normalizer") or {}).get("normalizers", [])
@@ -238,7 +250,7 @@ def tokenise(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text:
                 full += int(fulls[-1])
 
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return staged(chosen.mapInArrow(rows, _TOKENS.format(key)), "tokens")
+    return staged(chosen.mapInArrow(releasing(rows), _TOKENS.format(key)), "tokens")
 
 
 def plan_packs(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int, int, int]]:
@@ -351,4 +363,4 @@ def pack(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text: str
                 [batch.column(0).take(pa.array(source, pa.int32())), *made],
                 ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return joined.mapInArrow(pieces, _PIECES.format(key))
+    return joined.mapInArrow(releasing(pieces), _PIECES.format(key))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from corpusmill.llm.common import first_by_hash, own_name, staged
+from corpusmill.llm.common import first_by_hash, own_name, releasing, staged
 from corpusmill.llm.components import connected_components
 
 SHINGLE = 4
@@ -64,10 +64,12 @@ def fingerprint_bits(text: str | None) -> int:
 
 
 @F.pandas_udf(LongType())
-def fingerprint(texts: pd.Series) -> pd.Series:
+@releasing
+def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The fingerprint as a signed long with the same bits."""
-    unsigned = np.array([fingerprint_bits(text) for text in texts], dtype=np.uint64)
-    return pd.Series(unsigned.view(np.int64))
+    for texts in batches:
+        unsigned = np.array([fingerprint_bits(text) for text in texts], dtype=np.uint64)
+        yield pd.Series(unsigned.view(np.int64))
 
 
 def _stars(values: np.ndarray) -> Iterator[tuple[np.ndarray, np.uint64]]:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from corpusmill.llm.common import held_out, own_name
+from corpusmill.llm.common import held_out, own_name, releasing
 
 #: Labelled training documents that the lexicon and the weights are learnt from, at most (lowest hashes of the id).
 TRAIN_ROWS = 16_000
@@ -137,11 +137,13 @@ def features(text: str | None, model: Model) -> tuple[float, float]:
 def score(text: Column, model: Model) -> Column:
     """Probability-like score in [0, 1]; null and empty texts get the score of a text without hits."""
 
-    def scores(texts: pd.Series) -> pd.Series:
+    @releasing
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bias, amount, density = model.weights
-        rows = [features(value, model) for value in texts]
-        z = np.array([bias + amount * a + density * b for a, b in rows], dtype=float)
-        return pd.Series(1.0 / (1.0 + np.exp(-z)))
+        for texts in batches:
+            rows = [features(value, model) for value in texts]
+            z = np.array([bias + amount * a + density * b for a, b in rows], dtype=float)
+            yield pd.Series(1.0 / (1.0 + np.exp(-z)))
 
     return F.pandas_udf(scores, DoubleType())(text)
 
@@ -191,7 +193,7 @@ def _phrases(model: Model):
 
 def _learnt_exceptions(train: DataFrame, model: Model) -> Model:
     """The model with the phrases round a hit that several clean documents hold and no toxic one."""
-    phrases = train.mapInPandas(_phrases(model), "phrase string, toxic int").groupBy("phrase").agg(
+    phrases = train.mapInPandas(releasing(_phrases(model)), "phrase string, toxic int").groupBy("phrase").agg(
         F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
     rows = phrases.where((F.col("toxic") == 0) & (F.col("n") >= EXCUSES)).orderBy(F.desc("n"), "phrase").limit(LEXICON_ROWS).collect()
     return replace(model, exceptions=(*model.exceptions, *sorted(row["phrase"] for row in rows)))
@@ -212,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     id or label teach nothing; of repeated labels the larger counts.
     """
     train = training_rows(docs, labels, rows).cache()
-    words = train.mapInPandas(_words, "word string, before string, toxic int")
+    words = train.mapInPandas(releasing(_words), "word string, before string, toxic int")
     words = words.groupBy("word", "before").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
     words = words.groupBy("word").agg(
         F.sum("toxic").alias("toxic"), F.sum("n").alias("n"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("contexts"))
@@ -233,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             rows = [features(text, model) for text in frame["text"]]
             yield pd.DataFrame(rows, columns=["a", "b"]).assign(y=frame["toxic"].to_numpy())
 
-    table = train.mapInPandas(measured, "a double, b double, y int").toPandas()  # at most ``rows`` rows of three numbers
+    table = train.mapInPandas(releasing(measured), "a double, b double, y int").toPandas()  # at most ``rows`` rows of three numbers
     train.unpersist()
     return Model(model.entries, model.exceptions, _fit(table)) if table["y"].nunique() > 1 else model
 
