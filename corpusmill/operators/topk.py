@@ -6,18 +6,19 @@ best rows per query, so no (query, vector) pair is ever a row and the table itse
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from corpusmill.session import scratch_path
+from corpusmill.session import scratch_path, spread
 
-# Queries that travel to every task at once, and scores held at once.
-ROUND = 4096
+# Queries that travel to every task at once (more if they are short, up to so many components), and scores held at once.
+ROUND, ROUND_COMPONENTS = 4096, 1 << 20
 SCORES = 4_000_000
 # Scores are ranked at this many decimals, so that equal vectors tie whatever block they were
 # multiplied in, and ties go to the smaller id.
@@ -42,23 +43,31 @@ class _Best:
         self.score = np.empty(0)
         self.ids: np.ndarray | None = None
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, asked: np.ndarray | None = None) -> None:
+    def add(
+        self, scores: np.ndarray, ids: np.ndarray, asked: np.ndarray | None = None, *, slack: float = 0.0,
+        exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+    ) -> None:
         """Scores are (queries, rows), of the queries ``asked`` if not all; -inf marks a pair that does not count.
 
         Scores of vectors with null or non-finite components do not count either, nor take a place among the k best.
+        With ``exact`` the scores are off by ``slack`` at most, and it gives those of the pairs that may be among the best.
         """
-        scores = np.where(np.isfinite(scores), scores, -np.inf)
-        cut = self.floor if asked is None else self.floor[asked]
-        if scores.shape[1] > self.k:
-            kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
-            cut = np.maximum(cut, kth)
-        local, row = np.nonzero((scores >= cut[:, None]) & np.isfinite(scores))
+        cut = self.floor.copy() if asked is None else self.floor[asked]
+        # Only queries without k scores yet need the block's own k-th best.
+        fresh = np.flatnonzero(np.isneginf(cut))
+        if len(fresh) and scores.shape[1] > self.k:
+            counted = np.where(np.isfinite(scores[fresh]), scores[fresh], -np.inf)
+            cut[fresh] = np.partition(counted, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k] - slack
+        local, row = np.nonzero(scores >= (cut - slack).astype(scores.dtype)[:, None])
+        found = exact(local, row) if exact else scores[local, row]
+        counts = np.isfinite(found) & (found >= cut[local])
+        local, row, found = local[counts], row[counts], found[counts]
         if not len(local):
             return
         query = local if asked is None else asked[local]
         known = ids[row] if self.ids is None else np.concatenate([self.ids, ids[row]])
         query = np.concatenate([self.query, query])
-        score = np.concatenate([self.score, scores[local, row]])
+        score = np.concatenate([self.score, found])
         order = np.lexsort((known, -score, query))
         query, score, known = query[order], score[order], known[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
@@ -78,7 +87,22 @@ def score_block(matrix: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndar
     return np.round(matrix @ block.T, SCORE_DECIMALS) + 0.0
 
 
-def query_matrix(vectors: list, metric: str) -> np.ndarray:
+def _add_cosines(best: _Best, queries: np.ndarray, rough: np.ndarray, vectors: np.ndarray, ids: np.ndarray, asked: np.ndarray) -> None:
+    """Scores of unit vectors: products in single precision pick the pairs that may count, these are scored like in :func:`score_block`."""
+    unit = query_matrix(vectors, "cosine")
+
+    def exact(local: np.ndarray, row: np.ndarray) -> np.ndarray:
+        steps = range(0, len(local), max(1, SCORES // max(1, unit.shape[1])))
+        parts = [slice(at, at + steps.step) for at in steps]
+        products = [np.einsum("ij,ij->i", queries[asked[local[part]]], unit[row[part]]) for part in parts]
+        return np.round(np.concatenate([np.empty(0), *products]), SCORE_DECIMALS) + 0.0
+
+    # Twice the rounding error of a product of unit vectors, and the rounding of scores.
+    slack = (unit.shape[1] + 8) * 2.0**-23 + 10.0**-SCORE_DECIMALS
+    best.add(rough[asked] @ unit.astype(np.float32).T, ids, asked, slack=slack, exact=exact)
+
+
+def query_matrix(vectors: list | np.ndarray, metric: str) -> np.ndarray:
     matrix = np.asarray(vectors, dtype=np.float64)
     if metric == "cosine":
         lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -128,6 +152,7 @@ def scan_top_k(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, known = shared.value
+        rough = queries.astype(np.float32) if metric == "cosine" else None
         best = _Best(len(queries), k)
         arrow_id = id_type
         for batch in batches:
@@ -139,7 +164,10 @@ def scan_top_k(
                 step = max(1, SCORES // max(1, len(asked)))
                 for start in range(0, len(rows), step):
                     part = rows[start : start + step]
-                    best.add(score_block(queries[asked], held[part], metric), ids[part], asked)
+                    if rough is not None:
+                        _add_cosines(best, queries, rough, held[part], ids[part], asked)
+                    else:
+                        best.add(score_block(queries[asked], held[part], metric), ids[part], asked)
         if best.ids is not None:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(best.query, pa.int32()), pa.array(best.ids.tolist(), arrow_id), pa.array(best.score)],
@@ -179,17 +207,37 @@ def query_rounds(queries: DataFrame, columns: list[str], query_id: str, query_em
             yield rows, rounds
 
 
+def _distinct_rounds(
+    queries: DataFrame, asked: list[str], query_embedding: str, size: int | None,
+) -> Iterator[tuple[list, DataFrame, int]]:
+    """The distinct (vector, scope) of the queries in rounds, dealt by their hash, each with the queries that ask them and the number of rounds."""
+    part = F.xxhash64(*asked)
+    lengths = queries.agg(
+        F.count("*").alias("n"), F.min(F.size(query_embedding)).alias("low"), F.max(F.size(query_embedding)).alias("high"),
+        F.approx_count_distinct(part, 0.01).alias("distinct")).first()
+    if lengths["n"] and lengths["low"] != lengths["high"]:
+        raise ValueError(f"queries have different dimensions: {lengths['low']} to {lengths['high']}")
+    size = size or max(ROUND, ROUND_COMPONENTS // max(1, lengths["high"] or 1))
+    rounds = -(-min(lengths["n"], lengths["distinct"]) // size)
+    for number in range(rounds):
+        mine = queries.filter(F.pmod(part, F.lit(rounds)) == number)
+        rows = mine.select(*asked).distinct().collect()
+        if rows:
+            yield rows, mine, rounds
+
+
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int, *, vector_id: str = "chunk_id", query_id: str = "query_id",
     embedding: str = "embedding", query_embedding: str = "query_embedding", metric: str = "cosine",
-    scope: str | None = None, query_scope: str | None = None, round_size: int = ROUND,
+    scope: str | None = None, query_scope: str | None = None, round_size: int | None = None,
 ) -> DataFrame:
     """Best ``k`` vectors for every query: ``query_id, vector_id, score, rank``.
 
     With ``scope`` a query only meets rows whose scope equals its own; a null query scope meets all. Vectors of
     another size than the queries' are left out. Queries travel to the scan in rounds, so any number of them
-    is answered without a copy or a shuffle of the vectors. Of several rounds each is written before the next is
-    asked for, so the driver holds the queries of one.
+    is answered without a copy of the vectors; a table in fewer files than cores is spread. Equal query vectors (of one
+    scope) are scored once, whatever their ids. Of several rounds each is written before the next is asked for, so the
+    driver holds the vectors of one.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r} (use one of {METRICS})")
@@ -199,9 +247,11 @@ def top_k(
     if k < 1:
         return found
     scoped = bool(scope and query_scope)
-    columns = [query_id, query_embedding] + ([query_scope] if scoped else [])
+    asked = [query_embedding] + ([query_scope] if scoped else [])
+    queries = queries.select(*dict.fromkeys([query_id, *asked]))
     answers = []
-    for rows, rounds in query_rounds(queries, columns, query_id, query_embedding, round_size):
+    vectors = spread(vectors.select(*dict.fromkeys([vector_id, embedding, *([scope] if scoped else [])])))
+    for rows, mine, rounds in _distinct_rounds(queries, asked, query_embedding, round_size):
         members, reached = None, vectors
         if scoped:
             members = {}
@@ -213,9 +263,15 @@ def top_k(
         partial = scan_top_k(
             reached, query_matrix([row[query_embedding] for row in rows], metric), k, vector_id=vector_id, embedding=embedding,
             metric=metric, group=scope if scoped else None, members=members)
-        answer = named(rank(partial, k, "query_no", vector_id), [row[query_id] for row in rows], query_id, query_type, vector_id)
+        numbers = spark.createDataFrame(
+            [(number, *row) for number, row in enumerate(rows)],
+            StructType([StructField("query_no", IntegerType()), *[StructField(f"{name}_", queries.schema[name].dataType) for name in asked]]))
+        # A null scope is a scope of its own here, and equals itself.
+        same = reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(f"{name}_")) for name in asked])
+        ids = mine.join(F.broadcast(numbers), same).select(query_id, "query_no")
+        answer = rank(partial, k, "query_no", vector_id).join(ids, "query_no").select(query_id, vector_id, "score", "rank")
         answers.append(answer if rounds == 1 else written(answer))
-        del partial, answer
+        del partial, answer, numbers, ids
     return reduce(DataFrame.unionByName, answers, found)
 
 
