@@ -46,18 +46,28 @@ def merge(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> Data
     return untouched.unionByName(incoming)
 
 
+def _places(kept: dict, bucket: str) -> list[str]:
+    """The earlier folders of a bucket; generations of before named one or none."""
+    places = kept.get(bucket) or []
+    return [places] if isinstance(places, str) else places
+
+
 class KeyedTable:
     """A parquet table with one row per key, kept current by upserts.
 
-    Rows live in hash buckets of their key. An upsert writes its batch by bucket to a folder of its own, puts the rows
-    of the touched buckets that it does not replace beside it, and commits a generation that names the folders of every
-    bucket. Readers see one generation; a writer that fails before its commit leaves nothing but an unnamed folder. Of
+    Rows live in hash buckets of their key. An upsert writes its batch by bucket to a folder of its own and commits a
+    generation that names the folders of every bucket. Of the earlier folders of a touched bucket, those without a replaced
+    row stay where they are, those with replaced rows alone are named no more, and only of the others, or of more than
+    ``FOLDERS``, the rows that stay are written again, beside the batch. Readers see one generation; a writer that fails before its commit leaves nothing but an unnamed folder. Of
     concurrent writers one commits first: the others keep what they wrote if it touched none of the same buckets, else
     they merge again. The number of buckets is kept with the generations; opening the table with another one is an error.
 
-    Whole rows are shuffled only where a batch repeats keys, and where rows of a touched bucket stay; else keys alone are.
+    Whole rows are shuffled only where a batch repeats keys, and where a folder loses some of its rows; else keys alone are.
     """
 
+    #: Earlier folders of a bucket that stay beside a batch at most.
+    FOLDERS = 8
+
     #: Times that a writer merges again when others were first.
     ATTEMPTS = 20
 
@@ -88,7 +98,11 @@ class KeyedTable:
         folders = generation.parts["folders"] if generation else {}
         kept = generation.parts.get("kept", {}) if generation else {}
         wanted = [bucket for bucket in folders if buckets is None or int(bucket) in buckets]
-        paths = [f"{self.path}/{places[bucket]}/{BUCKET}={bucket}" for places in (folders, kept) for bucket in wanted if places.get(bucket)]
+        return self._of([(place, int(bucket)) for bucket in wanted for place in (folders[bucket], *_places(kept, bucket))])
+
+    def _of(self, places: Sequence[tuple[str, int]]) -> DataFrame:
+        """The rows that lie in these folders and buckets."""
+        paths = [f"{self.path}/{place}/{BUCKET}={bucket}" for place, bucket in places]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self, generation: int | None = None) -> DataFrame:
@@ -100,7 +114,12 @@ class KeyedTable:
 
     def vacuum(self, keep: int = 1) -> None:
         """Delete what only generations before the latest ``keep`` need."""
-        self.log.vacuum(keep, lambda parts: set(parts["folders"].values()), _DATA)
+        def named(parts: dict) -> set[str]:
+            kept = parts.get("kept", {})
+            # Rows that stayed lie in the folder of a batch, or below it.
+            return set(parts["folders"].values()) | {"/".join(place.split("/")[:2]) for bucket in kept for place in _places(kept, bucket)}
+
+        self.log.vacuum(keep, named, _DATA)
 
     def upsert(self, incoming: DataFrame, order: Sequence[str | Column] = ()) -> DataFrame:
         """Merge a batch and return it as stored (de-duplicated).
@@ -117,7 +136,7 @@ class KeyedTable:
 
     def _write(self, rows: DataFrame, folder: str) -> None:
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        rows.select(*self.columns).withColumn(BUCKET, bucket).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        rows.select(*self.columns).withColumn(BUCKET, bucket).write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{self.path}/{folder}")
 
     def _written(self, folder: str) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
@@ -152,28 +171,54 @@ class KeyedTable:
             if not touched:
                 delete_path(self.spark, f"{self.path}/{folder}")
                 return self.spark.createDataFrame([], self.schema).select(*self.columns)
-            stored, incoming, kept = self._at(base, touched), batch.select(*self.keys), ""
-            # Keys decide first whether any stored row stays, so that replaced rows are not shuffled.
-            if base and not stored.select(*self.keys).join(incoming, self.keys, "left_anti").isEmpty():
+            staying, mixed = self._staying(base, touched, batch.select(*self.keys))
+            if mixed:
                 kept = f"{folder}/_kept-{uuid.uuid4().hex}"
                 bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-                staying = stored.join(incoming, self.keys, "left_anti").withColumn(BUCKET, bucket)
-                self._write(staying.hint("rebalance", BUCKET).drop(BUCKET), kept)
-            if self._commit_folder(base, touched, folder, kept):
+                rest = self._of(mixed).join(batch.select(*self.keys), self.keys, "left_anti").withColumn(BUCKET, bucket)
+                self._write(rest.hint("rebalance", BUCKET).drop(BUCKET), kept)
+                for number in self._touched(kept):
+                    staying[number].append(kept)
+            if self._commit_folder(base, touched, folder, staying):
                 return batch
         raise RuntimeError(f"{self.path}: other writers were first {self.ATTEMPTS} times")
 
-    def _commit_folder(self, base: Generation | None, touched: list[int], folder: str, kept: str = "") -> bool:
+    def _staying(self, base: Generation | None, touched: list[int], incoming: DataFrame) -> tuple[dict[int, list[str]], list[tuple[str, int]]]:
+        """Of each touched bucket the folders that stay as they are, and the (folder, bucket) whose rows are to be written again.
+
+        Keys decide, so that neither replaced rows nor untouched ones are read or shuffled.
+        """
+        folders, kept = (base.parts["folders"], base.parts.get("kept", {})) if base else ({}, {})
+        stored = [(place, bucket) for bucket in touched if str(bucket) in folders for place in (folders[str(bucket)], *_places(kept, str(bucket)))]
+        staying: dict[int, list[str]] = {bucket: [] for bucket in touched}
+        if not stored:
+            return staying, []
+        file = F.col("_metadata.file_path")
+        keys = self._of(stored).select(
+            *self.keys, F.regexp_extract(file, rf"({_DATA}/[^/]+(?:/_kept-[^/]+)?)/{BUCKET}=\d+/[^/]+$", 1).alias("place_"),
+            F.regexp_extract(file, rf"/{BUCKET}=(\d+)/[^/]+$", 1).cast("int").alias(BUCKET))
+        # The batch has one row per key, so the join keeps the number of rows.
+        met = keys.join(incoming.withColumn("met_", F.lit(True)), self.keys, "left").groupBy("place_", BUCKET).agg(
+            F.count("*").alias("n"), F.count("met_").alias("met"))
+        counts = {(row["place_"], row[BUCKET]): (row["n"], row["met"]) for row in met.collect()}
+        mixed = []
+        for bucket in touched:
+            left = [place for place, of in stored if of == bucket and counts.get((place, bucket), (0, 0))[0] > counts.get((place, bucket), (0, 0))[1]]
+            whole = [place for place in left if not counts[place, bucket][1]]
+            staying[bucket] = whole if len(whole) <= self.FOLDERS else []
+            mixed += [(place, bucket) for place in left if place not in staying[bucket]]
+        return staying, mixed
+
+    def _commit_folder(self, base: Generation | None, touched: list[int], folder: str, staying: dict[int, list[str]]) -> bool:
         """Name the folders for the touched buckets in the next generation; False if one of them has changed since ``base``."""
         before = base.parts["folders"] if base else {}
-        staying = set(self._touched(kept)) if kept else set()
         while True:
             latest = self._generation()
             now = latest.parts["folders"] if latest else {}
             if any(now.get(str(bucket)) != before.get(str(bucket)) for bucket in touched):
                 return False
             folders = {**now, **{str(bucket): folder for bucket in touched}}
-            rest = {**(latest.parts.get("kept", {}) if latest else {}), **{str(bucket): kept if bucket in staying else "" for bucket in touched}}
+            rest = {**(latest.parts.get("kept", {}) if latest else {}), **{str(bucket): staying[bucket] for bucket in touched}}
             if self.log.commit(latest.number + 1 if latest else 0, {"buckets": self.buckets, "folders": folders, "kept": rest}):
                 return True
 
