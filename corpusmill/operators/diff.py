@@ -24,8 +24,8 @@ def _two_layers(chunks: DataFrame, from_version: int, to_version: int) -> DataFr
 
 
 def _counted(lines: DataFrame) -> DataFrame:
-    """changed, added and removed lines per source that has a row in ``lines``, from the ordered diff."""
-    changes = diff_rows(lines.filter(F.col("content").isNotNull())).groupBy("source_id").agg(
+    """changed, added and removed lines per source that has a row in ``lines`` (hashed), from the ordered diff."""
+    changes = _changes(lines.filter(F.col("line_hash").isNotNull())).groupBy("source_id").agg(
         F.count_if(F.col("op") == "+").alias("added"), F.count_if(F.col("op") == "-").alias("removed"))
     counts = lines.select("source_id").distinct().join(changes, "source_id", "left")
     added, removed = F.coalesce("added", F.lit(0)), F.coalesce("removed", F.lit(0))
@@ -35,7 +35,7 @@ def _counted(lines: DataFrame) -> DataFrame:
 
 def layer_diff_counts(chunks: DataFrame, from_version: int, to_version: int) -> DataFrame:
     """Counts of the ordered diff for every source that has both layers; a moved line is removed and added."""
-    counts = _counted(_in_both(_two_layers(chunks, from_version, to_version)))
+    counts = _counted(_in_both(_hashed(_two_layers(chunks, from_version, to_version))))
     return counts.select(
         "source_id", F.lit(from_version).alias("from_version"), F.lit(to_version).alias("to_version"),
         "changed", "added_lines", "removed_lines",
@@ -53,11 +53,11 @@ def text_diff_counts(texts: DataFrame, key: str, original: str, suggestion: str)
     sides = F.array(split_lines(F.col(original)), split_lines(F.col(suggestion)))
     both = texts.select(F.col(key).alias("source_id"), F.posexplode(sides).alias("at", "lines"))
     lines = both.select("source_id", (F.col("at") == 1).alias("is_new"), F.posexplode_outer("lines").alias("ordinal", "content"))
-    return _counted(lines).withColumnRenamed("source_id", key).select(key, "changed", "added_lines", "removed_lines")
+    return _counted(_hashed(lines)).withColumnRenamed("source_id", key).select(key, "changed", "added_lines", "removed_lines")
 
 
 def anchored_pieces(lines: DataFrame) -> DataFrame:
-    """Number the pieces of each source that can be diffed on their own.
+    """Number the pieces of each source that can be diffed on their own, from lines with their ``line_hash``.
 
     Adds ``piece``, ``cut`` (the line is its piece's anchor) and ``shared`` (it is in both layers).
     An anchor is a line found once in either layer such that every other such line before it in one
@@ -65,8 +65,7 @@ def anchored_pieces(lines: DataFrame) -> DataFrame:
     in windows over blocks of a source and never over a whole source. Steps that are read several
     times are checkpointed, or the plan would repeat them.
     """
-    hashed = lines.withColumn("line_hash", F.sha2("content", 256))
-    per_line = hashed.groupBy("source_id", "line_hash").agg(
+    per_line = lines.groupBy("source_id", "line_hash").agg(
         F.count_if(~F.col("is_new")).alias("o"), F.count_if("is_new").alias("n"),
         F.max(F.when(~F.col("is_new"), F.col("ordinal"))).alias("i"),
         F.max(F.when(F.col("is_new"), F.col("ordinal"))).alias("j"),
@@ -81,12 +80,12 @@ def anchored_pieces(lines: DataFrame) -> DataFrame:
     cuts = lowest.filter((F.col("max_j") == F.col("j")) & (F.col("min_j") == F.col("j"))).select(
         "source_id", "line_hash", F.lit(1).alias("cut")
     )
-    flagged = hashed.join(cuts, ["source_id", "line_hash"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    flagged = lines.join(cuts, ["source_id", "line_hash"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
     flagged = flagged.join(shared, ["source_id", "line_hash"], "left").withColumn("shared", F.col("shared").isNotNull())
     flagged = checkpointed(flagged)
     old = running(flagged.filter(~F.col("is_new")), "ordinal", "cut", F.sum)
     new = running(flagged.filter("is_new"), "ordinal", "cut", F.sum)
-    return checkpointed(old.unionByName(new).withColumnRenamed("sum_cut", "piece").drop("line_hash"))
+    return checkpointed(old.unionByName(new).withColumnRenamed("sum_cut", "piece"))
 
 
 def running(df: DataFrame, order: str, value: str, fold, backwards: bool = False, block: int = 4096) -> DataFrame:
@@ -236,28 +235,49 @@ def matched(old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(np.concatenate(left)), np.sort(np.concatenate(right))
 
 
+def _hashed(lines: DataFrame, *columns: str) -> DataFrame:
+    """Lines with the hash of their content (128 bits) and a ``line`` number of their own, written once; the content
+    stays there if ``columns`` names it. What follows moves numbers and hashes only."""
+    found = F.unhex(F.substring(F.sha2("content", 256), 1, 32))
+    return checkpointed(lines.select(
+        "source_id", "ordinal", "is_new", found.alias("line_hash"), F.monotonically_increasing_id().alias("line"), *columns))
+
+
 def diff_rows(lines: DataFrame) -> DataFrame:
-    """Changed lines ``source_id, piece, seq, op, ordinal, content`` from (source_id, ordinal, content, is_new).
+    """Changed lines ``source_id, piece, seq, op, ordinal, content`` from (source_id, ordinal, content, is_new)."""
+    return _with_content(_hashed(lines, "content"))
+
+
+def _with_content(stored: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """The changes of the stored lines, or of those ``lines`` of them, with their contents."""
+    # Joined by the side as well, so that whoever asks for one side's rows moves the contents of that side only.
+    op = F.when(F.col("is_new"), "+").otherwise("-").alias("op")
+    return _changes(stored if lines is None else lines).join(stored.select("line", op, "content"), ["op", "line"]).select(
+        "source_id", "piece", "seq", "op", "ordinal", "content")
+
+
+def _changes(stored: DataFrame) -> DataFrame:
+    """Changed lines ``source_id, piece, seq, op, ordinal, line`` of hashed ones.
 
     A piece whose lines, its anchor aside, have no counterpart on the other side needs no alignment: its old
     lines go and its new ones come. Pieces with repeated or moved lines are aligned by their lines' hashes, one
     piece or PIECE_LINES of it in a task. ``ordinal`` is the place of the line on its own side.
     """
-    keys, kind = ["source_id", "piece"], lines.schema["source_id"].dataType.simpleString()
-    pieces = anchored_pieces(lines.select("source_id", "ordinal", "content", "is_new")).filter("cut = 0")
+    keys, kind = ["source_id", "piece"], stored.schema["source_id"].dataType.simpleString()
+    pieces = anchored_pieces(stored.select("source_id", "ordinal", "is_new", "line_hash", "line")).filter("cut = 0")
     pieces = pieces.withColumn("ordinal", F.col("ordinal").cast("long"))
     tangled = pieces.filter("shared").select(*keys).distinct()
     plain = pieces.join(tangled, keys, "left_anti").select(
         *keys, (F.col("ordinal") + F.when(F.col("is_new"), _AFTER).otherwise(0)).alias("seq"),
-        F.when(F.col("is_new"), "+").otherwise("-").alias("op"), "ordinal", "content",
+        F.when(F.col("is_new"), "+").otherwise("-").alias("op"), "ordinal", "line",
     )
-    inside = checkpointed(pieces.join(tangled, keys, "left_semi").select(*keys, "ordinal", "is_new", "content"))
+    inside = checkpointed(pieces.join(tangled, keys, "left_semi").select(*keys, "ordinal", "is_new", "line_hash", "line"))
     # The lines of a piece are one run of places on each side; a long piece is cut at the same share of both.
     extent = inside.groupBy(*keys, "is_new").agg(F.min("ordinal").alias("first"), (F.max("ordinal") - F.min("ordinal") + 1).alias("span"), F.count("*").alias("n"))
     whole = extent.groupBy(*keys).agg(F.ceil(F.sum("n") / PIECE_LINES).alias("parts"))
     part = F.expr("((ordinal - first) * parts) div span").alias("part")
     hashed = inside.join(extent.join(whole, keys), [*keys, "is_new"]).select(
-        *keys, part, "ordinal", "is_new", F.substring(F.sha2("content", 256), 1, 32).alias("line_hash"))
+        *keys, part, "ordinal", "is_new", "line_hash")
 
     def align(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("ordinal")
@@ -274,9 +294,9 @@ def diff_rows(lines: DataFrame) -> DataFrame:
         return frame[["op", "ordinal"]].assign(source_id=key[0], piece=key[1], seq=seq)
 
     changes = hashed.groupBy(*keys, "part").applyInPandas(align, f"source_id {kind}, piece long, seq long, op string, ordinal long")
-    text = inside.select(*keys, F.when(F.col("is_new"), "+").otherwise("-").alias("op"), "ordinal", "content")
-    aligned = changes.join(text, [*keys, "op", "ordinal"]).select(*keys, "seq", "op", "ordinal", "content")
-    return plain.unionByName(aligned)
+    numbers = inside.select(*keys, F.when(F.col("is_new"), "+").otherwise("-").alias("op"), "ordinal", "line")
+    aligned = changes.join(numbers, [*keys, "op", "ordinal"]).select(*keys, "seq", "op", "ordinal", "line")
+    return checkpointed(plain.unionByName(aligned))
 
 
 def diff_lines(chunks: DataFrame, from_version: int, to_version: int) -> DataFrame:
@@ -284,22 +304,27 @@ def diff_lines(chunks: DataFrame, from_version: int, to_version: int) -> DataFra
 
     Sorted by ``piece, seq`` the rows turn the old layer into the new one; :func:`apply_diff` does so.
     """
-    return diff_rows(_in_both(_two_layers(chunks, from_version, to_version)))
+    stored = _hashed(_two_layers(chunks, from_version, to_version), "content")
+    return _with_content(stored, _in_both(stored.drop("content")))
 
 
 def apply_diff(old: DataFrame, rows: DataFrame) -> DataFrame:
     """(source_id, ordinal, content) of the new layer from the old one's and the rows of a diff.
 
     Added lines have their places; the kept lines, in order, fill the places that are left. Both orders are
-    counted over blocks of a source.
+    counted over blocks of a source, from the places of lines alone.
     """
-    removed = rows.filter("op = '-'").select("source_id", "ordinal")
+    marks = checkpointed(rows.select("source_id", "op", "ordinal"))
+    removed, taken = (marks.filter(F.col("op") == op).select("source_id", "ordinal") for op in ("-", "+"))
     added = rows.filter("op = '+'").select("source_id", "ordinal", "content")
-    kept = old.select("source_id", F.col("ordinal").cast("long").alias("ordinal"), "content").join(removed, ["source_id", "ordinal"], "left_anti")
-    sizes = kept.select("source_id").unionByName(added.select("source_id")).groupBy("source_id").agg(F.count("*").alias("n"))
+    lines = checkpointed(old.select(
+        "source_id", F.col("ordinal").cast("long").alias("ordinal"), F.monotonically_increasing_id().alias("line"), "content"))
+    kept = lines.select("source_id", "ordinal", "line").join(removed, ["source_id", "ordinal"], "left_anti")
+    sizes = kept.select("source_id").unionByName(taken.select("source_id")).groupBy("source_id").agg(F.count("*").alias("n"))
     places = sizes.select("source_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("ordinal"))
-    free = places.join(added, ["source_id", "ordinal"], "left_anti")
+    free = places.join(taken, ["source_id", "ordinal"], "left_anti")
     rank = lambda df: running(checkpointed(df.withColumn("one", F.lit(1))), "ordinal", "one", F.sum).withColumnRenamed("sum_one", "rank")
-    filled = rank(kept).select("source_id", "rank", "content").join(
+    filled = rank(kept).select("source_id", "rank", "line").join(
         rank(free).select("source_id", "rank", "ordinal"), ["source_id", "rank"])
-    return filled.select("source_id", "ordinal", "content").unionByName(added)
+    contents = filled.join(lines.select("line", "content"), "line").select("source_id", "ordinal", "content")
+    return contents.unionByName(added)

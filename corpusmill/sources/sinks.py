@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill import schemas
 from corpusmill.functions.ids import json_string
 from corpusmill.operators.topk import check_dimensions
 from corpusmill.operators.upsert import KeyedTable
+from corpusmill.session import delete_path, path_exists
 
 
 def overwrite_parquet(df: DataFrame, path: str) -> None:
@@ -27,13 +28,17 @@ def write_gold(chunks: DataFrame, path: str, fmt: str = "parquet") -> None:
     """
     if fmt not in GOLD_FORMATS:
         raise ValueError(f"unknown gold format {fmt!r} (use one of {sorted(GOLD_FORMATS)})")
-    if chunks.isEmpty():
-        raise ValueError("no chunks to write")
-    flat = chunks.withColumn("metadata", F.to_json("metadata"))
+    # Counted while they are written: asking first would compute chunks twice.
+    existed, seen = path_exists(chunks.sparkSession, path), Observation()
+    flat = chunks.withColumn("metadata", F.to_json("metadata")).observe(seen, F.count(F.lit(1)).alias("n"))
     (
         flat.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("layer_version").format(GOLD_FORMATS[fmt]).save(path)
+        .options(**({"compression": "zstd"} if fmt == "parquet" else {})).partitionBy("layer_version").format(GOLD_FORMATS[fmt]).save(path)
     )
+    if not seen.get["n"]:
+        if not existed:
+            delete_path(chunks.sparkSession, path)
+        raise ValueError("no chunks to write")
 
 
 def silver_table(spark: SparkSession, path: str, **options) -> KeyedTable:
