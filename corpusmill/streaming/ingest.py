@@ -53,7 +53,8 @@ def table_store(objects: DataFrame) -> Fetch:
     """Objects kept in a table ``(bucket, key, content)``."""
 
     def fetch(tasks: DataFrame) -> DataFrame:
-        found = tasks.select("bucket", "key").join(objects, ["bucket", "key"], "left")
+        # The tasks' side is hashed: objects are not sorted, which would spill their contents.
+        found = tasks.select("bucket", "key").hint("shuffle_hash").join(objects, ["bucket", "key"], "left")
         missing = F.when(F.col("content").isNull(), F.lit("no such object"))
         return found.select("bucket", "key", "content", missing.alias("fetch_error"))
 
