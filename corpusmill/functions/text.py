@@ -25,6 +25,11 @@ ANY_SPACE = LINE_SPACE + "\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85"
 SENTENCE_BREAK = rf"(?<=[.!?])[{ANY_SPACE}]+(?=[A-Z0-9\"'(\[])"
 PARAGRAPH_BREAK = r"\n[ \t]*\n+"
 
+# Fixed value: one range, which settles most text: nothing up to here composes with each other.
+BEYOND_LATIN = r"[^\x00-\u02ff]"
+# Fixed value: the control characters up to there, \p{C} without newline and tab, one by one: Java looks these up in a table.
+LATIN_CONTROLS = "[" + "".join(f"\\x{c:02x}" for c in (*range(9), *range(11, 32), *range(127, 160), 173)) + "]"
+
 # Code points that composition never changes, alone or next to each other. Text made only of these
 # is composed already.
 COMPOSED_ONLY = (
@@ -40,9 +45,13 @@ def _compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def compose(text: Column) -> Column:
     """Unicode NFC. Only text with a code point that may compose travels to Python."""
-    # The first test is one range and settles most text; the second is several times slower.
-    may_change = text.rlike(r"[^\x00-\u02ff]") & text.rlike(f"[^{COMPOSED_ONLY}]")
-    return F.coalesce(_compose(F.when(may_change, text)), text)
+    return F.coalesce(_compose(_composable(text)), text)
+
+
+def _composable(text: Column) -> Column:
+    """The text if a code point of it may compose, else null."""
+    # The second test is several times slower than the first.
+    return let(text, lambda t: F.when(t.rlike(BEYOND_LATIN) & t.rlike(f"[^{COMPOSED_ONLY}]"), t))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,6 +73,13 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(ANY_SPACE))
 
 
+def _trim_bound(text: Column, spaces: str) -> Column:
+    """``btrim`` of a bound variable. Spark trims the right side by a list of all characters, so text whose last byte is
+    printable ASCII, hence no space, is trimmed on the left only."""
+    ends_in_print = F.substring(text.cast("binary"), -1, 1).between(F.lit(b"!"), F.lit(b"~"))
+    return F.when(ends_in_print, F.ltrim(text, F.lit(spaces))).otherwise(F.btrim(text, F.lit(spaces)))
+
+
 def rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(ANY_SPACE))
 
@@ -72,12 +88,31 @@ def clean_text(text: Column) -> Column:
     """Canonical text: one newline style, no control characters, composed, tidy white space.
 
     Control characters go before composition, so a letter and an accent they kept apart can join;
-    that order makes the function idempotent and the ids derived from it stable.
+    that order makes the function idempotent and the ids derived from it stable. A replacement runs
+    only on texts that hold what it replaces, where a search for a fixed string or one range tells.
     """
-    visible = F.regexp_replace(unify_newlines(text), r"[\p{C}&&[^\n\t]]", "")
-    single_spaced = F.regexp_replace(compose(visible), "[ \t]+", " ")
-    lines = F.transform(F.split(single_spaced, "\n"), lambda line: F.btrim(line, F.lit(LINE_SPACE)))
-    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    composed = F.coalesce(_compose(F.when(text.rlike(BEYOND_LATIN), _composable(_visible(text)))), _visible(text))
+
+    def single_spaced(t: Column) -> Column:
+        return F.when(t.contains("\t") | t.contains("  "), F.regexp_replace(t, "[ \t]+", " ")).otherwise(t)
+
+    def tidy_lines(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, "\n"), lambda line: _trim_bound(line, LINE_SPACE)), "\n")
+
+    def tidy_breaks(t: Column) -> Column:
+        return F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+
+    tidied = let(let(let(composed, single_spaced), tidy_lines), tidy_breaks)
+    return let(tidied, lambda t: _trim_bound(t, ANY_SPACE))
+
+
+def _visible(text: Column) -> Column:
+    """One newline style and no control characters."""
+
+    def shown(t: Column) -> Column:
+        return F.when(t.rlike(BEYOND_LATIN), F.regexp_replace(t, r"[\p{C}&&[^\n\t]]", "")).otherwise(F.regexp_replace(t, LATIN_CONTROLS, ""))
+
+    return let(let(text, lambda t: F.when(t.contains("\r"), unify_newlines(t)).otherwise(t)), shown)
 
 
 def clean_ascii_controls(text: Column) -> Column:
@@ -88,7 +123,12 @@ def clean_ascii_controls(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Blank-line separated paragraphs, trimmed, none of them empty."""
-    return F.filter(F.transform(F.split(text, PARAGRAPH_BREAK), strip), lambda part: part != "")
+
+    def cut(t: Column) -> Column:
+        parts = F.when(~t.contains("\n"), F.array(t)).otherwise(F.split(t, PARAGRAPH_BREAK))
+        return F.filter(F.transform(parts, lambda part: _trim_bound(part, ANY_SPACE)), lambda part: part != "")
+
+    return let(text, cut)
 
 
 def sentences(text: Column) -> Column:
@@ -98,7 +138,7 @@ def sentences(text: Column) -> Column:
     trimming of their own.
     """
     return let(
-        strip(text),
+        let(text, lambda t: _trim_bound(t, ANY_SPACE)),
         lambda whole: F.when(whole == "", F.array().cast("array<string>")).otherwise(F.split(whole, SENTENCE_BREAK)),
     )
 

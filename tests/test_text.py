@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 
 import pytest
@@ -50,6 +51,35 @@ def test_code_points_left_to_the_jvm_never_compose():
             assert f"{code:04X}" not in second, hex(code)
 
 
+def cleaned(body):
+    """The cleaning rule in plain Python, to check the gated replacements against."""
+    body = re.sub(r"\r\n?", "\n", body)
+    body = "".join(c for c in body if c in "\n\t" or not unicodedata.category(c).startswith("C"))
+    body = re.sub("[ \t]+", " ", unicodedata.normalize("NFC", body))
+    body = "\n".join(line.strip(text.LINE_SPACE) for line in body.split("\n"))
+    return re.sub(r"\n{3,}", "\n\n", body).strip(text.ANY_SPACE)
+
+
+def test_clean_text_equals_the_plain_rule_for_every_latin_character_and_edge(spark):
+    odd = [chr(c) for c in range(0x300)] + list(text.ANY_SPACE) + ["\u200d", "\ue000", "\ufeff", "\u0301", "\U0001f600", "\U000e0001", "\u4e00", "  ", "\r\n\r\n\r"]
+    samples = ["", *odd, *(f"e{c}a" for c in odd), *(f"{c}two words.{c}" for c in odd), *(f"日a{c}\n{c}b!{c}" for c in odd)]
+    assert values(spark, [*samples, None], text.clean_text) == [*map(cleaned, samples), None]
+
+
+def test_paragraphs_and_sentences_are_trimmed_of_every_space(spark):
+    samples = ["", "\n", *(f"{c}One.{c}Two.{c}\n\n{c}\n \t\n{c}Three?{c}" for c in text.ANY_SPACE), "é.", "no break", " é"]
+    parts = [[p for p in (q.strip(text.ANY_SPACE) for q in re.split(text.PARAGRAPH_BREAK, s)) if p] for s in samples]
+    assert values(spark, [*samples, None], text.paragraphs) == [*parts, None]
+    whole = [s.strip(text.ANY_SPACE) for s in samples]
+    assert values(spark, samples, text.sentences) == [re.split(text.SENTENCE_BREAK, s) if s else [] for s in whole]
+
+
+def test_cleaning_replaces_controls_twice_at_most(spark):
+    frame = spark.createDataFrame([("a",)], "x string").select(text.clean_text(F.col("x")).alias("c"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count(r"[\p{C}") <= 2
+
+
 def test_ascii_control_cleaning(spark):
     assert values(spark, [" a\x07b\r\nc   d\te \r"], text.clean_ascii_controls) == ["ab\nc d\te"]
 
