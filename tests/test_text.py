@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import ids, text
 from corpusmill.operators import chunking
+from corpusmill.plans import QUERIES
 
 
 def values(spark, items, expression, kind="string"):
@@ -169,6 +170,19 @@ def test_metadata_chunk_id(spark):
         frame.select(ids.metadata_chunk_id(F.lit(""))).collect()
 
 
+def test_documents_without_text_do_not_end_the_chunk_id_query(spark, tmp_path):
+    rows = [(1, "body", "en", "web"), (2, "", "de", "books"), (3, None, "fr", "news"), (4, "x", None, None), (4, "x", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["PRJ14_metadata_chunk_ids"](spark, str(tmp_path)).collect()
+
+    def hashed(body, **fields):
+        return hashlib.sha256(f"{body}␞{json.dumps(fields, sort_keys=True, separators=(',', ':'))}".encode()).hexdigest()
+
+    assert sorted((r.doc_id, r.chunk_id) for r in found) == [
+        (1, hashed("body", source="web", chunk_index=1)), (2, hashed("", source="books", chunk_index=2, section='Part "de"')),
+        (3, None), (4, hashed("x", chunk_index=4)), (4, hashed("x", chunk_index=4))]
+
+
 def test_prompt_key(spark):
     frame = spark.range(1).select(F.array(F.struct(
         F.lit("c1").alias("chunk_id"), F.lit(2).alias("layer_version"), F.lit("Pleistocene").alias("geological_age"))).alias("h"))
