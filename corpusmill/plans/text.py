@@ -66,10 +66,8 @@ def raw_scan(spark, folder):
     """Documents written as one marked file each (a final line break comes with it), found and read as raw files."""
     docs = I.documents(spark, folder)
     path = scratch_path(spark, "raw")
-    marked = docs.select("filename", F.concat(F.lit("\ufeff"), "text").alias("value"))
-    # Tasks move their own files into place; by default the driver moves them all, one after the other.
-    marked.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("filename").text(path)
-    raw = scans.read_raw_files(spark, path, "*.txt").withColumn("filename", F.regexp_extract("path", "filename=([^/]+)/", 1))
+    sinks.write_raw_files(docs.select("filename", F.concat(F.lit("\ufeff"), "text").alias("value")), path)
+    raw = scans.read_raw_files(spark, path, "*.txt").withColumn("filename", sinks.raw_name(F.col("path")))
     silver, _ = scans.extract_documents(raw, filename=F.col("filename"), content_type=F.lit("text/plain; charset=utf-8"))
     return silver.select(
         "doc_id", "filename", "char_count", F.col("metadata")["bytes"].alias("bytes"), F.col("metadata")["extractor"].alias("extractor")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import os
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +15,72 @@ from corpusmill import schemas
 from corpusmill.functions.ids import json_string
 from corpusmill.operators.topk import check_dimensions
 from corpusmill.operators.upsert import KeyedTable
-from corpusmill.session import delete_path, path_exists
+from corpusmill.session import delete_path, local_folder, path_exists
 
 
 def overwrite_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+#: Files that a folder of raw files holds at most.
+FOLDER_FILES = 4_096
+
+
+def write_raw_files(rows: DataFrame, path: str, name: str = "filename", value: str = "value") -> None:
+    """A text file per row with a final line break, below ``path``; rows of a task with one name share a file.
+
+    Spark's writer opens a file through several processes where Hadoop has no native code, and makes a folder for each, so
+    tasks write the files of a local (or mounted) path themselves: under a hidden name that is put in place, so a task that
+    runs again changes nothing. :func:`raw_name` gives a row's name from its file's path.
+    """
+    root = local_folder(rows.sparkSession, path)
+    marked = rows.select(name, value)
+    if root is None:
+        # Tasks move their own files into place; by default the driver moves them all, one after the other.
+        marked.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(name).text(path)
+        return
+    os.makedirs(root)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        hidden, last, opened, files = f".{task.taskAttemptId()}.tmp", None, None, 0
+        for batch in batches:
+            for named, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                file = f"{name}={_escaped(named)}.txt"
+                if file != last:
+                    if files % FOLDER_FILES == 0:
+                        _put(opened, last)
+                        opened, folder = None, f"{root}/part-{task.partitionId():05d}/{files // FOLDER_FILES:05d}"
+                        os.makedirs(folder, exist_ok=True)
+                    _put(opened, last)
+                    opened, last, files = open(f"{folder}/{hidden}", "wb"), file, files + 1
+                opened.write((text or b"") + b"\n")
+        _put(opened, last)
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
+
+    marked = marked.withColumn(value, F.col(value).cast("binary")).sortWithinPartitions(name)
+    marked.mapInArrow(written, "files long").agg(F.sum("files")).collect()
+
+
+def _put(opened, file: str | None) -> None:
+    """Close a file and give it its name."""
+    if opened is not None:
+        opened.close()
+        os.replace(opened.name, f"{os.path.dirname(opened.name)}/{file}")
+
+
+def _escaped(value: str | None) -> str:
+    """A value as Spark writes it into the name of a partition's folder."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda found: f"%{ord(found[0]):02X}", value)
+
+
+def raw_name(path: Column, name: str = "filename") -> Column:
+    """The (escaped) name of a row that :func:`write_raw_files` wrote, by either writer."""
+    return F.regexp_extract(path, rf"{name}=([^/]+)(?:/[^/]*|\.txt)$", 1)
+
+
 GOLD_FORMATS = {"parquet": "parquet", "jsonl": "json"}
 
 
